@@ -54,7 +54,16 @@ def shingle_hashes(words: Column) -> Column:
 
 def bands(shingles: Column) -> Column:
     """The least hash of the shingles under each seed; the seed is part of the hash, so bands meet their like only."""
-    return F.array(*[F.array_min(F.transform(shingles, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(BANDS)])
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*map(least, range(BANDS)))
+
+
+def once(rows: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
+    """rows with a column that is worked out once a row: a generator stands where the optimizer would copy the expression into each use."""
+    return rows.select(*keep, F.explode(F.array(value)).alias(name))
 
 
 def template_tables(spark: SparkSession) -> dict[str, tuple[list[int], list[int]]]:
@@ -74,13 +83,15 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id, license, containment): the templates that each document contains."""
     tables = template_tables(docs.sparkSession)
     known = sorted({h for shingles, _ in tables.values() for h in shingles})
-    rows = docs.select(F.col(id_col), word_array(F.coalesce(F.col(text_col), F.lit(""))).alias("_w")).withColumn("_s", shingle_hashes(F.col("_w"))).drop("_w")
+    rows = once(docs, [id_col], "_w", word_array(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = once(rows, [id_col], "_s", shingle_hashes(F.col("_w")))
     # Places of template shingles, and of those the windows that hold one.
-    rows = rows.withColumn("_at", F.filter(F.transform("_s", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull()))
+    rows = once(rows, [id_col, "_s"], "_at", F.filter(F.transform("_s", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull()))
     rows = rows.filter(F.size("_at") > 0)
     span = WINDOW // STEP
     first = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.transform(F.sequence(F.greatest(F.floor(i / STEP) - (span - 1), F.lit(0)), F.floor(i / STEP)), lambda k: (k * STEP).cast("int")))))
-    rows = rows.withColumn("_bands", F.flatten(F.transform(first, lambda k: bands(F.slice(F.col("_s"), k + 1, F.lit(WINDOW))))))
+    rows = once(rows, [id_col, "_s"], "_first", first)
+    rows = once(rows, [id_col, "_s"], "_bands", F.flatten(F.transform("_first", lambda k: bands(F.slice(F.col("_s"), k + 1, F.lit(WINDOW))))))
     hits = []
     for name, (shingles, own) in sorted(tables.items()):
         share = F.size(F.array_intersect("_s", _longs(shingles))) / F.lit(float(len(shingles)))
