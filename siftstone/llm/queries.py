@@ -14,6 +14,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.fitted(docs, _labels(spark, sf_dir)))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
@@ -26,12 +37,25 @@ def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.stored(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = documents(spark, sf_dir)
+    return quality.rated(docs, quality.fitted(docs, _labels(spark, sf_dir))).select("doc_id", "expected_grade", "tail_probability", "accepted")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.packed(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
@@ -57,7 +81,7 @@ FROM documents d LEFT JOIN k USING (doc_id)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op5_flac_media, op7_bpe_round_trip, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
