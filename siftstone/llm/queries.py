@@ -31,6 +31,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.found(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near
+
+    return near.linked(documents(spark, sf_dir))
+
+
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import flac
 
@@ -81,7 +87,7 @@ FROM documents d LEFT JOIN k USING (doc_id)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
