@@ -14,8 +14,8 @@ own, in two rounds with fresh pivots; verified links give components, and from t
 components are compared, and a node that holds one component only is done. That loses no component: a pair within one
 component adds nothing to it.
 
-Candidates pass an estimate on 128 minwise values of 8 bits (0.70 at least, 4.7 standard deviations under 0.85: one linked
-pair in a million falls short) and are then confirmed on the full sets, 100 * |A and B| >= 85 * |A or B|.
+Candidates pass an estimate on 128 minwise values of 8 bits (4.7 standard deviations under the threshold at least, 0.70 for
+0.85: one linked pair in a million falls short) and are then confirmed on the full sets, 100 * |A and B| >= 85 * |A or B|.
 
 Nothing of this is collected by the driver. Sums are made before shuffles; joins of hot nodes are ordinary equi-joins that
 adaptive execution splits; steps end in tables in the shared folder.
@@ -41,7 +41,8 @@ WORDS = 3
 PERCENT = 85
 TREES, BRANCHES, DEPTH, SMALL = 4, 2, 6, 48
 COORDINATES = 128
-AGREE = 0.70
+#: Standard deviations that an estimate may fall short of the threshold.
+SHORT = 4.7
 BLOCK = 256
 ROUNDS = 2
 u64 = np.uint64
@@ -50,6 +51,12 @@ _TIMES = mix64(np.arange(1, 64)) | u64(1)
 _SEEDS = mix64(np.arange(101, 101 + COORDINATES)) | u64(1)
 
 
+def agreement(percent: int) -> float:
+    """Share of equal signature places that a likely pair has at least."""
+    p = percent / 100
+    return p - SHORT * (p * (1 - p) / COORDINATES) ** 0.5
+
+
 def word_cache() -> Cache:
     return Cache(lambda w: xxhash.xxh64_intdigest(w))
 
@@ -155,8 +162,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in AGREE of their places at least."""
+def likely(pairs: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
+    """The pairs whose signatures agree in this share of their places at least."""
     sig = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"))
     both = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b")
 
@@ -164,7 +171,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for part in batches:
             if part.num_rows:
                 x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
-                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE * COORDINATES))
+                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= agree * COORDINATES))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -202,12 +209,12 @@ def stars(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(pivots, "node").filter("comp <> q").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def agreeing(sigs: np.ndarray, comp: np.ndarray, other=None, other_comp=None) -> tuple[np.ndarray, np.ndarray]:
+def agreeing(agree: float, sigs: np.ndarray, comp: np.ndarray, other=None, other_comp=None) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of pairs of different components whose signatures agree often enough; within one block i < j."""
     same = other is None
     other, other_comp = (sigs, comp) if same else (other, other_comp)
     counts = np.stack([(s == other).sum(1) for s in sigs]) if len(sigs) else np.zeros((0, len(other)))
-    hit = (counts >= AGREE * COORDINATES) & (comp[:, None] != other_comp[None, :])
+    hit = (counts >= agree * COORDINATES) & (comp[:, None] != other_comp[None, :])
     return np.nonzero(np.triu(hit, 1) if same else hit)
 
 
@@ -233,13 +240,13 @@ def _sigs(group) -> np.ndarray:
     return np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def exhaustive(rows: DataFrame) -> DataFrame:
+def exhaustive(rows: DataFrame, agree: float) -> DataFrame:
     """Likely pairs of different components in nodes of up to SMALL members; rows: node, rep, comp, sig."""
 
     def run(batches):
         for g in grouped(batches):
             rep = g.column("rep").to_numpy()
-            i, j = agreeing(_sigs(g), g.column("comp").to_numpy())
+            i, j = agreeing(agree, _sigs(g), g.column("comp").to_numpy())
             if len(i):
                 yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
@@ -270,7 +277,7 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(found, "node")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, agree: float) -> DataFrame:
     """Likely pairs of nodes of any size: members are dealt to blocks, and every two blocks of a node meet in a group of their own. rows: node, rep, comp, sig, n."""
     count = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     own = rows.withColumn("m", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
@@ -283,29 +290,29 @@ def blocks(rows: DataFrame) -> DataFrame:
             left = g.column("block").to_numpy() <= g.column("other").to_numpy()
             x, y = np.flatnonzero(left), np.flatnonzero(~left)
             if len(y):
-                i, j = agreeing(sig[x], comp[x], sig[y], comp[y])
+                i, j = agreeing(agree, sig[x], comp[x], sig[y], comp[y])
                 i, j = x[i], y[j]
             else:
-                i, j = agreeing(sig, comp)
+                i, j = agreeing(agree, sig, comp)
             if len(i):
                 yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
     return meet.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
 
 
-def path_pairs(members: DataFrame, reps: DataFrame) -> DataFrame | None:
+def path_pairs(members: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
     """Likely pairs across components from all nodes: small ones exhaustively, larger ones along chosen paths. members: node, n, rep, comp."""
     rows = cut(members.join(reps.select("rep", "sig"), "rep"))
-    out = exhaustive(rows.filter(F.col("n") <= SMALL))
+    out = exhaustive(rows.filter(F.col("n") <= SMALL), agree)
     large = rows.filter(F.col("n") > SMALL)
     for level in range(1, DEPTH):
         if large.isEmpty():
             return out
         rows = cut(sized(children(large, level)))
-        out = out.unionByName(exhaustive(rows.filter(F.col("n") <= SMALL)))
+        out = out.unionByName(exhaustive(rows.filter(F.col("n") <= SMALL), agree))
         large = rows.filter(F.col("n") > SMALL)
     if not large.isEmpty():
-        out = out.unionByName(blocks(large))
+        out = out.unionByName(blocks(large, agree))
     return out
 
 
@@ -323,7 +330,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     comps = None
     for turn in range(ROUNDS + 1):
         rows = with_components(members, comps)
-        pairs = likely(stars(rows, turn), reps) if turn < ROUNDS else path_pairs(rows, reps)
+        pairs = likely(stars(rows, turn), reps, agreement(percent)) if turn < ROUNDS else path_pairs(rows, reps, agreement(percent))
         edges = cut(edges.unionByName(confirmed(pairs.distinct(), sets, percent)).distinct())
         comps = cut(components(edges))
     return (
@@ -332,3 +339,9 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         .select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs but those whose near copy with a smaller doc_id stays; rows without a doc_id stay."""
+    gone = linked(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,6 +37,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.linked(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    done = repeats.with_kept(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import flac
 
@@ -75,6 +82,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LINE_DEDUP_SQL = """
 WITH l AS (SELECT doc_id, source, i, lines[i] AS line FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 n AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE length(trim(line)) > 0 GROUP BY source, line),
@@ -87,7 +100,7 @@ FROM documents d LEFT JOIN k USING (doc_id)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op4_suffix_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
