@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +29,10 @@ from .common import cut, scaled_partitions, slices
 
 WINDOW = 4096
 END = 2
-#: Chunks of text that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
-#: Letters that neither composition nor lower-casing joins to their neighbours, then full stops or commas.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)").fullmatch
+#: Chunks of text that a worker remembers before it starts afresh; of their cores, twice as many.
+REMEMBERED = 500_000
+#: Letters that neither composition nor lower-casing joins to their neighbours; full stops and commas after them are a token run of their own.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Tokens:
@@ -48,30 +49,41 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
-    def _look_up(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+    def _look_up(self, cores: set[bytes]) -> None:
+        fresh = list(cores.difference(self.cores))
+        for core, got in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
+            self.cores[core] = array("I", got.ids).tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        fresh = [c for c in chunks if c not in self.known]
-        parts, cores = {}, set()
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.cores) > 2 * REMEMBERED:  # short ones come again most
+            self.cores = {c: ids for c, ids in self.cores.items() if len(c) <= 8}
+        fresh, cores, tails = list(chunks.difference(self.known)), [], []
         for c in fresh:
-            m = PLAIN(c)
-            if m:
-                core, tail = m[1].lower(), m[2]
-                if core != c:
-                    parts[c] = core, tail
-                    cores |= {core, tail}
-        self._look_up([c for c in {*cores, *(c for c in fresh if c not in parts)} if c not in self.known])
-        for c, (core, tail) in parts.items():
-            self.known[c] = self.known[core] + self.known[tail]
+            core = c.rstrip(b".,")
+            tail = c[len(core) :]
+            if core.isalpha():  # ASCII letters
+                core = core.lower()
+            else:
+                m = PLAIN(core.decode())
+                core, tail = (m[0].lower().encode(), tail) if m else (c, b"")
+            cores.append(core)
+            tails.append(tail)
+        self._look_up({*cores, *tails})
+        known, at = self.known, self.cores
+        for c, core, tail in zip(fresh, cores, tails):
+            known[c] = at[core] + at[tail] if tail else at[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut_up = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        cut_up = []
+        for t in texts:
+            data = (t or "").encode()
+            # The vocabulary lower-cases anyway; only an added token's string must not come about by it.
+            cut_up.append((data if b"<|" in data else data.lower()).replace(b"\n", b" ").split(b" "))
         self.learn({c for chunks in cut_up for c in chunks})
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut_up]
 
