@@ -15,7 +15,7 @@ what may still repeat is refined:
 Every step sums up before it shuffles: a slice of texts sends each unit and each window once, so a passage that a third of
 all texts share costs a row a slice. Units and windows travel as packed arrays, one a slice and bucket; the number of
 buckets grows with the bytes of the corpus. Texts move once (both uses read the same exchange), positions of unrepeated
-text not at all. q-grams are known by 48 and 64 bit hashes, units and windows by 96 and 128 bits.
+text not at all. q-grams are known by 48 bits of their hashes, units and windows by 96 bits.
 
 Defined results: null texts are empty; texts under LENGTH bytes keep all bytes; very long texts are worked on whole, in
 stretches; a null doc_id comes first; rows that share a doc_id share their spans, cut at their length, and none of them is
@@ -133,33 +133,40 @@ def unpack(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
 
 
-def six(x: np.ndarray) -> np.ndarray:
-    """The lower 48 bits of each number, one byte plane after the other."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].T
+def planes(x: np.ndarray, n: int) -> bytes:
+    """The lower n bytes of each number, one byte plane after the other: what is alike stands together and is compressed."""
+    return np.ascontiguousarray(x.astype(np.int64) if x.dtype != u64 else x).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
-def eight(planes: np.ndarray) -> np.ndarray:
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+def numbers(blob: bytes, at: int, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T
     return out.view(u64).ravel()
 
 
-def unit_blob(doc, start, count, bucket, content, mixed) -> bytes:
+def place_blob(doc: np.ndarray, start: np.ndarray, *more: tuple[np.ndarray, int]) -> bytes:
+    """Places in the order of doc_id and start, with further numbers of so many bytes each."""
+    order = np.lexsort([start, doc])
     docs, which = np.unique(doc, return_inverse=True)
-    return len(docs).to_bytes(4, "little") + docs.astype(np.int64).tobytes() + pack(which.astype(np.uint32), start.astype(np.uint32), count.astype(np.uint8), mixed.astype(np.uint8)) + six(bucket).tobytes() + six(content).tobytes()
+    head = np.array([len(docs), len(doc)], np.int64).tobytes() + docs.astype(np.int64).tobytes()
+    return head + b"".join(planes(x[order], n) for x, n in ((which, 4), (start, 4), *more))
 
 
-def unit_arrays(blobs: list[bytes]):
-    out = []
+def place_arrays(blobs: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """doc_id, start and further numbers of place_blob()s."""
+    out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, u64)] * len(sizes)]]
     for blob in blobs:
-        d = int.from_bytes(blob[:4], "little")
-        docs, at = np.frombuffer(blob, np.int64, d, 4), 4 + 8 * d
-        n = int.from_bytes(blob[at : at + 4], "little")
-        which, start, count, mixed = unpack([blob[at : at + 4 + 10 * n]], ["u4", "u4", "u1", "u1"])
-        at += 4 + 10 * n
-        planes = [np.frombuffer(blob, np.uint8, 6 * n, at + 6 * n * k).reshape(6, n) for k in (0, 1)]
-        out.append((docs[which], start, count, mixed, eight(planes[0]), eight(planes[1])))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, k) for k in ("i8", "u4", "u1", "u1", "u8", "u8")]
+        d, n = np.frombuffer(blob, np.int64, 2).tolist()
+        docs, at, row = np.frombuffer(blob, np.int64, d, 16), 16 + 8 * d, []
+        for size in (4, 4, *sizes):
+            row.append(numbers(blob, at, n, size))
+            at += n * size
+        out.append([docs[row[0].astype(np.int64)], row[1].astype(np.int64), *row[2:]])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+#: Bytes of a unit's windows, flag, bucket and content hash; of a window's q-gram hashes.
+UNIT, GRAM = [1, 1, 6, 6], 6
 
 
 #: Spans of a document: doc_id, first window, windows, and whether they are known to repeat (1) or to be refined (0).
@@ -232,7 +239,7 @@ def find_units(docs: DataFrame, n_buckets: int, length: int) -> DataFrame:
                 rows += span_rows(n_buckets, doc[rest], start[rest], count[rest], np.zeros(len(rest)))
                 sent, flag = left[~mixed | lead], lead[~mixed | lead]
                 to = (bucket[sent] % u64(n_buckets)).astype(np.int64)
-                rows += [(0, k, unit_blob(*c)) for k, c in by_bucket(to, doc[sent], start[sent], count[sent], bucket[sent], content[sent], flag)]
+                rows += [(0, k, place_blob(c[0], c[1], *zip(c[2:], UNIT))) for k, c in by_bucket(to, doc[sent], start[sent], count[sent], flag, bucket[sent], content[sent])]
                 yield record(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
@@ -250,7 +257,7 @@ def settle_units(rows: DataFrame, n_buckets: int) -> DataFrame:
                 if k == 0:
                     held.setdefault(b, []).append(blob)
         for b in list(held):
-            doc, start, count, mixed, bucket, content = unit_arrays(held.pop(b))
+            doc, start, count, mixed, bucket, content = place_arrays(held.pop(b), UNIT)
             order, first = first_of([content, bucket], [start, doc])
             again = order[~first & (mixed[order] == 0)]
             out = span_rows(n_buckets, doc[again], start[again], count[again], np.ones(len(again)))
@@ -337,8 +344,8 @@ def find_windows(texts: DataFrame, spans: DataFrame, n_buckets: int, length: int
                 if len(again):
                     x, y, z = runs(d[again], p[again])
                     rows.append(span_rows(n_buckets, x, y, z, np.ones(len(x))))
-                to = (codes[0][left_over] % u64(n_buckets)).astype(np.int64)
-                rows.append([(0, k, pack(*c)) for k, c in by_bucket(to, d[left_over].astype("i8"), p[left_over].astype("u4"), *(c[left_over] for c in codes))])
+                to = ((codes[0][left_over] & u64((1 << 48) - 1)) % u64(n_buckets)).astype(np.int64)
+                rows.append([(0, k, place_blob(c[0], c[1], *((x, GRAM) for x in c[2:]))) for k, c in by_bucket(to, d[left_over], p[left_over], *(c[left_over] for c in codes))])
         return pa.Table.from_batches([record([r for part in rows for r in part])])
 
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, ROWS)
@@ -359,9 +366,9 @@ def settle_windows(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
                 if k == 0:
                     held.setdefault(b, []).append(blob)
         for b in list(held):
-            doc, start, *codes = unpack(held.pop(b), ["i8", "u4", *["u8"] * n_codes])
+            doc, start, *codes = place_arrays(held.pop(b), [GRAM] * n_codes)
             again = refined(codes, [start, doc])
-            x, y, z = runs(doc[again], start[again].astype(np.int64))
+            x, y, z = runs(doc[again], start[again])
             out = span_rows(n_buckets, x, y, z, np.ones(len(x)))
             if out:
                 yield record(out)
