@@ -1,15 +1,387 @@
-"""Registered queries over the supplied tables, and the SQL that each must equal."""
+"""Registered queries over the supplied tables, and the SQL that each must equal.
+
+The tables hold no source code, so each operator of the findings pipeline runs here on plain rows of the same shape.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from siftstone.functions import taxonomy, text
+from siftstone.operators import fixpoint, identity, merging, regions, reporting
 
+#: Rules of the text scan: id, pattern (in the syntax that Java and RE2 share), CWE, severity, confidence.
+TEXT_RULES = [
+    ("text:email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "CWE-359: personal data", "medium", 60),
+    ("text:ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "cwe_200", "low", 40),
+    ("text:phone", r"\+[0-9][0-9 ()-]{7,}[0-9]", "CWE-359", "medium", 50),
+    ("text:number", r"[0-9]{13,19}", "CWE-0359", "medium", 40),
+    ("gitleaks:token", r"[A-Za-z_]+ *= *\"[^\"]+\"", "CWE-798", "high", 70),
+]
 
-def queries() -> dict:
-    return {}
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, rule, cwe, severity, confidence, match, n): every match of every rule, in one pass over the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = [_hits(*rule) for rule in TEXT_RULES]
+    return docs.select("doc_id", F.explode(F.flatten(F.array(*hits))).alias("h")).select("doc_id", "h.*")
+
+
+def _hits(rule: str, pattern: str, cwe: str, severity: str, confidence: int):
+    def one(match, i):
+        return F.struct(F.lit(rule).alias("rule"), F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), match.alias("match"), i.alias("n"))
+
+    return F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), one)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, classify, redact, fingerprint, number and rank: the stages between detection and report."""
+    found = text_findings(spark, sf_dir)
+    found = found.select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "rule", taxonomy.classify(F.col("rule"), F.array("cwe")).alias("vuln_class"),
+        "severity", "confidence", F.when(F.col("rule") == "gitleaks:token", text.redact_literals(F.col("match"))).otherwise(F.col("match")).alias("sink"), "n",
+    )
+    named = identity.with_ids(found, F.col("vuln_class"), F.col("path"), F.lit(None).cast("string"), F.col("sink"), [F.col("rule"), F.col("n")])
+    return named.select("id", "path", "rule", "vuln_class", "severity", "confidence", "sink", "occurrence")
+
+
+def q_text_scan(spark, sf_dir):
+    """Rule matches by document."""
+    return text_findings(spark, sf_dir).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("matches"), F.min("match").alias("least_match"))
+
+
+def q_ignore_filter(spark, sf_dir):
+    """Paths that no default directory and no pattern excludes."""
+    pages = table(spark, sf_dir, "pages").withColumn("path", F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/?", ""), r"[?#].*$", ""))
+    return pages.filter(~text.ignored(F.col("path"), ("fr", "**/1*", "en/2*/"))).select("page_id", "path")
+
+
+def q_redact(spark, sf_dir):
+    """Known values replaced, longest first."""
+    docs = table(spark, sf_dir, "documents")
+    secrets = F.array(*map(F.lit, ("idiot", "worthless", "MIT License", "License", "the")))
+    return docs.select("doc_id", F.sha2(text.redact(F.coalesce("text", F.lit("")), secrets), 256).alias("redacted_sha256"))
+
+
+def q_strip_controls(spark, sf_dir):
+    """C11."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.sha2(text.strip_controls(F.concat(F.coalesce("text", F.lit("")), F.lit("\x1b[2J\r\t\n"), F.coalesce("role", F.lit("")))), 256).alias("clean_sha256"))
+
+
+def q_entropy(spark, sf_dir):
+    """A18."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.round(text.entropy(F.substring(F.coalesce("text", F.lit("")), 1, 64)), 6).alias("entropy"))
+
+
+def q_classify(spark, sf_dir):
+    """Normalised CWE list, class and whether the class may be merged."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rule = F.when(F.col("event_type") == "error", F.concat(F.lit("bandit:B"), (F.col("k") + 590).cast("string"))).when(F.col("event_type") == "click", F.lit("HS-SQLI-001")).when(F.col("event_type") == "view", F.lit("gitleaks:x")).otherwise(F.col("event_type"))
+    cwes = F.array(F.concat(F.lit("cwe_0"), F.col("k").cast("string")), F.concat(F.lit("CWE-"), (F.col("k") + 20).cast("string"), F.lit(": text")), F.lit("none"))
+    e = e.select("event_id", rule.alias("rule"), F.when(F.col("k") % 3 != 0, cwes).otherwise(F.array().cast("array<string>")).alias("cwes"))
+    c = taxonomy.classify(F.col("rule"), F.col("cwes"))
+    return e.select("event_id", F.array_join(taxonomy.normalize_cwes(F.col("cwes")), ",").alias("cwe_list"), c.alias("vuln_class"), taxonomy.mergeable(c, F.col("cwes")).alias("mergeable"))
+
+
+def q_score_bucket(spark, sf_dir):
+    """S10, S11."""
+    return table(spark, sf_dir, "part").select("p_partkey", taxonomy.severity_from_score(F.col("p_retailprice") % 11).alias("severity"))
+
+
+def q_region_normalize(spark, sf_dir):
+    """S13."""
+    t = table(spark, sf_dir, "lineitem")
+    sl, el = (F.col("l_linenumber") - 2).cast("int"), F.when(F.col("l_quantity") > 10, (F.col("l_quantity") / 10).cast("int"))
+    sc, ec = F.when(F.col("l_returnflag") != "N", (F.col("l_suppkey") % 7 - 1).cast("int")), F.when(F.col("l_linestatus") == "O", (F.col("l_partkey") % 5).cast("int"))
+    r = t.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", regions.normalize_region(sl, sc, el, ec).alias("r"))
+    return r.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "r.*")
+
+
+def q_json_import(spark, sf_dir):
+    """Fields of nested JSON, malformed ones as null, by rule."""
+    e = table(spark, sf_dir, "events").select("event_type", F.try_parse_json("props").alias("v"))
+    k = F.try_variant_get("v", "$.k", "int")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("n_k"), F.sum(k.cast("bigint")).alias("sum_k"), F.min(k).alias("min_k"), F.max(k).alias("max_k"))
+
+
+def _spans(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_linenumber").cast("bigint").alias("s"), (F.col("l_linenumber") + F.floor(F.col("l_quantity") / 10)).cast("bigint").alias("e"))
+
+
+def q_overlap_join(spark, sf_dir):
+    """Overlapping intervals of an order."""
+    a = _spans(spark, sf_dir)
+    hit = regions.overlap_join(a, a, ["l_orderkey"], "s", "e", 8).filter("l_l_partkey < r_l_partkey")
+    return hit.groupBy("l_l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("l_e", "r_e") - F.greatest("l_s", "r_s")).alias("shared")).withColumnRenamed("l_l_orderkey", "l_orderkey")
+
+
+def q_nested_spans(spark, sf_dir):
+    """Intervals strictly inside another of their order (semi join)."""
+    a = _spans(spark, sf_dir)
+    b = a.select(F.col("l_orderkey").alias("k"), F.col("s").alias("os"), F.col("e").alias("oe"))
+    inside = a.join(b, (a.l_orderkey == b.k) & regions.strictly_contains(F.col("os"), F.col("oe"), F.col("s"), F.col("e")), "left_semi")
+    return inside.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("nested"))
+
+
+def q_innermost(spark, sf_dir):
+    """The event span of a user that starts last around a point."""
+    e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    day = F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    spans = e.filter("event_type IN ('signup', 'purchase')").select("user_id", day.alias("s"), (day + F.col("event_id") % 30).alias("f"), F.concat(F.lit("span"), F.col("event_id").cast("string")).alias("span"))
+    points = e.filter("event_type = 'click'").select("event_id", "user_id", day.alias("d"))
+    return regions.innermost(points, spans, ["user_id"], "d", "s", "f", "span", "<module>").select("event_id", "span")
+
+
+def q_asof_binding(spark, sf_dir):
+    """The last view of the user before each purchase."""
+    e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    bound = e.withColumn("bound_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w))
+    return bound.filter("event_type = 'purchase'").select("event_id", "bound_id")
+
+
+def q_anchor_cluster(spark, sf_dir):
+    """Greedy clusters of overlapping intervals, by order; not transitive."""
+    a = _spans(spark, sf_dir).filter("s < e").withColumn("size", F.col("e") - F.col("s")).withColumn("source", (F.col("l_partkey") % 3).cast("int")).withColumn("sink", (F.col("l_partkey") % 2).cast("int"))
+    return merging.cluster(a, ["l_orderkey"], ["size", "s", "source", "l_partkey", "l_linenumber"], "s", "e", "source", "sink")
+
+
+def q_merge(spark, sf_dir):
+    """One row an order: the primary line's values, the largest of others, sorted sets."""
+    t = table(spark, sf_dir, "lineitem")
+    order = F.struct("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return merging.merged(t, ["l_orderkey"], order, ["l_partkey", "l_linestatus"], ["l_discount", "l_tax"], ["l_returnflag"]).withColumn("l_returnflag", F.array_join("l_returnflag", ","))
+
+
+def q_region_union(spark, sf_dir):
+    """First start and last end, an open end last of all."""
+    t = table(spark, sf_dir, "lineitem")
+    end = F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(float("inf")))
+    r = regions.union_of(t, ["l_orderkey"], F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("column")), F.struct(F.col("l_linenumber").alias("line"), end.alias("column")))
+    return r.select("l_orderkey", F.col("start.line").alias("start_line"), F.col("start.column").alias("start_column"), F.col("end.line").alias("end_line"), F.nullif(F.col("end.column"), F.lit(float("inf"))).alias("end_column"))
+
+
+def q_fingerprint(spark, sf_dir):
+    """Ids with occurrence numbers among equal texts of a source."""
+    d = table(spark, sf_dir, "documents")
+    named = identity.with_ids(d, F.lit("other"), F.col("source"), F.col("lang"), F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("empty")), [F.col("doc_id")])
+    return named.select("doc_id", "occurrence", "id")
+
+
+def q_exact_dupes(spark, sf_dir):
+    """Texts that are there more than once, by partial counts of their hashes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return d.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("first_id", "copies")
+
+
+def q_status_counts(spark, sf_dir):
+    """A10, K5: a count for every status, zeros included."""
+    return reporting.counts(table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O", "P", "X"))
+
+
+def q_severity_pivot(spark, sf_dir):
+    """K7."""
+    return reporting.crosstab(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ("F", "O", "P"))
+
+
+def _predictions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    hit = F.col("text").rlike("(?i)idiot|moron|stupid|loser|clown")
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("actual"))
+    return d.select("doc_id", "lang", hit.alias("predicted")).join(lab, "doc_id", "left").withColumn("actual", F.coalesce("actual", F.lit(False)))
+
+
+def q_scores(spark, sf_dir):
+    """Confusion counts and ratios by class and over all."""
+    return reporting.scores(_predictions(spark, sf_dir), "lang", "predicted", "actual")
+
+
+def q_relative_recall(spark, sf_dir):
+    """Distinct finds of each tool over those of all."""
+    found = text_findings(spark, sf_dir).select("rule", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("match")).alias("key"))
+    return reporting.relative_recall(found, "rule", "key")
+
+
+def _ranked(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rank = taxonomy.rank(F.lower(F.regexp_extract("o_orderpriority", "([A-Za-z]+)$", 1)), ("specified", "low", "medium", "high", "urgent"))
+    return o.withColumn("severity_rank", rank).withColumn("confidence", (F.col("o_orderkey") % 101).cast("int")).withColumn("suppressed", F.col("o_orderstatus") == "P")
+
+
+def q_visible(spark, sf_dir):
+    """F1."""
+    o = _ranked(spark, sf_dir)
+    return o.filter(reporting.visible(F.col("severity_rank"), F.col("confidence"), F.col("suppressed"), 2, 40, False)).select("o_orderkey", "severity_rank", "confidence")
+
+
+def q_fail_on(spark, sf_dir):
+    """F2."""
+    o = _ranked(spark, sf_dir)
+    return o.agg(F.count_if(reporting.failing(F.col("severity_rank"), F.col("confidence"), F.col("suppressed"), 3, 70)).alias("n_failing"))
+
+
+def q_display_topk(spark, sf_dir):
+    """O1 to O3: the first hundred of the display order."""
+    o = _ranked(spark, sf_dir)
+    return reporting.top_k(o, [F.desc("severity_rank"), F.desc("confidence"), F.asc("o_orderkey")], 100).select("o_orderkey", "severity_rank", "confidence")
+
+
+def q_rule_index(spark, sf_dir):
+    """A11, W3."""
+    return reporting.rule_index(table(spark, sf_dir, "part"), "p_type")
+
+
+def q_rule_descriptors(spark, sf_dir):
+    """The first row of each rule."""
+    p = table(spark, sf_dir, "part")
+    return reporting.sample_of_rule(p, "p_type", F.struct("p_retailprice", "p_partkey"), ["p_partkey", "p_name"])
+
+
+def q_islands(spark, sf_dir):
+    """Runs of a user's events that lie within three days of each other."""
+    e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").withColumn("d", F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")).cast("bigint"))
+    found = regions.islands(e, ["user_id"], ["d", "event_id"], F.col("d"), F.col("d") + 3)
+    return found.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+
+
+def q_line_offsets(spark, sf_dir):
+    """Lines with their offsets in characters."""
+    return regions.line_offsets(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", F.col("line").cast("bigint").alias("line"), F.col("n_chars").cast("bigint").alias("n_chars"), "offset")
+
+
+def q_edit_overlaps(spark, sf_dir):
+    """Edits of a file that begin before the one before them ends."""
+    a = _spans(spark, sf_dir)
+    w = Window.partitionBy("l_orderkey").orderBy("s", "e", "l_partkey", "l_linenumber")
+    bad = a.withColumn("next_s", F.lead("s").over(w)).filter("next_s < e")
+    return bad.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("overlaps"))
+
+
+def q_reachability(spark, sf_dir):
+    """All pairs joined by a path of a cyclic graph."""
+    t = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    edges = t.select((F.col("l_partkey") % 61).alias("a"), (F.col("l_suppkey") * 7 % 61).alias("b"))
+    return fixpoint.reach(edges, "a", "b")
+
+
+def q_mark_compose(spark, sf_dir):
+    """Mark sets along a path."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    mark = lambda p, n: F.concat(F.lit(p), (F.col("k") % n).cast("string"))
+    first = F.array(mark("m", 3), mark("~assumed:c", 5), F.lit("sqli"))
+    later = F.array(mark("~drop:m", 3), mark("~assumed:c", 4), F.col("event_type"), F.when(F.col("k") % 2 == 0, F.lit("~drop:sqli")).otherwise(F.lit("cmdi")))
+    return e.select("event_id", F.array_join(merging.then(first, later), "|").alias("marks"))
+
+
+def q_anti_replacement(spark, sf_dir):
+    """Call edges whose target nobody replaces."""
+    t, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return t.join(s, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def q_cache_lookup(spark, sf_dir):
+    """Replies from a cache by hash, misses marked."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 40), 256).alias("key"))
+    b = table(spark, sf_dir, "benchmark").select(F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 40), 256).alias("key"), "item_id").groupBy("key").agg(F.min("item_id").alias("reply"))
+    return d.join(b, "key", "left").select("doc_id", F.coalesce("reply", F.lit(-1)).alias("reply"))
+
+
+def q_set_difference(spark, sf_dir):
+    """2.9: multiset difference of expected and actual."""
+    o, c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    return o.exceptAll(c).groupBy("custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_triage_queue(spark, sf_dir):
+    """The first twenty of the queue, with the queue's length."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    first = reporting.top_k(c, [F.desc(F.length("text")), F.asc("conv_id"), F.asc("turn")], 20).select("conv_id", "turn", F.length("text").cast("bigint").alias("n_chars"))
+    return first.crossJoin(F.broadcast(c.agg(F.count(F.lit(1)).alias("queue"))))
+
+
+def q_module_names(spark, sf_dir):
+    """Dotted modules of paths, and how many share a last part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/"), F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "/"), F.when(F.col("p_partkey") % 5 == 0, F.lit("/__init__.py")).when(F.col("p_partkey") % 2 == 0, F.lit(".py")).otherwise(F.lit(".pyw"))).alias("path"))
+    return p.select("p_partkey", text.module_name(F.col("path")).alias("module"))
+
+
+def q_code_scan(spark, sf_dir):
+    """Sources made from part names, analysed file by file."""
+    from siftstone.plans import scan
+
+    return scan.demonstration(spark, table(spark, sf_dir, "part"))
+
+
+def _regex_union() -> str:
+    parts = [f"SELECT doc_id, '{r}' AS rule, '{c}' AS cwe, '{s}' AS severity, {k} AS confidence, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS match, unnest(range(0, len(regexp_extract_all(coalesce(text, ''), '{p}')))) AS n FROM documents" for r, p, c, s, k in TEXT_RULES]
+    return "WITH f AS (" + " UNION ALL ".join(parts) + ") "
+
+
+_FP = "'hs1-' || left(sha256(concat_ws(chr(31), {})), 32)"
+_DAY = "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
+_SPAN = "WITH a AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linenumber::BIGINT AS s, (l_linenumber + floor(l_quantity / 10))::BIGINT AS e FROM lineitem) "
+_KEY = "sha256(substring(coalesce(text, ''), 1, 40))"
+_RANK = "SELECT *, list_position(['specified','low','medium','high','urgent'], lower(regexp_extract(o_orderpriority, '([A-Za-z]+)$', 1)))::INT - 1 AS severity_rank, (o_orderkey % 101)::INT AS confidence, o_orderstatus = 'P' AS suppressed FROM orders"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    controls = "replace(coalesce(text, '') || chr(27) || '[2J' || chr(13) || chr(9) || chr(10) || coalesce(role, ''), chr(13), '\\x0d')"
+    for c in text.CONTROLS:
+        if c not in (0, 13):
+            controls = f"replace({controls}, chr({c}), '\\x{c:02x}')"
+    cls = "CASE " + " ".join(f"WHEN x = '{k}' THEN '{v}'" for k, v in taxonomy.CWE_CLASS.items()) + " END"
+    rules = "CASE " + " ".join(f"WHEN rule = '{k}' THEN '{v}'" for k, v in taxonomy.RULE_CLASS.items()) + " END"
+    vuln = f"coalesce(CASE WHEN starts_with(rule, 'HS-SQLI-') THEN 'sqli' END, {rules}, CASE WHEN starts_with(rule, 'gitleaks:') THEN 'secret' END, list_filter([{cls} for x in ids], lambda y: y IS NOT NULL)[1], 'other:' || ids[1], 'other:' || rule)"
+    default = " OR ".join("list_contains(list_slice(parts, 1, len(parts) - 1), '{}')".format(d) if "*" not in d else "len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda x: ends_with(x, '.egg-info'))) > 0" for d in text.IGNORED)
+    fp = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty')")
+    fpn = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty'), CASE WHEN occurrence > 0 THEN '#' || occurrence END")
+    return {
+        "q_text_scan": _regex_union() + "SELECT doc_id, rule, count(*) AS matches, min(match) AS least_match FROM f GROUP BY doc_id, rule",
+        "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
+        "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",
+        "q_strip_controls": f"SELECT conv_id, turn, sha256({controls}) AS clean_sha256 FROM conversations",
+        "q_entropy": "WITH c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(left(coalesce(text, ''), 64), '')) AS x FROM documents WHERE text <> '') GROUP BY doc_id, x), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(round(h, 6), 0.0) AS entropy FROM documents d LEFT JOIN (SELECT doc_id, sum(-(n / t) * log2(n / t)) AS h FROM c JOIN t USING (doc_id) GROUP BY doc_id) USING (doc_id)",
+        "q_classify": f"WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'bandit:B' || (k + 590) WHEN 'click' THEN 'HS-SQLI-001' WHEN 'view' THEN 'gitleaks:x' ELSE event_type END AS rule, CASE WHEN k % 3 <> 0 THEN list_distinct(['CWE-' || k, 'CWE-' || (k + 20)]) ELSE [] END AS u FROM e), s AS (SELECT event_id, rule, ['CWE-' || n for n in list_sort([CAST(replace(x, 'CWE-', '') AS INT) for x in u])] AS ids FROM r), v AS (SELECT event_id, array_to_string(ids, ',') AS cwe_list, {vuln} AS vuln_class, ids FROM s) SELECT event_id, cwe_list, vuln_class, (vuln_class IN ('sqli', 'cmdi', 'codei', 'weak_crypto', 'secret') OR len(ids) > 0) AS mergeable FROM v",
+        "q_score_bucket": "SELECT p_partkey, CASE WHEN p_retailprice % 11 >= 9 THEN 'critical' WHEN p_retailprice % 11 >= 7 THEN 'high' WHEN p_retailprice % 11 >= 4 THEN 'medium' ELSE 'low' END AS severity FROM part",
+        "q_region_normalize": "WITH x AS (SELECT *, greatest(l_linenumber - 2, 1)::INT AS sl, CASE WHEN l_quantity > 10 THEN trunc(l_quantity / 10)::INT END AS el0, CASE WHEN l_returnflag <> 'N' THEN greatest(l_suppkey % 7 - 1, 1)::INT END AS sc, CASE WHEN l_linestatus = 'O' THEN (l_partkey % 5)::INT END AS ec0 FROM lineitem), y AS (SELECT *, greatest(coalesce(el0, sl), sl) AS el FROM x) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, sl AS start_line, coalesce(sc, 1) AS start_column, el AS end_line, CASE WHEN sc IS NULL THEN NULL WHEN ec0 IS NULL THEN CASE WHEN el = sl THEN sc END WHEN el = sl THEN greatest(ec0, sc) ELSE greatest(ec0, 1) END AS end_column FROM y",
+        "q_json_import": "SELECT event_type, count(*) AS n, count(k) AS n_k, sum(k)::BIGINT AS sum_k, min(k) AS min_k, max(k) AS max_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type",
+        "q_overlap_join": _SPAN + "SELECT x.l_orderkey, count(*) AS pairs, sum(least(x.e, y.e) - greatest(x.s, y.s))::BIGINT AS shared FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.s < x.e AND y.s < y.e AND x.s < y.e AND y.s < x.e AND x.l_partkey < y.l_partkey GROUP BY x.l_orderkey",
+        "q_nested_spans": _SPAN + "SELECT l_orderkey, count(*) AS nested FROM a WHERE EXISTS (SELECT 1 FROM a b WHERE b.l_orderkey = a.l_orderkey AND b.s <= a.s AND a.e <= b.e AND NOT (b.s = a.s AND b.e = a.e)) GROUP BY l_orderkey",
+        "q_innermost": f"WITH e AS (SELECT *, {_DAY} AS d FROM events WHERE user_id IS NOT NULL), s AS (SELECT user_id, d AS s, d + event_id % 30 AS f, 'span' || event_id AS span FROM e WHERE event_type IN ('signup', 'purchase')) SELECT p.event_id, coalesce(arg_max(s.span, (s.s, -s.f, s.span)) FILTER (WHERE s.span IS NOT NULL), '<module>') AS span FROM e p LEFT JOIN s ON s.user_id = p.user_id AND s.s <= p.d AND s.f >= p.d WHERE p.event_type = 'click' GROUP BY p.event_id",
+        "q_asof_binding": "WITH b AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound_id FROM events WHERE user_id IS NOT NULL) SELECT event_id, bound_id FROM b WHERE event_type = 'purchase'",
+        "q_merge": "SELECT l_orderkey, arg_min(l_partkey, k) AS l_partkey, arg_min(l_linestatus, k) AS l_linestatus, max(l_discount) AS l_discount, max(l_tax) AS l_tax, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS l_returnflag, count(*) AS n_merged FROM (SELECT *, row(l_quantity, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS k FROM lineitem) GROUP BY l_orderkey",
+        "q_region_union": "SELECT l_orderkey, a.l AS start_line, a.c AS start_column, b.l AS end_line, nullif(b.c, 'inf'::DOUBLE) AS end_column FROM (SELECT l_orderkey, min({'l': l_linenumber, 'c': l_quantity}) AS a, max({'l': l_linenumber, 'c': CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 'inf'::DOUBLE END}) AS b FROM lineitem GROUP BY l_orderkey)",
+        "q_fingerprint": f"SELECT doc_id, occurrence, {fpn} AS id FROM (SELECT *, (row_number() OVER (PARTITION BY {fp} ORDER BY doc_id) - 1)::INT AS occurrence FROM documents)",
+        "q_exact_dupes": "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY coalesce(text, '') HAVING count(*) > 1",
+        "q_status_counts": "SELECT " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOPX") + " FROM orders",
+        "q_severity_pivot": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_orderpriority",
+        "q_scores": "WITH p AS (SELECT d.lang, regexp_matches(coalesce(text, ''), '(?i)idiot|moron|stupid|loser|clown') AS predicted, coalesce(toxic = 1, false) AS actual FROM documents d LEFT JOIN labels USING (doc_id)), c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, count(*) FILTER (WHERE predicted AND actual) AS tp, count(*) FILTER (WHERE predicted AND NOT actual) AS fp, count(*) FILTER (WHERE NOT predicted AND actual) AS fn FROM p GROUP BY ROLLUP (lang)) SELECT lang, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c",
+        "q_relative_recall": _regex_union() + "SELECT rule, count(DISTINCT doc_id || ':' || match) AS found, any_value(total) AS total, round(count(DISTINCT doc_id || ':' || match) / any_value(total), 6) AS recall FROM f, (SELECT count(DISTINCT doc_id || ':' || match) AS total FROM f) GROUP BY rule",
+        "q_visible": f"SELECT o_orderkey, severity_rank, confidence FROM ({_RANK}) WHERE severity_rank >= 2 AND confidence >= 40 AND NOT suppressed",
+        "q_fail_on": f"SELECT count(*) AS n_failing FROM ({_RANK}) WHERE severity_rank >= 3 AND confidence >= 70 AND NOT suppressed",
+        "q_display_topk": f"SELECT o_orderkey, severity_rank, confidence FROM ({_RANK}) ORDER BY severity_rank DESC NULLS LAST, confidence DESC, o_orderkey LIMIT 100",
+        "q_rule_index": "SELECT p_type, (dense_rank() OVER (ORDER BY p_type) - 1)::INT AS rule_index FROM (SELECT DISTINCT p_type FROM part)",
+        "q_rule_descriptors": "SELECT p_type, arg_min(p_partkey, (p_retailprice, p_partkey)) AS p_partkey, arg_min(p_name, (p_retailprice, p_partkey)) AS p_name FROM part GROUP BY p_type",
+        "q_islands": f"WITH e AS (SELECT user_id, event_id, {_DAY} AS d FROM events WHERE user_id IS NOT NULL), f AS (SELECT *, CASE WHEN d > max(d + 3) OVER (PARTITION BY user_id ORDER BY d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS g FROM e), h AS (SELECT *, 1 + sum(g) OVER (PARTITION BY user_id ORDER BY d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f) SELECT user_id, island::BIGINT AS island, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM h GROUP BY user_id, island",
+        "q_line_offsets": "WITH l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)) SELECT doc_id, line, length(lines[line]) AS n_chars, coalesce(sum(length(lines[line]) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM l",
+        "q_edit_overlaps": _SPAN + "SELECT l_orderkey, count(*) AS overlaps FROM (SELECT *, lead(s) OVER (PARTITION BY l_orderkey ORDER BY s, e, l_partkey, l_linenumber) AS next_s FROM a) WHERE next_s < e GROUP BY l_orderkey",
+        "q_reachability": "WITH RECURSIVE g AS (SELECT DISTINCT l_partkey % 61 AS a, l_suppkey * 7 % 61 AS b FROM lineitem WHERE l_quantity > 45), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT a, b FROM r",
+        "q_mark_compose": "WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), m AS (SELECT event_id, ['m' || k % 3, '~assumed:c' || k % 5, 'sqli'] AS f, ['~drop:m' || k % 3, '~assumed:c' || k % 4, event_type, CASE WHEN k % 2 = 0 THEN '~drop:sqli' ELSE 'cmdi' END] AS l FROM e), d AS (SELECT event_id, l, list_filter(f, lambda x: NOT list_contains(l, '~drop:' || x)) AS f FROM m), u AS (SELECT event_id, list_distinct(list_concat(f, l)) AS u FROM d) SELECT event_id, array_to_string(list_sort(list_concat(list_filter(u, lambda x: NOT starts_with(x, '~assumed')), list_slice(list_sort(list_filter(u, lambda x: starts_with(x, '~assumed'))), 1, 1))), '|') AS marks FROM u",
+        "q_anti_replacement": "SELECT l_suppkey, count(*) AS edges FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 3000) GROUP BY l_suppkey",
+        "q_cache_lookup": f"SELECT doc_id, coalesce(reply, -1) AS reply FROM (SELECT doc_id, {_KEY} AS key FROM documents) LEFT JOIN (SELECT {_KEY} AS key, min(item_id) AS reply FROM benchmark GROUP BY 1) USING (key)",
+        "q_set_difference": "SELECT custkey, count(*) AS n FROM (SELECT o_custkey AS custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer) GROUP BY custkey",
+        "q_triage_queue": "SELECT conv_id, turn, length(text) AS n_chars, (SELECT count(*) FROM conversations WHERE role = 'user') AS queue FROM conversations WHERE role = 'user' ORDER BY length(text) DESC, conv_id, turn LIMIT 20",
+        "q_module_names": "SELECT p_partkey, replace(regexp_replace(regexp_replace('src/' || regexp_replace(lower(p_name), '[^a-z0-9]+', '/', 'g') || CASE WHEN p_partkey % 5 = 0 THEN '/__init__.py' WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.pyw' END, '\\.pyw?$', ''), '(^|/)__init__$', ''), '/', '.') AS module FROM part",
+    }
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if k.startswith("q_")}
