@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.arrow import arrow_schema, ddl_of
+
 from .common import slices
 from .hashed import BUCKETS, LABELLED_ROWS, Cache, bucket, features, labelled, shape
 
@@ -42,6 +44,8 @@ def word_buckets(word: str) -> tuple[int, int]:
 
 def text_features(text: str) -> list[tuple[int, float]]:
     words = text.split()
+    if not words:
+        return []
     counts: Counter = Counter({bucket(AGAIN): sum(map(eq, words, words[1:]))})
     for w, n in Counter(words).items():
         for b in word_buckets(w):
@@ -104,7 +108,8 @@ def rated(docs: DataFrame, model: Ordinal, names=("expected_grade", "tail_probab
     """docs with expected grade, tail probability and verdict."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     place = docs.columns.index("text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    schema = ddl_of(docs.schema, f"{names[0]} double", f"{names[1]} double", f"{names[2]} boolean")
+    arrow = arrow_schema(schema)
 
     def run(batches):
         own = Ordinal(*shared.value)
@@ -116,9 +121,9 @@ def rated(docs: DataFrame, model: Ordinal, names=("expected_grade", "tail_probab
                 words = (text or "").split()
                 z.append((sum(map(weight.__getitem__, words)) + again * sum(map(eq, words, words[1:]))) / len(words) if words else 0.0)
             expected, tail = own.grade(np.array(z))
-            yield pa.record_batch([*part.columns, pa.array(expected), pa.array(tail), pa.array(tail >= TAIL)], [*part.schema.names, *names])
+            yield pa.record_batch([*part.columns, pa.array(expected), pa.array(tail), pa.array(tail >= TAIL)], [*part.schema.names, *names]).cast(arrow)
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"{names[0]} double", f"{names[1]} double", f"{names[2]} boolean"]))
+    return docs.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
