@@ -62,3 +62,21 @@ def relative_recall(reports: DataFrame, tool: str, key: str) -> DataFrame:
     total = reports.agg(F.countDistinct(key).alias("total"))
     found = reports.groupBy(tool).agg(F.countDistinct(key).alias("found"))
     return found.crossJoin(F.broadcast(total)).select(tool, "found", "total", F.round(F.try_divide(F.col("found").cast("double"), F.col("total")), 6).alias("recall"))
+
+
+def benchmark(labels: DataFrame, reports: DataFrame, keys: list[str], group: str, vulnerable: str) -> DataFrame:
+    """(group or 'all', tp, fp, fn, trap_hits) over distinct keys: a report on a key without a vulnerable label is false, and a trap hit if the key has a safe one."""
+    truth = labels.groupBy(*keys, group).agg(F.bool_or(vulnerable).alias("_bad"))
+    both = truth.join(reports.select(*keys, group).distinct().withColumn("_hit", F.lit(True)), [*keys, group], "full")
+    hit, bad, labelled = F.col("_hit").isNotNull(), F.coalesce("_bad", F.lit(False)), F.col("_bad").isNotNull()
+    out = both.rollup(group).agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(hit & ~bad & labelled).alias("trap_hits"), F.grouping(group).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(group)).alias(group), "tp", "fp", "fn", "trap_hits")
+
+
+def markdown(rows: DataFrame, group: str) -> str:
+    """A table of benchmark() rows, 'all' first; the groups are few."""
+    ratio = lambda a, b: f"{100 * a / b:.0f} %" if b else "-"
+    lines = [f"| {group} | TP / FP / FN | trap hits | precision | recall |", "|---|---|---|---|---|"]
+    for r in sorted(rows.collect(), key=lambda r: (r[group] != "all", r[group])):
+        lines.append(f"| {r[group]} | {r.tp} / {r.fp} / {r.fn} | {r.trap_hits} | {ratio(r.tp, r.tp + r.fp)} | {ratio(r.tp, r.tp + r.fn)} |")
+    return "\n".join(lines)

@@ -204,6 +204,14 @@ def q_scores(spark, sf_dir):
     return reporting.scores(_predictions(spark, sf_dir), "lang", "predicted", "actual")
 
 
+def q_benchmark(spark, sf_dir):
+    """Reports against labels by key, with hits on safe traps."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").join(d.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", (F.col("toxic") == 1).alias("bad"))
+    hit = d.filter(F.coalesce("text", F.lit("")).rlike("(?i)idiot|moron|[#$%&]{3}"))
+    return reporting.benchmark(lab, hit, ["doc_id"], "lang", "bad")
+
+
 def q_relative_recall(spark, sf_dir):
     """Distinct finds of each tool over those of all."""
     found = text_findings(spark, sf_dir).select("rule", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("match")).alias("key"))
@@ -364,6 +372,7 @@ def oracle_sql() -> dict[str, str]:
         "q_status_counts": "SELECT " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOPX") + " FROM orders",
         "q_severity_pivot": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_orderpriority",
         "q_scores": "WITH p AS (SELECT d.lang, regexp_matches(coalesce(text, ''), '(?i)idiot|moron|stupid|loser|clown') AS predicted, coalesce(toxic = 1, false) AS actual FROM documents d LEFT JOIN labels USING (doc_id)), c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, count(*) FILTER (WHERE predicted AND actual) AS tp, count(*) FILTER (WHERE predicted AND NOT actual) AS fp, count(*) FILTER (WHERE NOT predicted AND actual) AS fn FROM p GROUP BY ROLLUP (lang)) SELECT lang, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c",
+        "q_benchmark": "WITH t AS (SELECT doc_id, lang, bool_or(toxic = 1) AS bad FROM labels JOIN documents USING (doc_id) GROUP BY doc_id, lang), h AS (SELECT DISTINCT doc_id, lang, true AS hit FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)idiot|moron|[#$%&]{3}')), b AS (SELECT * FROM t FULL JOIN h USING (doc_id, lang)) SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, count(*) FILTER (WHERE hit AND bad) AS tp, count(*) FILTER (WHERE hit AND NOT coalesce(bad, false)) AS fp, count(*) FILTER (WHERE hit IS NULL AND bad) AS fn, count(*) FILTER (WHERE hit AND NOT bad) AS trap_hits FROM b GROUP BY ROLLUP (lang)",
         "q_relative_recall": _regex_union() + "SELECT rule, count(DISTINCT doc_id || ':' || match) AS found, any_value(total) AS total, round(count(DISTINCT doc_id || ':' || match) / any_value(total), 6) AS recall FROM f, (SELECT count(DISTINCT doc_id || ':' || match) AS total FROM f) GROUP BY rule",
         "q_visible": f"SELECT o_orderkey, severity_rank, confidence FROM ({_RANK}) WHERE severity_rank >= 2 AND confidence >= 40 AND NOT suppressed",
         "q_fail_on": f"SELECT count(*) AS n_failing FROM ({_RANK}) WHERE severity_rank >= 3 AND confidence >= 70 AND NOT suppressed",

@@ -28,6 +28,9 @@ CASES = [
     ("def a(p): hashlib.md5(p)", ("HS-CRYPTO-001", "candidate", None)),
     ("def a(p): hashlib.md5(p, usedforsecurity=False)", None),
     ("def a(p): hashlib.sha256(p)", None),
+    ("from psycopg2.extensions import encrypt_password as e; e('a', 'b')", ("HS-CRYPTO-001", "candidate", None)),
+    ("from psycopg2.extensions import encrypt_password as e; e('a', 'b', None, 'scram-sha-256')", None),
+    ("def a(c): c.pgconn.encrypt_password(b'a', b'b', b'md5')", ("HS-CRYPTO-001", "candidate", None)),
     ("def a(os): os.system(input())", None),
 ]
 
@@ -42,6 +45,11 @@ def test_labelled_lines(line, expected):
     assert got == ([expected] if expected else [])
 
 
+def test_credentials_make_a_weak_hash_high():
+    source = HEAD + "def a(password):\n    h = hashlib.md5()\n    h.update(password)\ndef b(x):\n    h = hashlib.md5()\n    h.update(x)\n"
+    assert [f["severity"] for f in found(source)] == ["high", "low"]
+
+
 def test_paths_join():
     source = HEAD + "def a(n):\n    x = 'a'\n    if n:\n        x = input()\n    os.system(x)\ndef b():\n    x = 'a'\n    for i in range(3):\n        x = x + 'b'\n    os.system(x)\n"
     assert [(f["function"], f["status"]) for f in found(source)] == [("a", "confirmed"), ("b", "suppressed")]
