@@ -86,7 +86,10 @@ def linked(rows: DataFrame) -> DataFrame:
     least fixpoints over finite sets, worked out from the new facts of each round.
     """
     fn, ret, calls, sinks = atoms(rows)
-    calls = fixpoint.stored(resolved(calls, fn))
+    # A call whose callee some file may replace links nothing.
+    names = of_kind(rows, "replaced", "path string, name string, line int").select(F.col("name").alias("callee")).distinct()
+    calls = resolved(calls, fn).join(F.broadcast(names.filter("callee = '*'").limit(1).select(F.lit(True).alias("any"))), how="left").filter("any IS NULL").drop("any")
+    calls = fixpoint.stored(calls.join(names, "callee", "left_anti"))
     param_key = lambda p, f, n: F.concat_ws("|", F.lit("p"), p, f, n)
     ret_key = lambda p, s: F.concat_ws("|", F.lit("r"), p, s)
     marks = lambda a, b: F.array_sort(F.array_union(a, b))

@@ -138,6 +138,17 @@ def test_scan_links_across_files(spark, project, tmp_path):
     assert exports.text_lines(findings).first().line.startswith("HIGH HS-CMDI-001 pkg/helper.py:4:")
 
 
+@pytest.mark.parametrize("source", ["import pkg.helper\npkg.helper.run = print\n", "import pkg.helper\nsetattr(pkg.helper, 'run', print)\n", "import sys\nsys.modules['x'] = 1\n", "globals()[str(1)] = 2\n"])
+def test_replaced_functions_link_nothing(spark, project, source):
+    (project / "patch.py").write_text(source)
+    assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "candidate"
+
+
+def test_other_stores_keep_links(spark, project):
+    (project / "patch.py").write_text("import pkg.helper\npkg.helper.other = print\nclass A:\n    pass\na = A()\na.run = 1\n")
+    assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "confirmed"
+
+
 SARIF = {
     "version": "2.1.0",
     "runs": [
