@@ -22,11 +22,51 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it. The shuffle files that it took go at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables of one operator's steps, dropped together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.names = spark, [], []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.paths += out.inputFiles()[:1]
+        return out
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """A table dealt by key, so that joins on it move the other side only."""
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"table_{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark).rstrip('/')}/{name}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        self.names.append(name)
+        self.paths.append(f"{path}/_")
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for file in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+        self.paths = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ three-word shingles. Equal sets form a class, of which only the least doc_id (it
 
 Trees. Each of TREES independent trees starts by choosing BRANCHES minwise coordinates; a representative goes to the node
 named by each coordinate and its value. Nodes of up to SMALL members are compared exhaustively. A larger node chooses
-BRANCHES coordinates again, by a hash of its path, and passes its members on, to DEPTH levels; what is still large then is
-compared in blocks, all against all. A linked pair (similarity 0.85) stays together through a level with probability
+BRANCHES coordinates again, by a hash of its path, and passes its members on, to DEPTH levels. Branching parts texts that
+share a passage, but not near copies: where DENSE of a large node's members are likely copies of its pivot, and at the last
+level, members are written as their difference from what a sample of the node has in common: the common tokens they miss and
+the others they have. Members outside the node's largest component are then compared with all others by these short lists,
+exactly, after a bound from the lists' lengths; only links come out. A linked pair (similarity 0.85) stays together through a level with probability
 1 - 0.15 ** 2, and it takes all TREES * BRANCHES first coordinates to part it: 0.15 ** 8 = 3e-7.
 
 Groups of near copies would make every pair of a node a candidate. So each node is first compared with one pivot of its
@@ -31,19 +34,21 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import Tables, cut, mix64, slices
 from .hashed import Cache
 
 WORDS = 3
 PERCENT = 85
-TREES, BRANCHES, DEPTH, SMALL = 4, 2, 6, 48
+TREES, BRANCHES, DEPTH, SMALL = 4, 2, 3, 48
 COORDINATES = 128
 #: Standard deviations that an estimate may fall short of the threshold.
 SHORT = 4.7
-BLOCK = 256
+DENSE = 0.1
+#: Members of a node that show what its members have in common, and how many of them have a common token at least.
+SEEN, COMMON = 16, 4
 ROUNDS = 2
 u64 = np.uint64
 
@@ -176,21 +181,19 @@ def likely(pairs: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the least id of each connected component, for every id that an edge names. Alternates large-star and small-star steps."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(id, comp): the least id of each connected component, for every id that an edge names. Alternates large-star and small-star steps until every id hangs on one least id that hangs on nothing."""
+    now = tables.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen[0] == 0 or tuple(seen) == state:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-        state = tuple(seen)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        both = now.select("u", "v", F.lit(1).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("down")))
+        least = tables.cut(both.groupBy("u").agg(F.min("v").alias("m"), F.sum("down").alias("down"), F.count(F.lit(1)).alias("n")))
+        if least.filter("down > 1 OR (down > 0 AND down < n)").isEmpty():
+            return least.select(F.col("u").alias("id"), F.least("u", "m").alias("comp"))
+        large = both.join(least.select("u", F.least("u", "m").alias("m")), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = tables.cut(large)
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(lower.select("u", F.col("m").alias("v")))
+        now = tables.cut(now.distinct())
 
 
 def with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -209,13 +212,10 @@ def stars(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(pivots, "node").filter("comp <> q").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def agreeing(agree: float, sigs: np.ndarray, comp: np.ndarray, other=None, other_comp=None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of different components whose signatures agree often enough; within one block i < j."""
-    same = other is None
-    other, other_comp = (sigs, comp) if same else (other, other_comp)
-    counts = np.stack([(s == other).sum(1) for s in sigs]) if len(sigs) else np.zeros((0, len(other)))
-    hit = (counts >= agree * COORDINATES) & (comp[:, None] != other_comp[None, :])
-    return np.nonzero(np.triu(hit, 1) if same else hit)
+def agreeing(agree: float, sigs: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of pairs of different components whose signatures agree often enough."""
+    counts = np.stack([(s == sigs).sum(1) for s in sigs])
+    return np.nonzero(np.triu((counts >= agree * COORDINATES) & (comp[:, None] != comp[None, :]), 1))
 
 
 def grouped(batches, key: int = 0):
@@ -277,62 +277,104 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(found, "node")
 
 
-def blocks(rows: DataFrame, agree: float) -> DataFrame:
-    """Likely pairs of nodes of any size: members are dealt to blocks, and every two blocks of a node meet in a group of their own. rows: node, rep, comp, sig, n."""
-    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    own = rows.withColumn("m", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
-    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    meet = meet.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "block", "other", "rep", "comp", "sig")
+def density(rows: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
+    """(node, dense): whether many members are likely copies of the node's pivot."""
+    pivots = rows.groupBy("node").agg(F.min_by("rep", F.xxhash64("node", "rep", F.lit(-1))).alias("p")).join(reps.select(F.col("rep").alias("p"), F.col("sig").alias("sig_p")), "p")
 
     def run(batches):
-        for g in grouped(batches):
-            rep, comp, sig = g.column("rep").to_numpy(), g.column("comp").to_numpy(), _sigs(g)
-            left = g.column("block").to_numpy() <= g.column("other").to_numpy()
-            x, y = np.flatnonzero(left), np.flatnonzero(~left)
-            if len(y):
-                i, j = agreeing(agree, sig[x], comp[x], sig[y], comp[y])
-                i, j = x[i], y[j]
-            else:
-                i, j = agreeing(agree, sig, comp)
-            if len(i):
-                yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
+        for part in batches:
+            if part.num_rows:
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (1, 2))
+                yield pa.record_batch([part.column(0), pa.array(((x == y).sum(1) >= agree * COORDINATES).astype(np.int32))], ["node", "near"])
+
+    near = rows.join(pivots, "node").select("node", "sig", "sig_p").mapInArrow(run, "node bigint, near int")
+    return near.groupBy("node").agg((F.avg("near") >= DENSE).alias("dense"))
 
-    return meet.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
 
+def differing_pairs(rows: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """The linked pairs of a node's members of different components, from the members' differences from the node's common tokens. rows: node, rep, comp."""
+    shown = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
+    seen = rows.select("node", "rep", F.row_number().over(shown).alias("k")).filter(F.col("k") <= SEEN).join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("node").agg(F.collect_list("set").alias("seen"))
 
-def path_pairs(members: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
-    """Likely pairs across components from all nodes: small ones exhaustively, larger ones along chosen paths. members: node, n, rep, comp."""
-    rows = cut(members.join(reps.select("rep", "sig"), "rep"))
+    def common(batches):
+        for part in batches:
+            out = []
+            for group in part.column("seen").to_pylist():
+                tokens, n = np.unique(np.concatenate([opened(x) for x in group]), return_counts=True)
+                out.append(tokens[n >= COMMON].tobytes())
+            yield pa.record_batch([part.column("node"), pa.array(out, pa.binary())], ["node", "common"])
+
+    def differences(batches):
+        for part in batches:
+            out = []
+            for packed, shared in zip(part.column("set").to_pylist(), part.column("common").to_pylist()):
+                tokens, usual = opened(packed), np.frombuffer(shared, u64)
+                out.append((len(tokens), len(usual), usual[~np.isin(usual, tokens)].view(np.int64).tolist(), tokens[~np.isin(tokens, usual)].view(np.int64).tolist()))
+            columns = list(zip(*out)) if out else [(), (), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.record_batch([*part.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["node", "rep", "comp", "size", "usual", "miss", "rare"])
+
+    usual = seen.mapInArrow(common, "node bigint, common binary")
+    full = rows.select("node", "rep", "comp").join(sets.withColumnRenamed("id", "rep"), "rep").join(usual, "node").select("node", "rep", "comp", "set", "common")
+    held = tables.cut(full.mapInArrow(differences, "node bigint, rep bigint, comp bigint, size bigint, usual bigint, miss array<bigint>, rare array<bigint>"))
+    largest = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("giant"))
+    # plain: tokens that are common ones; a pair's overlap is plain_a + plain_b - usual + misses and others that they share.
+    held = held.join(largest, "node").select(
+        "node", "rep", "comp", "size", "usual", (F.col("size") - F.size("rare")).alias("plain"), "miss", "rare", F.size("miss").alias("n_miss"), F.size("rare").alias("n_rare"), (F.col("comp") == F.col("giant")).alias("in_giant")
+    )
+    a = held.filter("NOT in_giant").select("node", *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "size", "plain", "miss", "rare", "n_miss", "n_rare")])
+    linked = "100 * ({0}) >= " + str(percent) + " * (size + size_a - ({0}))"
+    most = linked.format("plain + plain_a - usual + least(n_miss, n_miss_a) + least(n_rare, n_rare_a)")
+    exact = linked.format("plain + plain_a - usual + size(array_intersect(miss, miss_a)) + size(array_intersect(rare, rare_a))")
+    found = a.join(held, "node").filter(f"comp <> comp_a AND (in_giant OR rep_a < rep) AND {most} AND {exact}")
+    return found.select(F.least("rep", "rep_a").alias("a"), F.greatest("rep", "rep_a").alias("b")).distinct()
+
+
+def path_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Pairs across components that may be linked, from all nodes: small ones exhaustively, larger ones along chosen paths, dense ones by their differences. members: node, n, rep, comp."""
+    agree = agreement(percent)
+    rows = tables.cut(members.join(reps.select("rep", "sig"), "rep"))
     out = exhaustive(rows.filter(F.col("n") <= SMALL), agree)
-    large = rows.filter(F.col("n") > SMALL)
-    for level in range(1, DEPTH):
-        if large.isEmpty():
-            return out
-        rows = cut(sized(children(large, level)))
-        out = out.unionByName(exhaustive(rows.filter(F.col("n") <= SMALL), agree))
+    for level in range(1, DEPTH + 1):
         large = rows.filter(F.col("n") > SMALL)
-    if not large.isEmpty():
-        out = out.unionByName(blocks(large, agree))
+        if large.isEmpty():
+            break
+        if level == DEPTH:
+            dense, sparse = large, None
+        else:
+            large = large.join(density(large, reps, agree), "node")
+            dense, sparse = large.filter("dense"), large.filter("NOT dense")
+        out = out.unionByName(differing_pairs(dense, sets, percent, tables))
+        if sparse is not None:
+            rows = tables.cut(sized(children(sparse, level)))
+            out = out.unionByName(exhaustive(rows.filter(F.col("n") <= SMALL), agree))
     return out
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    sigs = cut(signatures(docs, words))
+    tables = Tables(docs.sparkSession)
+    sigs = tables.cut(signatures(docs, words))
     classes = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    named = sigs.join(classes, ["k1", "k2"], "left")
-    reps = cut(named.filter("doc_id = rep").select("rep", "nodes", "sig").dropDuplicates(["rep"]))
+    named = cut(sigs.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
+    reps = tables.bucketed(sigs.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "nodes", "sig").dropDuplicates(["rep"]), "rep")
     members = reps.select("rep", F.explode("nodes").alias("node"))
-    members = cut(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node"))
-    sets = cut(stored_sets(docs, members.select(F.col("rep").alias("id")).distinct(), words))
+    members = tables.cut(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node"))
+    sets = tables.bucketed(stored_sets(docs, members.select(F.col("rep").alias("id")).distinct(), words), "id")
     # Rows of one doc_id with different texts are one vertex.
-    edges = cut(named.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("b")), "b").select("a", "b"))
+    twice = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("b"))
+    edges = tables.cut(named.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(twice, "b").select("a", "b"))
     comps = None
     for turn in range(ROUNDS + 1):
         rows = with_components(members, comps)
-        pairs = likely(stars(rows, turn), reps, agreement(percent)) if turn < ROUNDS else path_pairs(rows, reps, agreement(percent))
-        edges = cut(edges.unionByName(confirmed(pairs.distinct(), sets, percent)).distinct())
-        comps = cut(components(edges))
+        pairs = likely(stars(rows, turn), reps, agreement(percent)) if turn < ROUNDS else path_pairs(rows, reps, sets, percent, tables)
+        # Components so far stand for the edges that made them.
+        edges = edges.unionByName(confirmed(pairs.distinct(), sets, percent))
+        steps = Tables(docs.sparkSession)
+        comps = (cut if turn == ROUNDS else tables.cut)(components(edges, steps))
+        steps.drop()
+        edges = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    tables.drop()
     return (
         named.select("doc_id", "n_shingles", "rep")
         .join(comps.withColumnRenamed("id", "rep"), "rep", "left")
