@@ -44,11 +44,11 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 
 
 def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """pages with `text` rid of boilerplate lines, and columns n_lines and n_dropped."""
+    """pages with `text` rid of boilerplate lines, and columns n_lines and n_dropped (which replace such columns of pages)."""
     bad = cut(boilerplate(pages, host, text, ratio, min_pages))
     size = bad.agg(F.sum(8 * F.size("_bad") + 64 + F.coalesce(F.octet_length("_host"), F.lit(0)))).first()[0] or 0
-    kept_columns = [c for c in pages.columns if c not in (text, "n_lines", "n_dropped")]
-    page = pages.select(*[F.col(f"`{c}`") for c in kept_columns], F.col(text).alias("_text"), F.col(host).alias("_key"))
+    # The other columns ride in one struct, so that no name of theirs can clash.
+    page = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_key"))
     if size <= broadcast_bytes:
         joined = page.join(F.broadcast(bad), F.col("_key").eqNullSafe(F.col("_host")), "left")
     else:
@@ -58,9 +58,9 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
     lines = split_lines(F.col("_text"))
     left = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains("_bad", F.xxhash64(x))))
     joined = joined.withColumn("_left", left)
+    clean = F.when(F.size("_left") == F.size(lines), F.col("_text")).otherwise(F.array_join("_left", "\n"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in kept_columns],
-        F.when(F.size("_left") == F.size(lines), F.col("_text")).otherwise(F.array_join("_left", "\n")).alias(text),
+        *[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")],
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size("_left"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.arrow import arrow_schema, ddl_of
+
 from .common import mix64, slices
 
 LENGTH = 100
@@ -434,7 +436,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(t.decode())
         null = left.column("text").combine_chunks().is_null().to_pylist() if left.num_rows else []
         texts = pa.array([None if n else t for t, n in zip(out, null)], pa.string())
-        return left.select(names).set_column(place, "text", texts)
+        return left.select(names).set_column(place, "text", texts).cast(arrow)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ddl_of(docs.schema)
+    arrow = arrow_schema(schema)
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
