@@ -99,6 +99,45 @@ SELECT d.doc_id, d.source AS host, coalesce(n_lines, 0) AS n_lines, coalesce(n_d
 FROM documents d LEFT JOIN k USING (doc_id)"""
 
 
+#: Pairs by shared shingles, then reachability.
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id"""
+
+#: Every window by its MD5; the first place of each stays.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, substring(h, 2 * i - 1, 2) AS x, CASE WHEN 2 * i + 198 <= len(h) THEN md5(substring(h, 2 * i - 1, 200)) END AS k FROM b),
+r AS (SELECT doc_id, i, x, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM w),
+g AS (SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS fresh FROM g),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE fresh) AS n_spans, string_agg(CASE WHEN NOT gone THEN x END, '' ORDER BY i) AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+#: Base figures and all rules at once.
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \t\n\x0b\f\r]') GROUP BY doc_id),
+v AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+h AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM h, range(0, 8) AS k(j) GROUP BY doc_id),
+f AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper, len(list_distinct(w)) AS n_distinct, len(regexp_replace(t, '[^\pL]', '', 'g')) AS n_letters, len(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > word_chars OR 2 * n_upper > n_words OR 2 * n_dup_lines > n_lines OR NOT word_chars BETWEEN 2 * n_words AND 20 * n_words OR 2 * n_letters < word_chars OR (n_words >= 100 AND 20 * n_distinct < n_words) OR 10 * n_digits > 3 * word_chars) AS kept
+FROM b"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op4_suffix_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules, pipeline)}
 
@@ -106,4 +145,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import licenses, lines
 
-    return {"op2_license_scan": licenses.oracle(), "op9_line_dedup": LINE_DEDUP_SQL.format(pages=lines.MIN_PAGES, ratio=lines.RATIO)}
+    return {
+        "op2_license_scan": licenses.oracle(),
+        "op3_near_dedup": NEAR_DEDUP_SQL,
+        "op4_suffix_dedup": REPEATS_SQL,
+        "op9_line_dedup": LINE_DEDUP_SQL.format(pages=lines.MIN_PAGES, ratio=lines.RATIO),
+        "op10_quality_rules": RULES_SQL,
+    }
