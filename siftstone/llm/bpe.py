@@ -16,13 +16,12 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import held, slices
 
 #: The pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -121,9 +120,8 @@ def merge_together(words: list[bytes], single: list[int], merges: dict) -> Itera
         yield bytes(out)
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(("bpe", path), lambda: Vocabulary(path))
 
 
 def encode(vocab: Vocabulary, texts: list[str | None]) -> list[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,19 +24,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go at once, and Arrow batches of wide rows stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v.removesuffix("b"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it. The shuffle files that it took go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with writing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +64,8 @@ class Tables:
         """A table dealt by key, so that joins on it move the other side only."""
         n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"table_{uuid.uuid4().hex}"
         path = f"{shared_folder(self.spark).rstrip('/')}/{name}"
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        with writing(self.spark):
+            df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
         self.names.append(name)
         self.paths.append(f"{path}/_")
         return self.spark.table(name)
@@ -77,6 +89,25 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), kept by this worker process for its next tasks. One object at a time: whatever else asks, and release(), lets it go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what another operator has this worker hold, and give freed memory back to the system."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about chars bytes of text (a longer single text stays whole)."""
     for batch in batches:

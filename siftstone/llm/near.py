@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, mix64, slices
+from .common import Tables, cut, mix64, release, slices
 from .hashed import Cache
 
 WORDS = 3
@@ -98,6 +98,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     names = ["doc_id", "n_shingles", "k1", "k2", "nodes", "sig"]
 
     def run(batches):
+        release()
         ids = word_cache()
         for part in slices(batches, 2_000_000):
             ids.trim()
@@ -146,6 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
     def run(batches):
+        release()
         for part in batches:
             held: dict[bytes, np.ndarray] = {}
             keep = []
@@ -244,6 +246,7 @@ def exhaustive(rows: DataFrame, agree: float) -> DataFrame:
     """Likely pairs of different components in nodes of up to SMALL members; rows: node, rep, comp, sig."""
 
     def run(batches):
+        release()
         for g in grouped(batches):
             rep = g.column("rep").to_numpy()
             i, j = agreeing(agree, _sigs(g), g.column("comp").to_numpy())

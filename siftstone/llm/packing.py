@@ -18,19 +18,18 @@ import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scaled_partitions, slices
+from .common import cut, held, scaled_partitions, slices
 
 WINDOW = 4096
 END = 2
 #: Chunks of text that a worker remembers before it starts afresh; of their cores, twice as many.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Letters that neither composition nor lower-casing joins to their neighbours; full stops and commas after them are a token run of their own.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -54,8 +53,10 @@ class Tokens:
 
     def _look_up(self, cores: set[bytes]) -> None:
         fresh = list(cores.difference(self.cores))
-        for core, got in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
-            self.cores[core] = array("I", got.ids).tobytes()
+        for a in range(0, len(fresh), 4096):  # an encoding takes a thousand bytes or so
+            part = fresh[a : a + 4096]
+            for core, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
+                self.cores[core] = array("I", got.ids).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
@@ -88,9 +89,8 @@ class Tokens:
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut_up]
 
 
-@lru_cache(2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return held(("tokens", path), lambda: Tokens(path))
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tok, end = tokens(path), END.to_bytes(4, "little")
-        for part in slices(batches, 4_000_000):
+        for part in slices(batches, 2_000_000):
             rows = []
             for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
                 ids += end

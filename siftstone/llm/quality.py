@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.arrow import arrow_schema, ddl_of
 
-from .common import slices
+from .common import release, slices
 from .hashed import BUCKETS, LABELLED_ROWS, Cache, bucket, features, labelled, shape
 
 GRADES = 3
@@ -112,6 +112,7 @@ def rated(docs: DataFrame, model: Ordinal, names=("expected_grade", "tail_probab
     arrow = arrow_schema(schema)
 
     def run(batches):
+        release()
         own = Ordinal(*shared.value)
         weight, again = Cache(own.word_weight), float(own.weights[bucket(AGAIN)])
         for part in slices(batches, 8_000_000):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.arrow import arrow_schema, ddl_of
 
-from .common import mix64, slices
+from .common import mix64, release, slices
 
 LENGTH = 100
 #: Bytes of text that are looked at together, and for each bucket.
@@ -221,6 +221,7 @@ def stretches(doc: np.ndarray, texts: list[bytes], length: int):
 
 def find_units(docs: DataFrame, n_buckets: int, length: int) -> DataFrame:
     def run(batches):
+        release()
         for part in slices(batches, SLICE):
             for ids, offsets, pieces in stretches(*texts_of(part.column(0), part.column(1)), length):
                 stretch = Stretch(pieces)
