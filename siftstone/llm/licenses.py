@@ -2,12 +2,14 @@
 containment verifies them.
 
 Texts are lower-cased and read as runs of [a-z0-9]; a shingle is five such words. A template is cut into pieces of PIECE
-shingles (short ones whole) and each piece gets BANDS one-row bands: the least hash of its shingles under each seed.
-Windows of WINDOW shingles start every STEP shingles, so any piece lies whole in some window. A piece of s shingles then
-has Jaccard similarity s / WINDOW at least with that window, and a template is missed with probability
-(1 - s / WINDOW) ** BANDS at most: 1.3e-5 for the shortest template (3 shingles, 24 bands). A window without any template
-shingle can collide in no band, so those get no bands; that loses nothing. Templates that a band of the document meets are
-kept if at least CONTAINED of their shingles stand in the document.
+shingles and each piece gets BANDS one-row bands: the least hash of its shingles under each seed. Windows of WINDOW
+shingles start every STEP shingles, so any piece lies whole in some window. It then has Jaccard similarity PIECE / WINDOW
+at least with that window, and a template that has a piece whole in the document is missed with probability
+(1 - PIECE / WINDOW) ** BANDS at most: 6e-8. If the shingles of a piece stand apart, each among others, it is met with
+probability PIECE / (PIECE + WINDOW - 1) a band: 2e-5. Templates of fewer shingles than a piece would be missed more often
+(one shingle: 4 %), so those get no bands: they are verified in every document with a template shingle, and none is missed.
+A window without any template shingle can collide in no band, so those get no bands; that loses nothing. Templates that a
+band of the document meets are kept if at least CONTAINED of their shingles stand in the document.
 
 Everything runs row by row: no shuffle, and the template tables are constants of fixed size.
 
@@ -67,12 +69,12 @@ def once(rows: DataFrame, keep: list[str], name: str, value: Column) -> DataFram
 
 
 def template_tables(spark: SparkSession) -> dict[str, tuple[list[int], list[int]]]:
-    """name -> (shingle hashes, bands of all its pieces); as many rows as TEMPLATES."""
+    """name -> (shingle hashes, bands of all its pieces, none if it is shorter than a piece); as many rows as TEMPLATES."""
     rows = spark.createDataFrame(list(TEMPLATES.items()), "name string, text string").coalesce(1)
     rows = rows.withColumn("s", shingle_hashes(word_array(F.col("text"))))
     starts = F.sequence(F.lit(1), F.greatest(F.size("s") - (PIECE - 1), F.lit(1)), F.lit(1))
     rows = rows.withColumn("b", F.flatten(F.transform(starts, lambda i: bands(F.slice(F.col("s"), i, F.lit(PIECE))))))
-    return {r.name: (sorted(set(r.s)), sorted(set(r.b))) for r in rows.collect()}
+    return {r.name: (sorted(set(r.s)), sorted(set(r.b)) if len(r.s) >= PIECE else []) for r in rows.collect()}
 
 
 def _longs(values: list[int]) -> Column:
@@ -95,7 +97,8 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hits = []
     for name, (shingles, own) in sorted(tables.items()):
         share = F.size(F.array_intersect("_s", _longs(shingles))) / F.lit(float(len(shingles)))
-        hits.append(F.when(F.arrays_overlap("_bands", _longs(own)), F.struct(F.lit(name).alias("license"), share.alias("containment"))))
+        met = F.arrays_overlap("_bands", _longs(own)) if own else F.lit(True)
+        hits.append(F.when(met, F.struct(F.lit(name).alias("license"), share.alias("containment"))))
     return (
         rows.select(id_col, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_hit"))
         .select(id_col, "_hit.license", "_hit.containment")

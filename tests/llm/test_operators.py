@@ -133,6 +133,15 @@ def test_license_bands_find_every_place(spark):
     assert licenses.found(df).filter("license = 'mit'").count() == 40
 
 
+def test_license_scan_misses_no_short_template(spark):
+    """Templates of one and three shingles among random neighbours, each in one place of 3,000."""
+    rng = random.Random(4)
+    around = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30)))
+    for name in ("mit", "cc-by-nc-4.0"):
+        texts = [f"{around()} {licenses.TEMPLATES[name]} {around()}" for _ in range(3000)]
+        assert licenses.found(frame(spark, texts)).filter(F.col("license") == name).count() == 3000
+
+
 def test_license_scan_is_native(spark, small):
     plan = licenses.found(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
