@@ -46,11 +46,21 @@ def strip_controls(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for the empty text."""
+    """Shannon entropy of the characters, in bits; 0 for the empty text. One sort of the characters, then one pass over the ends of their runs."""
+
+    def once(value, body):
+        return F.transform(F.array(value), body)[0]
+
+    def ends(chars):
+        return F.filter(F.transform(chars, lambda c, i: F.when((i + 1 == F.size(chars)) | (c != F.get(chars, i + 1)), i + 1)), lambda e: e.isNotNull())
+
+    def bits(ends):
+        n = F.element_at(ends, -1).cast("double")
+        shares = F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))) / n)
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, once(once(F.array_sort(chars), ends), bits)).otherwise(F.lit(0.0))
 
 
 def glob_regex(pattern: str) -> str:

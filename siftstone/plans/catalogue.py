@@ -80,6 +80,11 @@ def q_entropy(spark, sf_dir):
     return docs.select("doc_id", F.round(text.entropy(F.substring(F.coalesce("text", F.lit("")), 1, 64)), 6).alias("entropy"))
 
 
+def q_entropy_whole(spark, sf_dir):
+    """A18, of whole texts; q_entropy covers the first 64 characters, as its SQL says."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.coalesce("text", F.lit(""))), 6).alias("entropy"))
+
+
 def q_classify(spark, sf_dir):
     """Normalised CWE list, class and whether the class may be merged."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -82,3 +82,20 @@ def test_fixpoint_says_when_it_is_cut(spark):
     onward = edges.withColumnRenamed("a", "v").withColumnRenamed("b", "n")
     step = lambda d: d.join(onward, d.b == onward.v).select(d.a, onward.n.alias("b"))
     assert fixpoint.fixpoint(edges, step, rounds=2)[1] is False
+
+
+def test_entropy_of_whole_texts(spark, tmp_path):
+    """Every character counts, also past the first 64, and long texts of many different characters take no longer than their length asks for."""
+    import math
+    import time
+    from collections import Counter
+
+    many = "".join(chr(0x4E00 + i % 15000) for i in range(60000))
+    texts = ["a" * 64 + "bcd" * 50, "", None, "\U0001f600a\U0001f600\u00e9", "aabb", many, "x" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    begun = time.monotonic()
+    got = {r.doc_id: r.entropy for r in catalogue.q_entropy_whole(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - begun < 60
+    for i, t in enumerate(texts):
+        want = sum(-n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+        assert abs(got[i] - want) < 2e-6, i
