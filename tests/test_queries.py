@@ -99,3 +99,11 @@ def test_entropy_of_whole_texts(spark, tmp_path):
     for i, t in enumerate(texts):
         want = sum(-n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
         assert abs(got[i] - want) < 2e-6, i
+
+
+def test_cache_lookup_of_whole_texts(spark, tmp_path):
+    """Texts of one head and other tails have keys of their own."""
+    head = "h" * 40
+    spark.createDataFrame([(0, head + "a"), (1, head + "b"), (2, head + "c"), (3, None), (4, "short")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, head + "a"), (8, head + "b"), (9, head + "b"), (5, "short")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id: r.reply for r in catalogue.q_cache_lookup_whole(spark, str(tmp_path)).collect()} == {0: 7, 1: 8, 2: -1, 3: -1, 4: 5}
