@@ -285,6 +285,19 @@ def q_reachability(spark, sf_dir):
     return fixpoint.reach(edges, "a", "b")
 
 
+def q_reach_counts(spark, sf_dir):
+    """N4, N6, on every row and its own keys: each line of an order leads to the next, the last to the first; how many lines each reaches.
+
+    The graph grows with the table; q_reachability folds some rows to 61 nodes, as its SQL says.
+    """
+    t = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.select("l_orderkey", F.row_number().over(order).alias("line"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    node = lambda line: F.struct("l_orderkey", line.cast("bigint").alias("line"))
+    edges = lines.select(node(F.col("line")).alias("a"), node(F.col("line") % F.col("n") + 1).alias("b"))
+    return fixpoint.reach(edges, "a", "b").groupBy("a").agg(F.count(F.lit(1)).alias("reached")).select("a.l_orderkey", "a.line", "reached")
+
+
 def q_mark_compose(spark, sf_dir):
     """Mark sets along a path."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

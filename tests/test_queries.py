@@ -107,3 +107,23 @@ def test_cache_lookup_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, head + "a"), (1, head + "b"), (2, head + "c"), (3, None), (4, "short")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, head + "a"), (8, head + "b"), (9, head + "b"), (5, "short")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id: r.reply for r in catalogue.q_cache_lookup_whole(spark, str(tmp_path)).collect()} == {0: 7, 1: 8, 2: -1, 3: -1, 4: 5}
+
+
+def test_reach_counts_cover_every_row(spark):
+    """Closure worked out in plain Python: every line of every order is a node, and reaches all lines of its order."""
+    from collections import defaultdict
+
+    sizes = defaultdict(int)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").collect():
+        sizes[r.l_orderkey] += 1
+    want = {}
+    for k, n in sizes.items():
+        after = {i: i % n + 1 for i in range(1, n + 1)}
+        for start in after:
+            seen, at = set(), start
+            while after[at] not in seen:
+                at = after[at]
+                seen.add(at)
+            want[k, start] = len(seen)
+    got = [(r.l_orderkey, r.line, r.reached) for r in catalogue.q_reach_counts(spark, SF).collect()]
+    assert len(got) == sum(sizes.values()) and {(k, i): n for k, i, n in got} == want
