@@ -81,10 +81,11 @@ class File:
                 self.bind(scope, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0])
         elif isinstance(node, ast.ImportFrom):
             for a in node.names:
+                origin = self.origin(node)
                 if a.name == "*":
-                    scope.stars.add(node.module or "")
+                    scope.stars.add(".." if origin is None else origin)
                 else:
-                    self.bind(scope, a.asname or a.name, f"{node.module}.{a.name}" if node.module and not node.level else None)
+                    self.bind(scope, a.asname or a.name, None if origin is None else f"{origin}.{a.name}")
         elif isinstance(node, (ast.Global, ast.Nonlocal)):
             for x in node.names:
                 scope.declared[x] = "global" if isinstance(node, ast.Global) else "nonlocal"
@@ -99,6 +100,19 @@ class File:
             self.bind(scope, node.name, None)
         self._walk(node, scope, name)
 
+    def origin(self, node: ast.ImportFrom) -> str | None:
+        """The dotted module that names come from, relative ones by the file's package; None above the root.
+
+        Below the root itself, whose package has no name, it starts with a dot, so that no outside module is meant.
+        """
+        if not node.level:
+            return node.module
+        package = self.path.split("/")[:-1]
+        up = node.level - 1
+        if up > len(package):
+            return None
+        return ".".join([*(package[: len(package) - up] or [""]), *([node.module] if node.module else [])])
+
     def bind(self, scope: Scope, name: str, target: str | None) -> None:
         how = scope.declared.get(name)
         if how == "global":

@@ -61,15 +61,34 @@ def atoms(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return fn, ret, call, sink
 
 
-def resolved(calls: DataFrame, fn: DataFrame) -> DataFrame:
-    """Calls with the function they name: one of the same file, else by exact module, else by a module suffix that one module only has."""
+#: Imports followed from a call to its function, at most.
+IMPORT_DEPTH = 8
+
+
+def resolved(calls: DataFrame, fn: DataFrame, imports: DataFrame) -> DataFrame:
+    """Calls with the function they name: one of the same file, else by exact module, else by a module suffix that one module only has.
+
+    A module has its functions and the names that it imports; those are followed to the function.
+    """
     f = fn.select("path", "name", "module", "params", "positional")
+    # Names relative to the root start with a dot, its modules' names do not.
+    inside = lambda t: F.regexp_replace(t, r"^\.(?=.*\.)", "")
+    calls = calls.withColumn("target", inside(F.col("target")))
     parts = F.split("module", "\\.")
-    names = f.select("path", "name", "params", "positional", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"), "module")
+    both = f.withColumn("origin", F.lit(None).cast("string")).unionByName(imports.select("path", "name", text.module_name(F.col("path")).alias("module"), inside(F.col("target")).alias("origin")), allowMissingColumns=True)
+    names = both.select("path", "name", "params", "positional", "origin", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"), "module")
     names = names.withColumn("dotted", F.concat("suffix", F.lit("."), "name"))
     unique = names.groupBy("dotted").agg(
-        F.min_by(F.struct("path", "name", "params", "positional"), F.when(F.col("suffix") == F.col("module"), 0).otherwise(1)).alias("f"), F.countDistinct("path").alias("n"), F.count_if(F.col("suffix") == F.col("module")).alias("exact")
+        F.min_by(F.struct("path", "name", "params", "positional", "origin"), F.when(F.col("suffix") == F.col("module"), 0).otherwise(1)).alias("f"), F.countDistinct("path").alias("n"), F.count_if(F.col("suffix") == F.col("module")).alias("exact")
     ).filter("exact = 1 OR n = 1")
+    unique = fixpoint.stored(unique.select("dotted", "f"))
+    passed = unique.filter("f.origin IS NOT NULL").select("dotted", F.col("f.origin").alias("origin"))
+    unique = delta = unique.filter("f.origin IS NULL")
+    for _ in range(IMPORT_DEPTH):
+        delta = fixpoint.stored(passed.join(delta.select(F.col("dotted").alias("origin"), "f"), "origin").select("dotted", "f"))
+        if delta.isEmpty():
+            break
+        unique = unique.unionByName(delta)
     local = calls.join(f.select(F.col("path").alias("callee_path"), F.col("name").alias("callee"), "params", "positional"), (F.col("path") == F.col("callee_path")) & (F.col("target") == F.col("callee")))
     far = calls.join(unique, F.col("target") == F.col("dotted")).select(*calls.columns, F.col("f.path").alias("callee_path"), F.col("f.name").alias("callee"), F.col("f.params").alias("params"), F.col("f.positional").alias("positional"))
     both = local.select(*calls.columns, "callee_path", "callee", "params", "positional").unionByName(far)
@@ -88,7 +107,8 @@ def linked(rows: DataFrame) -> DataFrame:
     fn, ret, calls, sinks = atoms(rows)
     # A call whose callee some file may replace links nothing.
     names = of_kind(rows, "replaced", "path string, name string, line int").select(F.col("name").alias("callee")).distinct()
-    calls = resolved(calls, fn).join(F.broadcast(names.filter("callee = '*'").limit(1).select(F.lit(True).alias("any"))), how="left").filter("any IS NULL").drop("any")
+    imports = of_kind(rows, "import", "path string, name string, target string")
+    calls = resolved(calls, fn, imports).join(F.broadcast(names.filter("callee = '*'").limit(1).select(F.lit(True).alias("any"))), how="left").filter("any IS NULL").drop("any")
     calls = fixpoint.stored(calls.join(names, "callee", "left_anti"))
     param_key = lambda p, f, n: F.concat_ws("|", F.lit("p"), p, f, n)
     ret_key = lambda p, s: F.concat_ws("|", F.lit("r"), p, s)

@@ -138,6 +138,31 @@ def test_scan_links_across_files(spark, project, tmp_path):
     assert exports.text_lines(findings).first().line.startswith("HIGH HS-CMDI-001 pkg/helper.py:4:")
 
 
+@pytest.mark.parametrize(
+    "files",
+    [
+        {"app/a.py": "from .helper import run\n\ndef go():\n    run(input())\n"},
+        {"app/a.py": "from . import helper\n\ndef go():\n    helper.run(input())\n"},
+        {"app/sub/a.py": "from ..helper import run\n\ndef go():\n    run(input())\n"},
+        {"app/__init__.py": "from .helper import run\n", "a.py": "from app import run\n\ndef go():\n    run(input())\n"},
+        {"app/__init__.py": "from .mid import act\n", "app/mid.py": "from .helper import run as act\n", "a.py": "from app import act\n\ndef go():\n    act(input())\n"},
+    ],
+)
+def test_relative_imports_and_reexports_link(spark, tmp_path, files):
+    for path, content in ({"app/helper.py": "import os\n\ndef run(name):\n    os.system('echo ' + name)\n"} | files).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content)
+    findings, _ = scan.scan(spark, str(tmp_path))
+    assert [(r.path, r.status) for r in findings.collect()] == [("app/helper.py", "confirmed")]
+
+
+def test_relative_imports_mean_no_outside_module():
+    """A sibling named as a library's module is not that module; nothing lies above the root."""
+    for line in ("from .subprocess import run", "from ...subprocess import run", "from .subprocess import *"):
+        rows = engine.analyze("a.py", (line + "\nrun(input(), shell=True)\n").encode(), list(rules.BUILT_IN))
+        assert not [v for k, v in rows if k == "finding"], line
+
+
 @pytest.mark.parametrize("source", ["import pkg.helper\npkg.helper.run = print\n", "import pkg.helper\nsetattr(pkg.helper, 'run', print)\n", "import sys\nsys.modules['x'] = 1\n", "globals()[str(1)] = 2\n"])
 def test_replaced_functions_link_nothing(spark, project, source):
     (project / "patch.py").write_text(source)
