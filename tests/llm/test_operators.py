@@ -399,6 +399,17 @@ def test_tokens_random():
         assert tok.encode([t])[0] == np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_tokens_signs_and_forgetting(monkeypatch):
+    """Signs after letters, texts in one batch, and a memory that is emptied at every step."""
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = packing.Tokens(path), random.Random(3)
+    words = ["it", "It's", "don't", "a'", "x_y", "ß", "Ünder", "été", "42", "e\u0301", "naïve", "<|endoftext|>", "…", "\u00a0", "I'LL", "日本"]
+    for _ in range(120):
+        texts = [rng.choice([None, "", " "])] + ["".join(rng.choice(words) + "".join(rng.choices(".,;:!?*&#$%()[]{}<>|~^`\"'\\/@-_+=", k=rng.randrange(4))) + rng.choice([" ", "\n", "\t", ""]) for _ in range(12)) for _ in range(5)]
+        assert tok.encode(texts) == [np.array(tok.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 # 9: line dedup
 
 
