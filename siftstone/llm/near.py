@@ -34,7 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, cut, mix64, release, slices
@@ -50,6 +50,8 @@ DENSE = 0.1
 #: Members of a node that show what its members have in common, and how many of them have a common token at least.
 SEEN, COMMON = 16, 4
 ROUNDS = 2
+#: Nodes with more than one part in HOT of all rows, and more than LARGE members, are joined by broadcast.
+HOT, LARGE = 500, 200
 u64 = np.uint64
 
 _TIMES = mix64(np.arange(1, 64)) | u64(1)
@@ -198,20 +200,35 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         now = tables.cut(now.distinct())
 
 
-def with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of nodes with their components; nodes that hold one component only are left out."""
-    if comps is None:
-        return members.withColumn("comp", F.col("rep"))
-    rows = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
-    return rows.join(mixed, "node")
+def attached(rows: DataFrame, facts: DataFrame, tables: Tables) -> DataFrame:
+    """rows joined by node to facts (node, n, ...), which sum up rows of these nodes.
 
+    A node with more than one part in HOT of the rows would be one long task; there are HOT such nodes at most, so their
+    facts are broadcast. The others are joined by a shuffle.
+    """
+    facts = tables.cut(facts)
+    most = max(LARGE, (facts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(facts.filter(F.col("n") > most))
+    rest = rows.join(hot.select("node"), "node", "left_anti").join(facts.filter(F.col("n") <= most), "node")
+    return rows.join(hot, "node").unionByName(rest)
 
-def stars(rows: DataFrame, turn: int) -> DataFrame:
+
+def with_components(members: DataFrame, comps: DataFrame | None, tables: Tables) -> DataFrame:
+    """(node, rep, comp, n): members of nodes with their components; nodes that hold one component only are left out."""
+    rows = members.select("node", "rep")
+    if comps is not None:
+        rows = rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+        rows = tables.cut(rows.withColumn("comp", F.coalesce("comp", "rep")))
+    else:
+        rows = rows.withColumn("comp", F.col("rep"))
+    return sized(rows, tables)
+
+
+def stars(rows: DataFrame, turn: int, tables: Tables) -> DataFrame:
     """Pairs of each node's pivot of this turn with the members of other components."""
     order = F.xxhash64("node", "rep", F.lit(turn))
-    pivots = rows.groupBy("node").agg(F.min_by("rep", order).alias("p"), F.min_by("comp", order).alias("q"))
-    return rows.join(pivots, "node").filter("comp <> q").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    pivots = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", order).alias("p"), F.min_by("comp", order).alias("q"))
+    return attached(rows.drop("n"), pivots, tables).filter("comp <> q").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
 def agreeing(agree: float, sigs: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,31 +275,26 @@ def exhaustive(rows: DataFrame, agree: float) -> DataFrame:
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """Each member goes on to BRANCHES nodes, named by the coordinates that its node chooses."""
+    """(node, rep, comp): each member goes on to BRANCHES nodes, named by the coordinates that its node chooses. rows: node, rep, comp, sig."""
 
-    def run(batches):
-        for part in batches:
-            if not part.num_rows:
-                continue
-            node, sig = part.column("node").to_numpy().view(u64), _sigs(part)
-            for k in range(BRANCHES):
-                choice = mix64(node + u64(level * BRANCHES + k + 1))
-                at = (choice % u64(COORDINATES - TREES * BRANCHES)).astype(np.int64) + TREES * BRANCHES
-                child = mix64(choice ^ mix64(sig[np.arange(len(sig)), at].astype(u64) + u64(1))).view(np.int64)
-                yield pa.record_batch([pa.array(child), part.column("rep"), part.column("comp"), part.column("sig")], ["node", "rep", "comp", "sig"])
+    def child(k: int) -> Column:
+        choice = F.xxhash64("node", F.lit(level), F.lit(k))
+        at = (F.pmod(choice, F.lit(COORDINATES - TREES * BRANCHES)) + (TREES * BRANCHES + 1)).cast("int")
+        return F.xxhash64(choice, F.substring(F.col("sig"), at, F.lit(1)))
 
-    return rows.select("node", "rep", "comp", "sig").mapInArrow(run, "node bigint, rep bigint, comp bigint, sig binary")
+    return rows.select(F.explode(F.array(*map(child, range(BRANCHES)))).alias("node"), "rep", "comp")
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """rows of nodes with two components at least, and the node's size n."""
+def sized(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(node, rep, comp, n): rows of nodes with two components at least, and the node's size. rows: a table."""
     found = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
-    return rows.join(found, "node")
+    return attached(rows, found, tables)
 
 
-def density(rows: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
-    """(node, dense): whether many members are likely copies of the node's pivot."""
-    pivots = rows.groupBy("node").agg(F.min_by("rep", F.xxhash64("node", "rep", F.lit(-1))).alias("p")).join(reps.select(F.col("rep").alias("p"), F.col("sig").alias("sig_p")), "p")
+def density(rows: DataFrame, reps: DataFrame, agree: float, tables: Tables) -> DataFrame:
+    """rows with dense: whether many members of the node are likely copies of its pivot."""
+    pivots = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("node", "rep", F.lit(-1))).alias("p"))
+    pivots = pivots.join(reps.select(F.col("rep").alias("p"), F.col("sig").alias("sig_p")), "p")
 
     def run(batches):
         for part in batches:
@@ -290,14 +302,16 @@ def density(rows: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (1, 2))
                 yield pa.record_batch([part.column(0), pa.array(((x == y).sum(1) >= agree * COORDINATES).astype(np.int32))], ["node", "near"])
 
-    near = rows.join(pivots, "node").select("node", "sig", "sig_p").mapInArrow(run, "node bigint, near int")
-    return near.groupBy("node").agg((F.avg("near") >= DENSE).alias("dense"))
+    near = attached(rows.select("node", "sig"), pivots.select("node", "n", "sig_p"), tables).select("node", "sig", "sig_p").mapInArrow(run, "node bigint, near int")
+    found = near.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (F.avg("near") >= DENSE).alias("dense"))
+    return tables.cut(attached(rows.drop("n"), found, tables))
 
 
 def differing_pairs(rows: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """The linked pairs of a node's members of different components, from the members' differences from the node's common tokens. rows: node, rep, comp."""
-    shown = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
-    seen = rows.select("node", "rep", F.row_number().over(shown).alias("k")).filter(F.col("k") <= SEEN).join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("node").agg(F.collect_list("set").alias("seen"))
+    """The linked pairs of a node's members of different components, from the members' differences from the node's common tokens. rows: node, n, rep, comp."""
+    # About SEEN members of each node, by a hash; which ones decides the work only.
+    shown = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.col("n")) < SEEN)
+    seen = shown.select("node", "rep").join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("node").agg(F.collect_list("set").alias("seen"))
 
     def common(batches):
         for part in batches:
@@ -317,12 +331,13 @@ def differing_pairs(rows: DataFrame, sets: DataFrame, percent: int, tables: Tabl
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.record_batch([*part.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["node", "rep", "comp", "size", "usual", "miss", "rare"])
 
-    usual = seen.mapInArrow(common, "node bigint, common binary")
-    full = rows.select("node", "rep", "comp").join(sets.withColumnRenamed("id", "rep"), "rep").join(usual, "node").select("node", "rep", "comp", "set", "common")
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    usual = sizes.join(seen.mapInArrow(common, "node bigint, common binary"), "node", "left").select("node", "n", F.coalesce("common", F.lit(b"")).alias("common"))
+    full = attached(rows.select("node", "rep", "comp").join(sets.withColumnRenamed("id", "rep"), "rep"), usual, tables).select("node", "rep", "comp", "set", "common")
     held = tables.cut(full.mapInArrow(differences, "node bigint, rep bigint, comp bigint, size bigint, usual bigint, miss array<bigint>, rare array<bigint>"))
-    largest = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("giant"))
+    largest = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max_by("comp", F.struct("c", "comp")).alias("giant"))
     # plain: tokens that are common ones; a pair's overlap is plain_a + plain_b - usual + misses and others that they share.
-    held = held.join(largest, "node").select(
+    held = attached(held, largest, tables).select(
         "node", "rep", "comp", "size", "usual", (F.col("size") - F.size("rare")).alias("plain"), "miss", "rare", F.size("miss").alias("n_miss"), F.size("rare").alias("n_rare"), (F.col("comp") == F.col("giant")).alias("in_giant")
     )
     a = held.filter("NOT in_giant").select("node", *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "size", "plain", "miss", "rare", "n_miss", "n_rare")])
@@ -334,23 +349,22 @@ def differing_pairs(rows: DataFrame, sets: DataFrame, percent: int, tables: Tabl
 
 
 def path_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """Pairs across components that may be linked, from all nodes: small ones exhaustively, larger ones along chosen paths, dense ones by their differences. members: node, n, rep, comp."""
-    agree = agreement(percent)
-    rows = tables.cut(members.join(reps.select("rep", "sig"), "rep"))
-    out = exhaustive(rows.filter(F.col("n") <= SMALL), agree)
+    """Pairs across components that may be linked, from all nodes: small ones exhaustively, larger ones along chosen paths, dense ones by their differences. members: node, rep, comp, n."""
+    agree, signs = agreement(percent), reps.select("rep", "sig")
+    rows, out = tables.cut(members), None
     for level in range(1, DEPTH + 1):
+        found = exhaustive(rows.filter(F.col("n") <= SMALL).join(signs, "rep"), agree)
+        out = found if out is None else out.unionByName(found)
         large = rows.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
         if level == DEPTH:
-            dense, sparse = large, None
-        else:
-            large = large.join(density(large, reps, agree), "node")
-            dense, sparse = large.filter("dense"), large.filter("NOT dense")
-        out = out.unionByName(differing_pairs(dense, sets, percent, tables))
-        if sparse is not None:
-            rows = tables.cut(sized(children(sparse, level)))
-            out = out.unionByName(exhaustive(rows.filter(F.col("n") <= SMALL), agree))
+            out = out.unionByName(differing_pairs(large, sets, percent, tables))
+            break
+        # Signatures are joined anew at each level: only node, rep and comp are moved on.
+        large = density(tables.cut(large.join(signs, "rep")), reps, agree, tables)
+        out = out.unionByName(differing_pairs(large.filter("dense"), sets, percent, tables))
+        rows = tables.cut(sized(tables.cut(children(large.filter("NOT dense"), level)), tables))
     return out
 
 
@@ -362,15 +376,15 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     named = cut(sigs.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
     reps = tables.bucketed(sigs.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "nodes", "sig").dropDuplicates(["rep"]), "rep")
     members = reps.select("rep", F.explode("nodes").alias("node"))
-    members = tables.cut(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node"))
+    members = tables.cut(attached(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), tables))
     sets = tables.bucketed(stored_sets(docs, members.select(F.col("rep").alias("id")).distinct(), words), "id")
     # Rows of one doc_id with different texts are one vertex.
     twice = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("b"))
     edges = tables.cut(named.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(twice, "b").select("a", "b"))
     comps = None
     for turn in range(ROUNDS + 1):
-        rows = with_components(members, comps)
-        pairs = likely(stars(rows, turn), reps, agreement(percent)) if turn < ROUNDS else path_pairs(rows, reps, sets, percent, tables)
+        rows = with_components(members, comps, tables)
+        pairs = likely(stars(rows, turn, tables), reps, agreement(percent)) if turn < ROUNDS else path_pairs(rows, reps, sets, percent, tables)
         # Components so far stand for the edges that made them.
         edges = edges.unionByName(confirmed(pairs.distinct(), sets, percent))
         steps = Tables(docs.sparkSession)
