@@ -1,13 +1,16 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
-A line is boilerplate on a host if it stands on more than `ratio` of the host's pages (the host has at least `min_pages`).
+A line is boilerplate on a host if it stands on more than `ratio` of the host's pages and on `support` pages at least. Both
+hold for hosts of every size: on few pages the support decides, on many the ratio.
 The distinct lines of each page are counted by (host, line hash); sums are made before the shuffle, so a host with a
 third of all pages sends a row per task and line. A host has at most (mean distinct lines a page) / ratio boilerplate
 lines, which bounds the list that goes with it. The lists are joined to the pages by broadcast if their measured size is
 within `broadcast_bytes`; beyond it both sides are salted.
 
-Defined results: a null text stays null with no lines; blank lines are never boilerplate; a null host is a host of its
-own; a line is counted once a page however often it is repeated there, and all its copies go; other columns pass through.
+Defined results: a null text stays null with no lines; blank lines (of white space only) are never boilerplate; a null host
+is a host of its own; a line is counted once a page however often it is repeated there, and all its copies go; each row is
+a page, so repeated rows count as often as they are there; texts are read whole, of any length; other columns pass through,
+whatever their names, but for those of the names in `counts`, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RATIO = 0.05
-MIN_PAGES = 40
+SUPPORT = 8
+#: White space of which a blank line consists.
+BLANKS = " \t\x0b\x0c\r"
 BROADCAST_BYTES = 4 << 20
 SALTS = 64
 
@@ -27,14 +32,18 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def blank(line: Column) -> Column:
+    return F.length(F.trim(line, F.lit(BLANKS))) == 0
+
+
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, support: int = SUPPORT) -> DataFrame:
     """(host, lines): hashes of each host's boilerplate lines."""
     base = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
-    lines = F.filter(split_lines(F.col("_text")), lambda x: F.length(F.trim(x)) > 0)
+    lines = F.filter(split_lines(F.col("_text")), lambda x: ~blank(x))
     hashes = F.transform(F.array_distinct(lines), lambda x: F.xxhash64(x))
     per_line = base.select("_host", F.explode(hashes).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    totals = base.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
-    common = per_line.filter(F.col("_n") >= max(1, int(ratio * min_pages))).withColumnRenamed("_host", "_h")
+    totals = base.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    common = per_line.filter(F.col("_n") >= support).withColumnRenamed("_host", "_h")
     return (
         common.join(totals, F.col("_h").eqNullSafe(F.col("_host")))
         .filter(F.col("_n") > F.lit(ratio) * F.col("_pages"))
@@ -43,12 +52,13 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     )
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """pages with `text` rid of boilerplate lines, and columns n_lines and n_dropped (which replace such columns of pages)."""
-    bad = cut(boilerplate(pages, host, text, ratio, min_pages))
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, support: int = SUPPORT, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+    """pages with `text` rid of boilerplate lines, and columns of counts (which replace such columns of pages; without names there are none)."""
+    columns = [c for c in pages.columns if c.lower() not in {n.lower() for n in counts}]
+    bad = cut(boilerplate(pages, host, text, ratio, support))
     size = bad.agg(F.sum(8 * F.size("_bad") + 64 + F.coalesce(F.octet_length("_host"), F.lit(0)))).first()[0] or 0
     # The other columns ride in one struct, so that no name of theirs can clash.
-    page = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_key"))
+    page = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_key"))
     if size <= broadcast_bytes:
         joined = page.join(F.broadcast(bad), F.col("_key").eqNullSafe(F.col("_host")), "left")
     else:
@@ -56,11 +66,10 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
         bad = bad.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = page.join(bad, F.col("_key").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_s")), "left")
     lines = split_lines(F.col("_text"))
-    left = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains("_bad", F.xxhash64(x))))
+    left = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: blank(x) | ~F.array_contains("_bad", F.xxhash64(x))))
     joined = joined.withColumn("_left", left)
     clean = F.when(F.size("_left") == F.size(lines), F.col("_text")).otherwise(F.array_join("_left", "\n"))
     return joined.select(
-        *[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(lines) - F.size("_left"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        *[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns],
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(c) for c, n in zip(counts, (F.size(lines), F.size(lines) - F.size("_left")))],
     )
