@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -85,6 +86,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that no column has, whatever its case."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop plans, generated code and broadcast blocks that no one holds any more; an operator of many steps would gather them."""
+    gc.collect()
+    release()
+    spark._jvm.System.gc()
+
+
+def give_back(spark: SparkSession) -> None:
+    """Have the executors return heap that they no longer use, before a stage whose Python workers need the room beside them.
+
+    A heap that has grown stays grown until a full collection; each task asks its JVM for one.
+    """
+    tidy(spark)
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

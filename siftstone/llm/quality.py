@@ -8,8 +8,9 @@ text whose tail is under TAIL is rejected.
 Fitted on at most LABELLED_ROWS labelled rows by full-batch AdaGrad, the same for the same rows. With no labelled row, or
 one grade only, all thresholds follow the smoothed shares and nothing but the share decides.
 
-Defined results: null and empty texts have x = 0; whole texts are read; repeated rows get equal results; other columns
-pass through the filter.
+Defined results: null and empty texts have x = 0; whole texts are read, of any length; repeated rows get equal results;
+other columns pass through the filter as they are, whatever their names (rated() replaces those of its own names); an empty
+table gives an empty result, and labels of documents that are not there do not count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.arrow import arrow_schema, ddl_of
 
-from .common import release, slices
+from .common import fresh, release, slices
 from .hashed import BUCKETS, LABELLED_ROWS, Cache, bucket, features, labelled, shape
 
 GRADES = 3
@@ -105,7 +106,8 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Ord
 
 
 def rated(docs: DataFrame, model: Ordinal, names=("expected_grade", "tail_probability", "accepted")) -> DataFrame:
-    """docs with expected grade, tail probability and verdict."""
+    """docs with expected grade, tail probability and verdict, which replace columns of these names."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}])
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     place = docs.columns.index("text")
     schema = ddl_of(docs.schema, f"{names[0]} double", f"{names[1]} double", f"{names[2]} boolean")
@@ -129,6 +131,6 @@ def rated(docs: DataFrame, model: Ordinal, names=("expected_grade", "tail_probab
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """The rows of docs that the classifier accepts, with their own columns only."""
-    names = ("_expected_grade", "_tail_probability", "_accepted")
+    names = tuple(fresh(n, docs.columns) for n in ("expected_grade", "tail_probability", "accepted"))
     done = rated(docs, fitted(docs, labels, rows), names)
-    return done.filter(names[2]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done.filter(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
