@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
@@ -33,6 +33,14 @@ class File:
         self.parent: dict[ast.AST, ast.AST] = {}
         self.qualname: dict[ast.AST, str] = {}
         self.stored_attributes: set[str] = set()
+        # Indexes, so that rules need no walk over the tree: what names are given, how often they are bound, calls of their update().
+        self.given: dict[str, list[tuple[ast.AST, ast.expr]]] = defaultdict(list)
+        self.bindings: Counter = Counter()
+        self.updates: dict[str, list[ast.Call]] = defaultdict(list)
+        #: Whether code of this file may write any name of the module.
+        self.exposed = False
+        #: Secrets that texts must not show, the longest first.
+        self.hidden: tuple[str, ...] = ()
         top = Scope(self.tree, None)
         self.module = top
         self._walk(self.tree, top, "")
@@ -43,6 +51,7 @@ class File:
 
     def _visit(self, node: ast.AST, parent: ast.AST, scope: Scope, name: str) -> None:
         self.parent[node], self.scope_of[node] = parent, scope
+        self._index(node, scope)
         if isinstance(node, (*FUNCTIONS, ast.ClassDef)):
             own = getattr(node, "name", "<lambda>")
             if not isinstance(node, ast.Lambda):
@@ -100,6 +109,25 @@ class File:
             self.bind(scope, node.name, None)
         self._walk(node, scope, name)
 
+    def _index(self, node: ast.AST, scope: Scope) -> None:
+        if isinstance(node, ast.Assign):
+            for t in node.targets:
+                if isinstance(t, ast.Name):
+                    self.given[t.id].append((node, node.value))
+        elif isinstance(node, (ast.AnnAssign, ast.NamedExpr)):
+            if isinstance(node.target, ast.Name) and node.value:
+                self.given[node.target.id].append((node, node.value))
+        elif isinstance(node, ast.With):
+            for i in node.items:
+                if isinstance(i.optional_vars, ast.Name):
+                    self.given[i.optional_vars.id].append((node, i.context_expr))
+        elif isinstance(node, ast.Call):
+            func = node.func
+            if isinstance(func, ast.Attribute) and func.attr == "update" and isinstance(func.value, ast.Name):
+                self.updates[func.value.id].append(node)
+            elif isinstance(func, ast.Name):
+                self.exposed |= func.id == "globals" or func.id == "vars" and not node.args or func.id in ("exec", "locals") and scope is self.module
+
     def origin(self, node: ast.ImportFrom) -> str | None:
         """The dotted module that names come from, relative ones by the file's package; None above the root.
 
@@ -114,6 +142,7 @@ class File:
         return ".".join([*(package[: len(package) - up] or [""]), *([node.module] if node.module else [])])
 
     def bind(self, scope: Scope, name: str, target: str | None) -> None:
+        self.bindings[name] += 1
         how = scope.declared.get(name)
         if how == "global":
             scope = self.module
@@ -158,20 +187,20 @@ class File:
         """Values assigned to name before node in the same function; else those at module level."""
         where = self.function_of(node) or self.tree
         for home in dict.fromkeys((where, self.tree)):
-            found = []
-            for x in ast.walk(home):
-                if getattr(x, "lineno", 0) > node.lineno or (self.function_of(x) or self.tree) is not home:
-                    continue
-                if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == name for t in x.targets):
-                    found.append(x.value)
-                elif isinstance(x, (ast.AnnAssign, ast.NamedExpr)) and isinstance(x.target, ast.Name) and x.target.id == name and x.value:
-                    found.append(x.value)
-                elif isinstance(x, ast.With):
-                    found += [i.context_expr for i in x.items if isinstance(i.optional_vars, ast.Name) and i.optional_vars.id == name]
+            found = [value for x, value in self.given[name] if x.lineno <= node.lineno and (self.function_of(x) or self.tree) is home]
             if found:
                 return found
         return []
 
+    def shown(self, node: ast.AST) -> str:
+        """The node's code in one spelling, without secrets."""
+        return self.without_secrets(ast.unparse(node))
+
+    def without_secrets(self, text: str) -> str:
+        for s in self.hidden:
+            text = text.replace(s, "<REDACTED>")
+        return text
+
     def segment(self, node: ast.AST) -> str:
         return ast.get_source_segment(self.text, node) or ""
 

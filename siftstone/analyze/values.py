@@ -2,27 +2,52 @@
 
 A value is a join over all paths. It is constant only if every path is; it is safe for a class only if every path made it
 so; what the interpreter does not model is unknown. So a finding is suppressed only where all paths allow it.
+
+Paths. Each way out of a block (its end, break, continue, an exception, a with block that swallows one) hands on the values
+that it leaves with. Assignments in expressions count, those that may be skipped as one of two ways.
+
+Objects. Lists and the like are known by where they are made. Changing one changes every name that may hold it; a call that
+is not known may change whatever it is given, and what nested functions can see.
+
+Quoting. A quoted word is safe only as an argument, outside of quotes, of a program that cannot run others. So texts are
+followed as far as they are put together from constants and quoted words, and judged where they are run.
 """
 
 from __future__ import annotations
 
 import ast
+import itertools
+import shlex
+import string
 from typing import NamedTuple
 
 from .names import File
 
 ALL = frozenset({"sqli", "cmdi", "codei", "weak_crypto"})
 LOOPS = 5
+#: Texts that a value may be, and their length, before they count as not known.
+TEXTS, LONGEST = 3, 2000
+#: In a text: a word that shlex.quote() made, and a value that holds no shell syntax, a number for instance.
+WORD, PLAIN = "\0", "\1"
+#: The mark of quoted parts; it counts for commands where the text shows that it holds.
+QUOTED = frozenset({"quote"})
 # Inputs from outside, and calls whose results carry no payload of some classes.
 SOURCES = {"sys.argv", "sys.stdin", "input", "builtins.input", "os.environ", "flask.request"}
 REQUEST_NAMES = {"request", "req"}
 REQUEST_ATTRIBUTES = {"COOKIES", "FILES", "GET", "META", "POST", "args", "body", "cookies", "data", "files", "form", "full_path", "get_data", "get_json", "headers", "json", "path", "path_info", "path_params", "query_params", "query_string", "stream", "url", "values", "view_args"}
 ROUTES = {"api_route", "delete", "get", "head", "options", "patch", "post", "put", "route", "websocket"}
-SANITIZERS = {n: ALL for n in ("int", "float", "bool", "len", "builtins.int", "builtins.float", "uuid.UUID", "decimal.Decimal")} | {n: frozenset({"cmdi"}) for n in ("shlex.quote", "shlex.join", "pipes.quote")} | {
+SANITIZERS = {n: ALL for n in ("int", "float", "bool", "len", "builtins.int", "builtins.float", "uuid.UUID", "decimal.Decimal")} | {n: QUOTED for n in ("shlex.quote", "shlex.join", "pipes.quote")} | {
     n: frozenset({"sqli"}) for n in ("psycopg2.sql.Identifier", "psycopg2.sql.Literal", "psycopg.sql.Identifier", "psycopg.sql.Literal")
 }
+# Own choice: calls whose result is made of their arguments, text methods likewise, and calls that change nothing they are given.
 KEEPING = {"str", "repr", "format", "sorted", "list", "tuple", "set", "dict", "reversed", "os.path.join", "os.path.basename", "os.path.abspath", "pathlib.Path", "urllib.parse.unquote", "base64.b64decode", "json.loads", "json.dumps"}
 TEXT_METHODS = {"format", "join", "strip", "lstrip", "rstrip", "lower", "upper", "title", "replace", "split", "rsplit", "splitlines", "encode", "decode", "get", "pop", "items", "values", "keys", "copy", "read", "readline", "readlines", "getlist", "partition", "rpartition", "removeprefix", "removesuffix", "zfill", "ljust", "rjust"}
+ADDING = {"append", "add", "extend", "insert", "update", "setdefault", "appendleft", "extendleft", "__setitem__"}
+READING = {"print", "len", "range", "enumerate", "zip", "isinstance", "type", "abs", "min", "max", "sum", "any", "all", "hash", "id", "round", "ord", "chr", "hasattr", "bool", "int", "float"}
+#: Own choice: programs that take arguments and run no other program, whatever their options.
+INERT = {"basename", "cat", "chmod", "chown", "cksum", "cmp", "cp", "cut", "df", "diff", "dig", "dirname", "du", "echo", "egrep", "fgrep", "file", "grep", "head", "host", "id", "kill", "ln", "ls", "md5sum", "mkdir", "mv", "nl", "nslookup", "od", "ping", "readlink", "realpath", "rm", "rmdir", "sha1sum", "sha256sum", "sleep", "stat", "tail", "test", "touch", "tr", "uniq", "wc", "whois"}
+#: Own choice: what a with block is given that lets exceptions pass.
+PASSING = {"open", "connect", "connection", "cursor", "begin", "transaction", "atomic", "session", "lock", "Lock", "RLock", "TemporaryDirectory", "NamedTemporaryFile", "ZipFile", "Pool", "ThreadPoolExecutor", "ProcessPoolExecutor", "urlopen", "socket", "Popen"}
 
 
 class Part(NamedTuple):
@@ -35,8 +60,12 @@ class Part(NamedTuple):
 
 
 class Value(NamedTuple):
+    """texts: all that the value may be, as text with placeholders, None if not known; cells: objects that it may be or hold."""
+
     parts: frozenset[Part] = frozenset()
     unknown: bool = False
+    texts: frozenset[str] | None = None
+    cells: frozenset[tuple[int, int]] = frozenset()
 
     @property
     def constant(self) -> bool:
@@ -46,8 +75,34 @@ class Value(NamedTuple):
 CONSTANT, UNKNOWN = Value(), Value(unknown=True)
 
 
+def literal(value: object) -> Value:
+    return Value(texts=bounded({str(value)})) if not isinstance(value, bytes) else CONSTANT
+
+
+def bounded(texts: set[str]) -> frozenset[str] | None:
+    return frozenset(texts) if len(texts) <= TEXTS and all(len(t) <= LONGEST for t in texts) else None
+
+
+def mixed(*values: Value) -> Value:
+    """Made of all of these."""
+    return Value(frozenset().union(*(v.parts for v in values)), any(v.unknown for v in values), None, frozenset().union(*(v.cells for v in values)))
+
+
 def joined(*values: Value) -> Value:
-    return Value(frozenset().union(*(v.parts for v in values)), any(v.unknown for v in values))
+    """One of these."""
+    texts = None if any(v.texts is None for v in values) else bounded({t for v in values for t in v.texts})
+    return mixed(*values)._replace(texts=texts)
+
+
+def concatenated(values: list[Value]) -> Value:
+    """These, one after the other, as text."""
+    options = []
+    for v in values:
+        plain = v.parts and not v.unknown and all("cmdi" in p.safe for p in v.parts)
+        options.append(v.texts if v.texts is not None else {PLAIN} if plain else None)
+    if not values or any(o is None for o in options):
+        return mixed(*values)
+    return mixed(*values)._replace(texts=bounded({"".join(c) for c in itertools.islice(itertools.product(*options), TEXTS + 1)}))
 
 
 def safer(value: Value, classes: frozenset[str]) -> Value:
@@ -56,6 +111,70 @@ def safer(value: Value, classes: frozenset[str]) -> Value:
     return Value(parts | ({Part("assumed", "sanitized", 0, classes)} if value.unknown else frozenset()), False)
 
 
+def commands(text: str) -> list[tuple[bool, list[str]]] | None:
+    """(whether it reads what the one before it writes, its words) of each command; None where a quoted word would not stay one.
+
+    Shell syntax that may run a word, or read it anew, is not looked into: such texts give None.
+    """
+    if any(x in text for x in ("`", "$(", "${", "<(", ">(", "<<", "$" + WORD, "\\" + WORD, "$" + "'", '$"')):
+        return None
+    out: list[tuple[bool, list[str]]] = [(False, [])]
+    word, at, begun = "", 0, False
+    redirected = False
+
+    def end() -> None:
+        nonlocal word, begun, redirected
+        if begun:
+            out[-1][1].append(word)
+            redirected = False
+        word, begun = "", False
+
+    while at < len(text):
+        c = text[at]
+        if c in "'\"":
+            close = at + 1
+            while close < len(text) and text[close] != c:
+                close += 2 if c == '"' and text[close] == "\\" else 1
+            if close >= len(text) or WORD in text[at:close]:
+                return None
+            word, begun, at = word + text[at + 1 : close], True, close
+        elif c == "\\" and at + 1 < len(text):
+            word, begun, at = word + text[at + 1], True, at + 1
+        elif c in " \t":
+            end()
+        elif c in ";&\n(){}|":
+            end()
+            out.append((c == "|" and text[at + 1 : at + 2] != "|" and text[at - 1 : at] != "|", []))
+        elif c in "<>":
+            end()
+            redirected = True
+        elif c == "#" and not begun:
+            return None
+        else:
+            if c == WORD and redirected:
+                return None
+            word, begun = word + c, True
+        at += 1
+    end()
+    return out
+
+
+def harmless(text: str) -> bool:
+    """Whether quoted words in a command line are arguments only, of programs that run no others."""
+    found = commands(text)
+    if found is None:
+        return False
+    for reads, words in found:
+        given = any(WORD in w for w in words)
+        if not given and not (reads and WORD in text):
+            continue
+        program = words[0] if words else ""
+        name = program.rpartition("/")[2] if program.startswith("/") else program
+        if name not in INERT:
+            return False
+    return True
+
+
 class Function:
     """Interprets one body. sinks: node -> value of its argument; calls: node -> (callee names, arguments); returned: its results."""
 
@@ -66,8 +185,23 @@ class Function:
         self.returned = Value()
         self.watch: set[ast.AST] = set()
         self.route = any(isinstance(d, ast.Call) and getattr(d.func, "attr", "") in ROUTES for d in getattr(node, "decorator_list", []))
-        self.shared = {n for x in ast.walk(node) if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
-        self.opaque = any(isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in ("exec", "locals", "globals", "vars") for x in ast.walk(node))
+        self.shared: set[str] = set()
+        self.captured: set[str] = set()
+        self.opaque = file.exposed
+        self.traps: list[dict[str, Value]] = []
+        self.loops: list[tuple[list, list]] = []
+        self._look(node, False)
+
+    def _look(self, node: ast.AST, nested: bool) -> None:
+        """Names that nested scopes share or see, and calls that open the namespace."""
+        for x in ast.iter_child_nodes(node):
+            if isinstance(x, (ast.Global, ast.Nonlocal)):
+                self.shared.update(x.names)
+            elif isinstance(x, ast.Name) and nested:
+                self.captured.add(x.id)
+            elif isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in ("exec", "locals", "globals", "vars"):
+                self.opaque = True
+            self._look(x, nested or isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)))
 
     def run(self, watch: set[ast.AST]) -> None:
         self.watch = watch
@@ -81,12 +215,12 @@ class Function:
                 env[a.arg] = UNKNOWN
         self.block(self.node.body if not isinstance(self.node, ast.Lambda) else [ast.Return(value=self.node.body)], env)
 
-    def block(self, body: list[ast.stmt], env: dict[str, Value]) -> bool:
-        """Runs statements; whether the end may be reached."""
-        for s in body:
-            if not self.statement(s, env):
-                return False
-        return True
+    # Environments
+
+    def put(self, env: dict[str, Value], name: str, value: Value) -> None:
+        env[name] = value
+        for held in self.traps:  # an exception may leave with it
+            held[name] = joined(held[name], value) if name in held else value
 
     @staticmethod
     def merge(env: dict[str, Value], *others: dict[str, Value]) -> None:
@@ -94,6 +228,29 @@ class Function:
             found = [e[name] for e in others if name in e]
             env[name] = joined(*found) if found else env[name]
 
+    @staticmethod
+    def with_trapped(start: dict[str, Value], trap: dict[str, Value]) -> dict[str, Value]:
+        """Values at any point of a body: those before it, or any that it has assigned."""
+        return start | {n: joined(start[n], v) if n in start else v for n, v in trap.items()}
+
+    def change(self, cells: frozenset, value: Value, env: dict[str, Value], names: frozenset[str] = frozenset()) -> None:
+        """Objects of these cells may hold value from now on, and what else is not known."""
+        for name, held in list(env.items()):
+            if name in names or held.cells & cells:
+                self.put(env, name, mixed(held, value, UNKNOWN))
+
+    def escape(self, env: dict[str, Value], given: Value) -> None:
+        """Other code runs: it may change the objects that it is given and those that nested functions see."""
+        for name, held in list(env.items()):
+            if held.cells and (held.cells & given.cells or name in self.captured) and not held.unknown:
+                self.put(env, name, mixed(held, given, UNKNOWN))
+
+    # Statements
+
+    def block(self, body: list[ast.stmt], env: dict[str, Value]) -> bool:
+        """Runs statements; whether the end may be reached."""
+        return all(self.statement(s, env) for s in body)
+
     def statement(self, s: ast.stmt, env: dict[str, Value]) -> bool:
         if isinstance(s, ast.Assign):
             value = self.value(s.value, env)
@@ -104,15 +261,22 @@ class Function:
                 self.assign(s.target, self.value(s.value, env), env, s.value)
         elif isinstance(s, ast.AugAssign):
             old = self.value(s.target, env) if isinstance(s.target, (ast.Name, ast.Subscript)) else UNKNOWN
-            self.assign(s.target, joined(old, self.value(s.value, env)), env)
+            new = self.value(s.value, env)
+            if old.cells:  # a list is changed in place
+                self.change(old.cells, new, env)
+            self.assign(s.target, concatenated([old, new]) if isinstance(s.op, ast.Add) else mixed(old, new), env)
         elif isinstance(s, ast.Return):
             if s.value:
-                self.returned = joined(self.returned, self.value(s.value, env))
+                self.returned = mixed(self.returned, self.value(s.value, env))
             return False
         elif isinstance(s, ast.Raise):
             for x in filter(None, (s.exc, s.cause)):
                 self.value(x, env)
             return False
+        elif isinstance(s, (ast.Break, ast.Continue)):
+            if self.loops:
+                self.loops[-1][isinstance(s, ast.Continue)].append(dict(env))
+            return False
         elif isinstance(s, ast.If):
             self.value(s.test, env)
             a, b = dict(env), dict(env)
@@ -120,106 +284,160 @@ class Function:
             self.merge(env, *(ends or [a, b]))
             return bool(ends)
         elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
-            self.loop(s, env)
-        elif isinstance(s, ast.Try) or type(s).__name__ == "TryStar":
-            start = dict(env)
-            body = dict(env)
-            self.block(s.body, body)
-            entry = dict(start)
-            self.merge(entry, start, body, *self.states(s.body, start))
-            ends = [body]
-            for h in s.handlers:
-                e = dict(entry)
-                if h.name:
-                    e[h.name] = UNKNOWN
-                self.block(h.body, e)
-                ends.append(e)
-            self.block(s.orelse, body)
-            self.merge(env, *ends)
-            self.block(s.finalbody, env)
+            return self.loop(s, env)
+        elif isinstance(s, (ast.Try, ast.TryStar)):
+            return self.attempt(s, env)
         elif isinstance(s, (ast.With, ast.AsyncWith)):
-            for i in s.items:
-                value = self.value(i.context_expr, env)
-                if i.optional_vars:
-                    self.assign(i.optional_vars, joined(value, UNKNOWN), env)
-            return self.block(s.body, env)
+            return self.within(s, env)
         elif isinstance(s, ast.Match):
-            self.value(s.subject, env)
-            subject, ends = self.value(s.subject, env), [dict(env)]
+            subject, ends = self.value(s.subject, env), []
             for case in s.cases:
                 e = dict(env)
                 for x in ast.walk(case.pattern):
-                    if getattr(x, "name", None):
-                        e[x.name] = joined(subject, UNKNOWN)
-                self.block(case.body, e)
-                ends.append(e)
-            self.merge(env, *ends)
+                    name = getattr(x, "name", None) or getattr(x, "rest", None)
+                    if name:
+                        self.put(e, name, mixed(subject, UNKNOWN))
+                if case.guard:
+                    self.value(case.guard, e)
+                    self.merge(env, dict(env), e)
+                if self.block(case.body, e):
+                    ends.append(e)
+            self.merge(env, dict(env), *ends)
         elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            env[s.name] = UNKNOWN
+            outside = [*s.decorator_list, *getattr(s, "bases", []), *(k.value for k in getattr(s, "keywords", []))]
+            if not isinstance(s, ast.ClassDef):
+                outside += [*s.args.defaults, *(d for d in s.args.kw_defaults if d)]
+            for x in outside:
+                self.value(x, env)
+            if s.decorator_list or isinstance(s, ast.ClassDef):
+                self.escape(env, CONSTANT)
+            self.put(env, s.name, UNKNOWN)
         elif isinstance(s, (ast.Import, ast.ImportFrom)):
-            pass
+            for a in s.names:
+                name = a.asname or a.name.split(".")[0]
+                if name in env:
+                    self.put(env, name, UNKNOWN)
         elif isinstance(s, ast.Delete):
             for t in s.targets:
                 if isinstance(t, ast.Name):
-                    env[t.id] = UNKNOWN
+                    self.put(env, t.id, UNKNOWN)
         else:
             for x in ast.iter_child_nodes(s):
                 if isinstance(x, ast.expr):
                     self.value(x, env)
-        return not isinstance(s, (ast.Break, ast.Continue)) or True
-
-    def states(self, body: list[ast.stmt], start: dict[str, Value]) -> list[dict[str, Value]]:
-        """Environments between the statements of a try body, any of which an exception may leave."""
-        out, env = [], dict(start)
-        for s in body:
-            self.statement(s, env)
-            out.append(dict(env))
-        return out
+        return True
 
-    def loop(self, s, env: dict[str, Value]) -> None:
+    def attempt(self, s: ast.Try, env: dict[str, Value]) -> bool:
+        start, whole, trap = dict(env), {}, {}
+        before = [len(x) for x in self.loops[-1]] if self.loops else [0, 0]
+        self.traps += [whole, trap]
+        body = dict(env)
+        ended = self.block(s.body, body)
+        self.traps.pop()
+        entry = self.with_trapped(start, trap)
+        ends = [body] if ended and self.block(s.orelse, body) else []
+        for h in s.handlers:
+            e = dict(entry)
+            if h.type:
+                self.value(h.type, e)
+            if h.name:
+                self.put(e, h.name, UNKNOWN)
+            if self.block(h.body, e):
+                ends.append(e)
+        self.traps.pop()
+        if s.finalbody:
+            # With an exception or a return on its way, with a jump out, and else.
+            self.block(s.finalbody, self.with_trapped(start, whole))
+            for states, n in zip(self.loops[-1] if self.loops else (), before):
+                for state in states[n:]:
+                    self.block(s.finalbody, state)
+        if not ends:
+            return False
+        self.merge(env, *ends)
+        return self.block(s.finalbody, env)
+
+    def within(self, s: ast.With, env: dict[str, Value]) -> bool:
+        passing = True
+        for i in s.items:
+            value = self.value(i.context_expr, env)
+            if i.optional_vars:
+                self.assign(i.optional_vars, mixed(value, UNKNOWN), env)
+            made = i.context_expr.func if isinstance(i.context_expr, ast.Call) else i.context_expr
+            passing &= getattr(made, "attr", getattr(made, "id", "")) in PASSING
+        start, trap = dict(env), {}
+        self.traps.append(trap)
+        ended = self.block(s.body, env)
+        self.traps.pop()
+        if passing:
+            return ended
+        left = self.with_trapped(start, trap)  # the exception is swallowed
+        self.merge(env, *([dict(env)] if ended else []), left)
+        return True
+
+    def loop(self, s, env: dict[str, Value]) -> bool:
+        left = []
         for k in range(LOOPS + 1):
             before, inner = dict(env), dict(env)
             if isinstance(s, ast.While):
                 self.value(s.test, inner)
             else:
-                self.assign(s.target, self.value(s.iter, inner), inner)
-            self.block(s.body, inner)
-            self.merge(env, before, inner)
+                self.assign(s.target, self.value(s.iter, inner)._replace(texts=None), inner)
+            self.loops.append(([], []))
+            ended = self.block(s.body, inner)
+            breaks, continues = self.loops.pop()
+            left += breaks
+            self.merge(env, before, *continues, *([inner] if ended else []))
             if env == before:
                 break
             if k == LOOPS:  # did not settle: anything may be in there
                 for name in env:
-                    env[name] = joined(env[name], UNKNOWN)
-        self.block(s.orelse, env)
+                    self.put(env, name, mixed(env[name], UNKNOWN))
+                for state in left:
+                    self.merge(state, env, state)
+        if isinstance(s, ast.While):
+            self.value(s.test, env)
+        ended = self.block(s.orelse, env)
+        if ended or left:
+            self.merge(env, *([dict(env)] if ended else []), *left)
+        return ended or bool(left)
 
     def assign(self, target: ast.expr, value: Value, env: dict[str, Value], source: ast.expr | None = None) -> None:
         if isinstance(target, ast.Name):
-            env[target.id] = joined(value, UNKNOWN) if target.id in self.shared else value
+            self.put(env, target.id, mixed(value, UNKNOWN) if target.id in self.shared else value)
         elif isinstance(target, (ast.Tuple, ast.List)):
-            parts = source.elts if isinstance(source, (ast.Tuple, ast.List)) and len(source.elts) == len(target.elts) else None
-            for i, t in enumerate(target.elts):
-                self.assign(t.value if isinstance(t, ast.Starred) else t, self.value(parts[i], env) if parts else value, env)
+            parts = source.elts if isinstance(source, (ast.Tuple, ast.List)) and len(source.elts) == len(target.elts) and not any(isinstance(x, ast.Starred) for x in [*source.elts, *target.elts]) else None
+            values = [self.value(x, env) for x in parts] if parts else [value._replace(texts=None)] * len(target.elts)
+            for t, v in zip(target.elts, values):
+                self.assign(t.value if isinstance(t, ast.Starred) else t, v, env)
         elif isinstance(target, (ast.Subscript, ast.Attribute)):
             root = target
             while isinstance(root, (ast.Subscript, ast.Attribute)):
                 root = root.value
-            if isinstance(root, ast.Name):  # a weak update; an alias may be meant as well
-                old = env.get(root.id, UNKNOWN)
-                for name, held in list(env.items()):
-                    if name == root.id or held == old:
-                        env[name] = joined(held, value, UNKNOWN)
+            if isinstance(target, ast.Subscript):
+                self.value(target.slice, env)
+            held = self.value(root, env)
+            self.change(held.cells, value, env, frozenset({root.id}) if isinstance(root, ast.Name) else frozenset())
+
+    # Expressions
 
     def value(self, node: ast.expr | None, env: dict[str, Value]) -> Value:
         if node is None:
             return CONSTANT
         out = self._value(node, env)
         if node in self.watch:
-            self.seen[node] = joined(self.seen.get(node, CONSTANT), out)
+            self.seen[node] = joined(self.seen[node], out) if node in self.seen else out
         return out
 
+    def maybe(self, node: ast.expr, env: dict[str, Value]) -> Value:
+        """What may be left out."""
+        inner = dict(env)
+        value = self.value(node, inner)
+        self.merge(env, dict(env), inner)
+        return value
+
     def _value(self, node: ast.expr, env: dict[str, Value]) -> Value:
         if isinstance(node, ast.Constant):
-            return CONSTANT
+            return literal(node.value)
         if isinstance(node, ast.Name):
             if node.id in env:
                 return env[node.id]
@@ -236,75 +454,165 @@ class Function:
                 return self.source(node, f"{base.id}.{node.attr}")
             if isinstance(base, ast.Attribute) and base.attr == "request" and node.attr in REQUEST_ATTRIBUTES:
                 return self.source(node, f"request.{node.attr}")
-            return joined(self.value(base, env), UNKNOWN)
+            return mixed(self.value(base, env), UNKNOWN)
         if isinstance(node, ast.Call):
             return self.call(node, env)
         if isinstance(node, ast.IfExp):
             self.value(node.test, env)
-            return joined(self.value(node.body, env), self.value(node.orelse, env))
+            a, b = dict(env), dict(env)
+            out = joined(self.value(node.body, a), self.value(node.orelse, b))
+            self.merge(env, a, b)
+            return out
         if isinstance(node, ast.NamedExpr):
             value = self.value(node.value, env)
             self.assign(node.target, value, env)
-            return joined(value, UNKNOWN)
-        if isinstance(node, (ast.Compare, ast.BoolOp)):
-            values = [self.value(x, env) for x in ([node.left, *node.comparators] if isinstance(node, ast.Compare) else node.values)]
-            return CONSTANT if isinstance(node, ast.Compare) and all(v.constant for v in values) else joined(*values) if isinstance(node, ast.BoolOp) else safer(joined(*values), ALL)
-        if isinstance(node, (ast.JoinedStr, ast.BinOp)):
-            values = [self.value(x, env) for x in ast.iter_child_nodes(node) if isinstance(x, ast.expr)]
-            return joined(*values) if values else CONSTANT
+            return value
+        if isinstance(node, ast.BoolOp):
+            return joined(self.value(node.values[0], env), *(self.maybe(x, env) for x in node.values[1:]))
+        if isinstance(node, ast.Compare):
+            values = [self.value(node.left, env), self.value(node.comparators[0], env), *(self.maybe(x, env) for x in node.comparators[1:])]
+            return CONSTANT if all(v.constant for v in values) else safer(mixed(*values), ALL)
+        if isinstance(node, ast.JoinedStr):
+            return concatenated([self.value(x, env) for x in node.values]) if node.values else literal("")
         if isinstance(node, ast.FormattedValue):
-            self.value(node.format_spec, env)
-            return self.value(node.value, env)
+            value, spec = self.value(node.value, env), self.value(node.format_spec, env) if node.format_spec else None
+            as_it_is = spec is None and node.conversion in (-1, ord("s"))
+            return value if as_it_is else mixed(value, spec or CONSTANT)
+        if isinstance(node, ast.BinOp):
+            left, right = self.value(node.left, env), self.value(node.right, env)
+            if isinstance(node.op, ast.Add):
+                return concatenated([left, right])
+            if isinstance(node.op, ast.Mod) and isinstance(node.left, ast.Constant) and isinstance(node.left.value, str):
+                given = [self.value(x, env) for x in node.right.elts] if isinstance(node.right, ast.Tuple) else [right]
+                texts = node.left.value.replace("%%", PLAIN).split("%s")
+                if len(texts) == len(given) + 1 and "%" not in "".join(texts) and PLAIN not in node.left.value:
+                    pieces = [literal(t.replace(PLAIN, "%")) for t in texts]
+                    return concatenated([x for pair in itertools.zip_longest(pieces, given, fillvalue=literal("")) for x in pair])
+            return mixed(left, right)
         if isinstance(node, (ast.Tuple, ast.List, ast.Set)):
-            return joined(*(self.value(x, env) for x in node.elts)) if node.elts else CONSTANT
+            held = mixed(*(self.value(x, env) for x in node.elts)) if node.elts else CONSTANT
+            return held if isinstance(node, ast.Tuple) else self.made(node, held)
         if isinstance(node, ast.Dict):
-            return joined(*(self.value(x, env) for x in [*node.keys, *node.values] if x)) if node.values else CONSTANT
+            return self.made(node, mixed(*(self.value(x, env) for pair in zip(node.keys, node.values) for x in pair if x)) if node.values else CONSTANT)
         if isinstance(node, ast.Subscript):
+            base = self.value(node.value, env)
             self.value(node.slice, env)
-            return self.value(node.value, env)
-        if isinstance(node, (ast.Starred, ast.UnaryOp, ast.Await)):
-            return self.value(getattr(node, "value", None) or getattr(node, "operand", None), env)
+            return base._replace(texts=None)
+        if isinstance(node, ast.Slice):
+            for x in filter(None, (node.lower, node.upper, node.step)):
+                self.value(x, env)
+            return CONSTANT
+        if isinstance(node, ast.UnaryOp):
+            value = self.value(node.operand, env)
+            return mixed(value) if not isinstance(node.op, ast.Not) or value.constant else safer(value, ALL)
+        if isinstance(node, ast.Starred):
+            return mixed(self.value(node.value, env))
+        if isinstance(node, ast.Await):
+            value = self.value(node.value, env)
+            self.escape(env, value)
+            return value
         if isinstance(node, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
-            inner = dict(env)
-            for g in node.generators:
-                self.assign(g.target, self.value(g.iter, inner), inner)
+            return self.comprehension(node, env)
+        if isinstance(node, ast.Lambda):
+            return UNKNOWN
+        values = [self.value(x, env) for x in ast.iter_child_nodes(node) if isinstance(x, ast.expr)]
+        if isinstance(node, (ast.Yield, ast.YieldFrom)):
+            self.returned = mixed(self.returned, *values, UNKNOWN)
+            self.escape(env, mixed(*values))
+        return UNKNOWN
+
+    @staticmethod
+    def made(node: ast.expr, held: Value) -> Value:
+        """A new object that holds this."""
+        return held._replace(texts=None, cells=held.cells | {(node.lineno, node.col_offset)})
+
+    def comprehension(self, node: ast.expr, env: dict[str, Value]) -> Value:
+        first = self.value(node.generators[0].iter, env)
+        inner, values = dict(env), []
+        for _ in range(2):  # what one turn assigns, the next may use
+            for i, g in enumerate(node.generators):
+                self.assign(g.target, (first if not i else self.value(g.iter, inner))._replace(texts=None), inner)
                 for x in g.ifs:
                     self.value(x, inner)
-            values = [self.value(x, inner) for x in ([node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt])]
-            return joined(*values, UNKNOWN) if isinstance(node, ast.GeneratorExp) else joined(*values)
-        for x in ast.iter_child_nodes(node):
-            if isinstance(x, ast.expr) and not isinstance(node, ast.Lambda):
-                self.value(x, env)
-        return UNKNOWN
+            values += [self.value(x, inner) for x in ([node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt])]
+        lazy = isinstance(node, ast.GeneratorExp)
+        for x in ast.walk(node):
+            if isinstance(x, ast.NamedExpr):
+                name = x.target.id
+                found = [v for v in (env.get(name), inner.get(name)) if v is not None]
+                self.put(env, name, mixed(*found, UNKNOWN) if lazy else joined(*found) if found else UNKNOWN)
+        return mixed(*values, UNKNOWN) if lazy else self.made(node, mixed(*values))
 
     def source(self, node: ast.AST, name: str) -> Value:
         return Value(frozenset({Part("source", name, node.lineno, frozenset())}))
 
+    def formatted(self, node: ast.Call, base: Value, env: dict[str, Value], given: list[tuple[str, Value]]) -> Value | None:
+        """The text that format() or join() puts together from constants and arguments that are there as they are; None for others."""
+        text = node.func.value.value if isinstance(node.func.value, ast.Constant) and isinstance(node.func.value.value, str) else None
+        if text is None:
+            return None
+        if node.func.attr == "join":
+            if len(node.args) != 1 or node.keywords or not isinstance(node.args[0], (ast.List, ast.Tuple)) or any(isinstance(x, ast.Starred) for x in node.args[0].elts):
+                return None
+            values = [self.value(x, env) for x in node.args[0].elts]
+            return concatenated([x for i, v in enumerate(values) for x in ([literal(text)] if i else []) + [v]])
+        by, pieces, n = dict(given), [], 0
+        if "*" in by or "**" in by:
+            return None
+        try:
+            for before, field, spec, conversion in string.Formatter().parse(text):
+                pieces.append(literal(before))
+                if field is None:
+                    continue
+                key, n = (str(n), n + 1) if field == "" else (field, n)
+                if spec or conversion or key not in by:
+                    return None
+                pieces.append(by[key])
+        except ValueError:
+            return None
+        return concatenated(pieces)
+
     def call(self, node: ast.Call, env: dict[str, Value]) -> Value:
         names = self.file.dotted(node.func)
+        method = node.func.attr if isinstance(node.func, ast.Attribute) else ""
+        base = self.value(node.func.value, env) if method else self.value(node.func, env) if not isinstance(node.func, ast.Name) else CONSTANT
         given = [("*" if isinstance(a, ast.Starred) else str(i), self.value(a, env)) for i, a in enumerate(node.args)] + [(k.arg or "**", self.value(k.value, env)) for k in node.keywords]
         values = [v for _, v in given]
-        inside = joined(*values) if values else CONSTANT
+        inside = mixed(*values) if values else CONSTANT
         if names & SOURCES:
             return self.source(node, sorted(names & SOURCES)[0])
         if len(names) == 1 and (name := next(iter(names))) in SANITIZERS and not self.file.stored_attributes & {name.rpartition(".")[2]}:
-            return safer(inside, SANITIZERS[name])
-        if isinstance(node.func, ast.Attribute):
-            base = self.value(node.func.value, env)
-            if node.func.attr in ("append", "add", "extend", "insert", "update", "setdefault"):
-                self.assign(ast.Subscript(value=node.func.value, slice=ast.Constant(value=0)), joined(base, inside), env)
+            return self.sanitized(node, name, inside, env)
+        if method:
+            if method in ADDING:
+                root = node.func.value
+                self.change(base.cells, inside, env, frozenset({root.id}) if isinstance(root, ast.Name) else frozenset())
                 return UNKNOWN
-            if node.func.attr in TEXT_METHODS:
-                return joined(base, inside)
-        else:
-            base = self.value(node.func, env) if not isinstance(node.func, ast.Name) else CONSTANT
+            if method in TEXT_METHODS:
+                text = self.formatted(node, base, env, given) if method in ("format", "join") else None
+                return text if text is not None else self.made(node, mixed(base, inside)) if method in ("copy", "split", "rsplit", "splitlines") else mixed(base, inside)
+        if names & KEEPING:
+            whole = names == {"str"} and len(values) == 1 and not node.keywords
+            return values[0]._replace(cells=frozenset()) if whole else inside if not names & {"sorted", "list", "set", "dict", "json.loads"} else self.made(node, inside)
+        if not names or not names <= READING:
+            self.escape(env, mixed(inside, base))
         linked = {n for n in names | ({node.func.id} if isinstance(node.func, ast.Name) else set()) if n in self.linkable or "." in n}
-        if isinstance(node.func, ast.Name) and node.func.id in self.linkable or len(names) == 1 and not names & KEEPING and "." in next(iter(names), ""):
+        if isinstance(node.func, ast.Name) and node.func.id in self.linkable or len(names) == 1 and "." in next(iter(names), ""):
             self.calls[node] = (linked, given)
             ref = f"{node.lineno}:{node.col_offset}"
             own = frozenset(Part("assumed" if p.kind != "param" else "param", p.ref, p.line, p.safe) for p in inside.parts) if not (isinstance(node.func, ast.Name) and node.func.id in self.linkable) else frozenset()
             return Value(frozenset({Part("ret", ref, node.lineno, frozenset())}) | own, True)
-        if names & KEEPING:
-            return inside
-        parts = frozenset(p._replace(kind="assumed") if p.kind == "source" else p for p in joined(inside, base).parts)
-        return Value(parts, True)
+        parts = frozenset(p._replace(kind="assumed") if p.kind == "source" else p for p in mixed(inside, base).parts)
+        return Value(parts, True, None, inside.cells)
+
+    def sanitized(self, node: ast.Call, name: str, inside: Value, env: dict[str, Value]) -> Value:
+        value = safer(inside, SANITIZERS[name])
+        if SANITIZERS[name] != QUOTED or len(node.args) != 1 or node.keywords or isinstance(node.args[0], ast.Starred):
+            return value
+        if not name.endswith(".join"):
+            return value._replace(texts=frozenset({WORD}))
+        elements = node.args[0].elts if isinstance(node.args[0], (ast.List, ast.Tuple)) else [ast.Starred()]
+        if any(isinstance(x, ast.Starred) for x in elements):
+            return value
+        words = [shlex.quote(x.value) if isinstance(x, ast.Constant) and isinstance(x.value, str) else WORD for x in elements]
+        return value._replace(texts=bounded({" ".join(words)}))

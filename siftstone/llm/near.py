@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, mix64, release, slices
+from .common import Tables, cut, mix64, release, slices, tidy
 from .hashed import Cache
 
 WORDS = 3
@@ -125,7 +125,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the wanted doc_ids: the upper 40 bits of each shingle hash, in order."""
+    """(id, set) of the wanted doc_ids: the upper 40 bits of each shingle hash, in order.
+
+    The ids grow with the documents, so they are joined by a shuffle at every size, also where a broadcast would do yet.
+    """
 
     def run(batches):
         ids = word_cache()
@@ -134,7 +137,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [(shingle_set(t, ids, words) >> u64(24) << u64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id bigint, set binary")
+    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id bigint, set binary")
 
 
 def opened(packed: bytes) -> np.ndarray:
@@ -207,7 +210,10 @@ def attached(rows: DataFrame, facts: DataFrame, tables: Tables) -> DataFrame:
     facts are broadcast. The others are joined by a shuffle.
     """
     facts = tables.cut(facts)
-    most = max(LARGE, (facts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    total, top = facts.agg(F.sum("n"), F.max("n")).first()
+    most = max(LARGE, (total or 0) // HOT)
+    if (top or 0) <= most:
+        return rows.join(facts, "node")
     hot = F.broadcast(facts.filter(F.col("n") > most))
     rest = rows.join(hot.select("node"), "node", "left_anti").join(facts.filter(F.col("n") <= most), "node")
     return rows.join(hot, "node").unionByName(rest)
@@ -365,6 +371,7 @@ def path_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: in
         large = density(tables.cut(large.join(signs, "rep")), reps, agree, tables)
         out = out.unionByName(differing_pairs(large.filter("dense"), sets, percent, tables))
         rows = tables.cut(sized(tables.cut(children(large.filter("NOT dense"), level)), tables))
+        tidy(rows.sparkSession)
     return out
 
 
@@ -391,6 +398,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         comps = (cut if turn == ROUNDS else tables.cut)(components(edges, steps))
         steps.drop()
         edges = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        tidy(docs.sparkSession)
     tables.drop()
     return (
         named.select("doc_id", "n_shingles", "rep")

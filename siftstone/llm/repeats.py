@@ -8,18 +8,24 @@ what may still repeat is refined:
    in the window (q = LENGTH / 2). Equal windows have equal anchors, so a window can only repeat where the q-gram at its
    anchor repeats: that q-gram is the initial bucket. A unit also has the hash of all bytes its windows cover. Where the
    whole unit stands elsewhere, all but its first place are repeats at once. Buckets with one unit hold no repeat.
-2. Refinement. Windows of first units in buckets with differing units are bucketed anew by their own first q-gram, and each
-   bucket with two windows or more is refined by sorting on the bucket identifiers (pointers) of the q-gram at the next
-   offset, until the offsets cover the window. The first window of each final bucket stays, the others are repeats.
-
-Every step sums up before it shuffles: a slice of texts sends each unit and each window once, so a passage that a third of
-all texts share costs a row a slice. Units and windows travel as packed arrays, one a slice and bucket; the number of
-buckets grows with the bytes of the corpus. Texts move once (both uses read the same exchange), positions of unrepeated
-text not at all. q-grams are known by 48 bits of their hashes, units and windows by 96 bits.
+2. Refinement. First units in buckets with differing units are sent, with the bytes that their windows cover, to a bucket of
+   their anchor's hash; equal windows meet there. Its positions are put into initial buckets by their q-gram (GRAM bytes, as
+   they stand), and the buckets are refined in rounds: positions of a bucket are sorted on the bucket identifiers (pointers)
+   at a later offset, the new identifiers are written back, and the next round points at these. As much as is settled is the
+   next offset, so it doubles until it covers the window; a position alone in its bucket is not looked at again. The first
+   window of each final bucket stays, the others are repeats.
+
+Every step sums up before it shuffles: a slice of texts sends each unit once, so a passage that a third of all texts share
+costs a row a slice; only units at its edges, whose windows reach into text of their own, go one by one. Units travel as
+packed arrays, one a slice and bucket; the number of buckets grows with the bytes of the corpus, and so does that of the
+partitions. Texts move once (both uses read the same exchange), positions of unrepeated text not at all. Windows are
+compared byte by byte; whole units are held equal by 96 bits of two hashes (two differing ones of 10 ** 12 are with a
+probability of 6e-6).
 
 Defined results: null texts are empty; texts under LENGTH bytes keep all bytes; very long texts are worked on whole, in
 stretches; a null doc_id comes first; rows that share a doc_id share their spans, cut at their length, and none of them is
-earlier than another; other columns are ignored; an empty table gives an empty result.
+earlier than another; ties cannot be otherwise; other columns, whatever their names, pass through without_repeats() as
+they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.arrow import arrow_schema, ddl_of
 
-from .common import mix64, release, slices
+from .common import fresh, mix64, release, slices
 
 LENGTH = 100
 #: Bytes of text that are looked at together, and for each bucket.
@@ -79,12 +85,12 @@ class Stretch:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start])
 
-    def units(self, length: int) -> tuple[np.ndarray, ...]:
-        """(text, start in the stretch, windows, bucket, content hash) of every unit."""
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(least q-gram hash, text) of the window at each position; the hash's last 16 bits are its place's, which parts equal ones."""
         q = length // 2
         n = len(self.data) - length + 1
         if n <= 0:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, u64),) * 2
+            return np.zeros(0, u64), np.zeros(0, np.int64)
         gram = mix64((self.sums[q:] - self.sums[:-q]) * self.down[: len(self.sums) - q])
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         place = (np.arange(len(gram)) - self.starts[text[: len(gram)]]).astype(u64)
@@ -95,7 +101,14 @@ class Stretch:
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        least, text = least[:n], text[:n]
+        return least[:n], text[:n]
+
+    def units(self, length: int) -> tuple[np.ndarray, ...]:
+        """(text, start in the stretch, windows, bucket, content hash) of every unit."""
+        least, text = self.anchors(length)
+        n = len(least)
+        if not n:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, u64),) * 2
         valid = np.arange(n) + length <= self.ends[text]
         change = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])])
         count = np.diff(np.r_[change, n])
@@ -167,8 +180,10 @@ def place_arrays(blobs: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*out)]
 
 
-#: Bytes of a unit's windows, flag, bucket and content hash; of a window's q-gram hashes.
-UNIT, GRAM = [1, 1, 6, 6], 6
+#: Bytes of a unit's windows, flag, bucket and content hash.
+UNIT = [1, 1, 6, 6]
+#: Bytes of the q-gram that names an initial bucket.
+GRAM = 8
 
 
 #: Spans of a document: doc_id, first window, windows, and whether they are known to repeat (1) or to be refined (0).
@@ -277,23 +292,47 @@ def settle_units(rows: DataFrame, n_buckets: int) -> DataFrame:
     return rows.repartition(n_buckets, "kind", "bucket").mapInArrow(run, ROWS)
 
 
-def refined(codes: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """Places of windows that have an equal one before them. codes: q-gram hashes at offsets 0, q, 2q, ... of each window.
+def refined(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """A bucket for the window of `length` bytes at each place of data: equal buckets, equal bytes.
 
-    A window's bucket starts as the rank of its first q-gram. Buckets of two windows or more are then sorted on the bucket
-    identifiers of the next offset, which are ranks too, and split; single windows are never looked at again.
+    Starts with the q-gram at every position and doubles what the buckets tell apart, by the buckets of later offsets.
     """
-    place = np.arange(len(codes[0]))
-    bucket = np.unique(codes[0], return_inverse=True)[1]
-    for code in codes[1:]:
-        alive = np.bincount(bucket, minlength=1)[bucket] > 1
-        place, bucket = place[alive], bucket[alive]
-        if not len(place):
-            return place
-        pointer = np.unique(code[place], return_inverse=True)[1]
-        bucket = np.unique(bucket.astype(np.int64) * (int(pointer.max()) + 1) + pointer, return_inverse=True)[1]
-    at, first = first_of([bucket], [o[place] for o in order])
-    return place[at[~first]]
+    known = min(GRAM, length)
+    bucket = np.zeros(len(data), u64)
+    if not len(place):
+        return bucket[place]
+    # Positions that a window's later offsets point at.
+    reach = np.zeros(len(data) + 1, np.int32)
+    np.add.at(reach, place, 1)
+    np.add.at(reach, place + length - known + 1, -1)
+    needed = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
+    first = needed[np.r_[True, np.diff(needed) != 1]]
+    end = needed[np.r_[np.diff(needed) != 1, True]]
+    gram = np.zeros(len(needed), u64)
+    for i in range(known):
+        gram = gram << u64(8) | data[needed + i].astype(u64)
+    bucket[needed], used = numbered(gram), len(needed)
+    while known < length:
+        step = min(known, length - known)
+        # A position has a pointer if that lies in its own run, which gets shorter by as much.
+        end = end - step
+        size = np.maximum(0, end - first + 1)
+        needed = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        shared = needed[np.bincount(bucket[needed].view(np.int64), minlength=1)[bucket[needed]] > 1]
+        bucket[shared] = numbered(bucket[shared] << u64(32) | bucket[shared + step]) + u64(used)
+        used += len(shared)
+        known += step
+    return bucket[place]
+
+
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... for equal keys, by sorting."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), u64)
+    if len(keys):
+        sorted_keys = keys[order]
+        out[order] = np.cumsum(np.r_[False, sorted_keys[1:] != sorted_keys[:-1]]).astype(u64)
+    return out
 
 
 def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,16 +349,15 @@ def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[new][which], start[new][which] + 255 * step, np.minimum(255, size[which] - 255 * step)
 
 
-def find_windows(texts: DataFrame, spans: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    q = length // 2
-    offsets = [*range(0, length - q, q), length - q]
+def find_windows(texts: DataFrame, spans: DataFrame, key: str, n_buckets: int, length: int) -> DataFrame:
+    """Known repeats by document, and units to refine, with their bytes, by anchor."""
 
-    def run(key, left, right):
+    def run(_, left, right):
         doc, start, count, known = unpack(right.column("blob").to_pylist(), SPAN)
         sure = known == 1
-        rows = [span_rows(n_buckets, doc[sure], start[sure], count[sure], known[sure])]
+        rows = span_rows(n_buckets, doc[sure], start[sure], count[sure], known[sure])
         ask = np.flatnonzero(~sure)
-        ask = ask[np.argsort(doc[ask], kind="stable")]
+        ask = ask[np.lexsort([start[ask], doc[ask]])]
         asked = doc[ask]
         batches = left.select(["doc_id", "text"]).combine_chunks().to_batches() if len(ask) else []
         for part in slices(iter(batches), SLICE):
@@ -328,37 +366,36 @@ def find_windows(texts: DataFrame, spans: DataFrame, n_buckets: int, length: int
             ids, data = ids[wanted], [t for t, w in zip(data, wanted) if w]
             for own, offset, pieces in stretches(ids, data, length):
                 stretch = Stretch(pieces)
-                d, p, at = [], [], []
+                least, _ = stretch.anchors(length)
+                d, p, at, n = [], [], [], []
                 for i, (one, shift) in enumerate(zip(own, offset)):
-                    a, b = np.searchsorted(asked, one, side="left"), np.searchsorted(asked, one, side="right")
-                    mine = ask[a:b]
-                    size = count[mine].astype(np.int64)
-                    place = np.repeat(start[mine].astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    place = place[(place >= shift) & (place < shift + SLICE) & (place - shift + length <= len(pieces[i]))]
-                    d.append(np.full(len(place), one))
-                    p.append(place)
-                    at.append(place - shift + stretch.starts[i])
-                d, p, at = np.concatenate(d), np.concatenate(p), np.concatenate(at)
+                    mine = ask[np.searchsorted(asked, one, side="left") : np.searchsorted(asked, one, side="right")]
+                    # Of each unit, the windows that begin in this piece.
+                    first = np.maximum(start[mine].astype(np.int64), shift)
+                    last = np.minimum(start[mine].astype(np.int64) + count[mine], min(shift + SLICE, shift + len(pieces[i]) - length + 1))
+                    here = last > first
+                    first, last = first[here], last[here]
+                    d.append(np.full(len(first), one))
+                    p.append(first)
+                    at.append(first - shift + stretch.starts[i])
+                    n.append(last - first)
+                d, p, at, n = (np.concatenate(x) for x in (d, p, at, n))
                 if not len(d):
                     continue
-                codes = [stretch.hashes(at + o, at + o + q) for o in offsets]
-                order, first = first_of(codes[::-1], [p, d])
-                again, left_over = order[~first], order[first]
-                if len(again):
-                    x, y, z = runs(d[again], p[again])
-                    rows.append(span_rows(n_buckets, x, y, z, np.ones(len(x))))
-                to = ((codes[0][left_over] & u64((1 << 48) - 1)) % u64(n_buckets)).astype(np.int64)
-                rows.append([(0, k, place_blob(c[0], c[1], *((x, GRAM) for x in c[2:]))) for k, c in by_bucket(to, d[left_over], p[left_over], *(c[left_over] for c in codes))])
-        return pa.Table.from_batches([record([r for part in rows for r in part])])
+                to = ((least[at] >> u64(16)) % u64(n_buckets)).astype(np.int64)
+                whole = stretch.data.tobytes()
+                for k, (x, y, z, a) in by_bucket(to, d, p, n, at):
+                    rows.append((0, k, pack(x.astype("i8"), y.astype("u4"), z.astype("u1")) + b"".join([whole[i:j] for i, j in zip(a.tolist(), (a + z + (length - 1)).tolist())])))
+        return pa.Table.from_batches([record(rows)])
 
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, ROWS)
+    return texts.groupBy(key).cogroup(spans.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(run, ROWS)
 
 
 def settle_windows(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    q = length // 2
-    n_codes = len([*range(0, length - q, q), length - q])
+    """Windows that have an equal one before them, from the units of each anchor."""
 
     def run(batches):
+        release()
         held: dict[int, list[bytes]] = {}
         for part in batches:
             kind = part.column("kind").to_numpy()
@@ -369,8 +406,17 @@ def settle_windows(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
                 if k == 0:
                     held.setdefault(b, []).append(blob)
         for b in list(held):
-            doc, start, *codes = place_arrays(held.pop(b), [GRAM] * n_codes)
-            again = refined(codes, [start, doc])
+            blobs = held.pop(b)
+            doc, start, count = unpack(blobs, SPAN[:3])
+            head = sum(np.dtype(k).itemsize for k in SPAN[:3])
+            data = np.frombuffer(b"".join([x[4 + head * int.from_bytes(x[:4], "little") :] for x in blobs]), np.uint8)
+            count = count.astype(np.int64)
+            begin = np.cumsum(count + (length - 1)) - count - (length - 1)
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            doc, start = np.repeat(doc, count), np.repeat(start.astype(np.int64), count) + step
+            bucket = refined(data, np.repeat(begin, count) + step, length)
+            at, first = first_of([bucket], [start, doc])
+            again = at[~first]
             x, y, z = runs(doc[again], start[again])
             out = span_rows(n_buckets, x, y, z, np.ones(len(x)))
             if out:
@@ -386,16 +432,18 @@ def removed_bytes(n: int, start: np.ndarray, count: np.ndarray, length: int) ->
     return np.cumsum(edge[:n]) > 0
 
 
-def removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(docs with their bucket, packed spans of repeated windows by bucket)."""
+def removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, str]:
+    """(docs with a column of their bucket, packed spans of repeated windows by bucket, that column's name)."""
     if length < 4 or length > 250:
         raise ValueError("windows of 4 to 250 bytes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(_NULL))), F.lit(n_buckets).cast("bigint"))
-    texts = docs.withColumn("bucket", key)
+    key = fresh("bucket", docs.columns)
+    value = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(_NULL))), F.lit(n_buckets).cast("bigint"))
+    texts = docs.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(key)).repartition(n_buckets, key)
     spans = settle_units(find_units(docs, n_buckets, length), n_buckets)
-    return texts, settle_windows(find_windows(texts, spans, n_buckets, length), n_buckets, length)
+    found = settle_windows(find_windows(texts, spans, key, n_buckets, length), n_buckets, length)
+    return texts, found.repartition(n_buckets, "bucket"), key
 
 
 def masks(left: pa.Table, right: pa.Table, length: int):
@@ -410,19 +458,19 @@ def masks(left: pa.Table, right: pa.Table, length: int):
 
 def with_kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
-    texts, spans = removals(docs.select("doc_id", "text"), length)
+    texts, spans, bucket = removals(docs.select("doc_id", "text"), length)
 
     def run(key, left, right):
         rows = [(len(t), 0, 0, t) if out is None or not len(t) else (len(t), int(out.sum()), int(out[0]) + int((out[1:] & ~out[:-1]).sum()), np.frombuffer(t, np.uint8)[~out].tobytes()) for t, out in masks(left, right, length)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([left.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return texts.groupBy(bucket).cogroup(spans.groupBy("bucket")).applyInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes taken out of text; a character stays whole if any of its bytes stays. Null texts stay null."""
-    texts, spans = removals(docs, length)
+    texts, spans, bucket = removals(docs, length)
     names = docs.columns
     place = names.index("text")
 
@@ -441,4 +489,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     schema = ddl_of(docs.schema)
     arrow = arrow_schema(schema)
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
+    return texts.groupBy(bucket).cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)

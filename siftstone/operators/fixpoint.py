@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-ROUNDS = 50
-
 
 def stored(df: DataFrame) -> DataFrame:
     """df from a table in the shared folder, so that a round's lineage ends there."""
@@ -19,24 +18,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
-    """(all facts, whether they are complete): step derives facts from the last round's new ones only; the loop ends when nothing new comes, or says that the bound was hit."""
-    delta = stored(seed.distinct())
-    known = delta
-    for _ in range(rounds):
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(all facts, whether they are complete): step derives facts from the last round's new ones only; the loop ends when nothing new comes (facts are finitely many), or after `rounds`, and says whether it was the first.
+
+    Each round writes its new facts only; all facts are the tables of the rounds together.
+    """
+    known = delta = stored(seed.distinct())
+    for _ in itertools.count() if rounds is None else range(rounds):
         delta = stored(step(delta).select(*known.columns).distinct().join(known, known.columns, "left_anti"))
         if delta.isEmpty():
             return known, True
-        known = stored(known.unionByName(delta))
+        known = known.unionByName(delta)
     return known, False
 
 
-def reach(edges: DataFrame, source: str, target: str, rounds: int = ROUNDS) -> DataFrame:
-    """All pairs (source, target) joined by a path; cycles are fine."""
+def reach(edges: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
+    """All pairs (source, target) joined by a path; cycles are fine. If rounds are given and do not suffice, it raises."""
     edges = edges.select(source, target).distinct()
     onward = edges.select(edges[source].alias("_via"), edges[target].alias("_next"))
 
     def step(delta: DataFrame) -> DataFrame:
         return delta.join(onward, delta[target] == onward["_via"]).select(delta[source], onward["_next"].alias(target))
 
-    return fixpoint(edges, step, rounds)[0]
+    pairs, complete = fixpoint(edges, step, rounds)
+    if not complete:
+        raise RuntimeError(f"paths of more than {rounds + 1} edges")
+    return pairs

@@ -75,13 +75,7 @@ def q_strip_controls(spark, sf_dir):
 
 
 def q_entropy(spark, sf_dir):
-    """A18."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.round(text.entropy(F.substring(F.coalesce("text", F.lit("")), 1, 64)), 6).alias("entropy"))
-
-
-def q_entropy_whole(spark, sf_dir):
-    """A18, of whole texts; q_entropy covers the first 64 characters, as its SQL says."""
+    """A18, of whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.coalesce("text", F.lit(""))), 6).alias("entropy"))
 
 
@@ -279,17 +273,7 @@ def q_edit_overlaps(spark, sf_dir):
 
 
 def q_reachability(spark, sf_dir):
-    """All pairs joined by a path of a cyclic graph."""
-    t = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
-    edges = t.select((F.col("l_partkey") % 61).alias("a"), (F.col("l_suppkey") * 7 % 61).alias("b"))
-    return fixpoint.reach(edges, "a", "b")
-
-
-def q_reach_counts(spark, sf_dir):
-    """N4, N6, on every row and its own keys: each line of an order leads to the next, the last to the first; how many lines each reaches.
-
-    The graph grows with the table; q_reachability folds some rows to 61 nodes, as its SQL says.
-    """
+    """N4, N6, on every row and its own keys: each line of an order leads to the next, the last to the first; how many lines each reaches. The graph grows with the table."""
     t = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = t.select("l_orderkey", F.row_number().over(order).alias("line"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
@@ -314,14 +298,7 @@ def q_anti_replacement(spark, sf_dir):
 
 
 def q_cache_lookup(spark, sf_dir):
-    """Replies from a cache by hash, misses marked."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 40), 256).alias("key"))
-    b = table(spark, sf_dir, "benchmark").select(F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 40), 256).alias("key"), "item_id").groupBy("key").agg(F.min("item_id").alias("reply"))
-    return d.join(b, "key", "left").select("doc_id", F.coalesce("reply", F.lit(-1)).alias("reply"))
-
-
-def q_cache_lookup_whole(spark, sf_dir):
-    """The same by the hash of whole texts; q_cache_lookup hashes the first 40 characters, as its SQL says."""
+    """Replies from a cache by the hash of whole texts, misses marked."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")
     d = table(spark, sf_dir, "documents").select("doc_id", key)
     b = table(spark, sf_dir, "benchmark").select(key, "item_id").groupBy("key").agg(F.min("item_id").alias("reply"))
@@ -362,7 +339,7 @@ def _regex_union() -> str:
 _FP = "'hs1-' || left(sha256(concat_ws(chr(31), {})), 32)"
 _DAY = "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
 _SPAN = "WITH a AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linenumber::BIGINT AS s, (l_linenumber + floor(l_quantity / 10))::BIGINT AS e FROM lineitem) "
-_KEY = "sha256(substring(coalesce(text, ''), 1, 40))"
+_KEY = "sha256(coalesce(text, ''))"
 _RANK = "SELECT *, list_position(['specified','low','medium','high','urgent'], lower(regexp_extract(o_orderpriority, '([A-Za-z]+)$', 1)))::INT - 1 AS severity_rank, (o_orderkey % 101)::INT AS confidence, o_orderstatus = 'P' AS suppressed FROM orders"
 
 
@@ -382,7 +359,7 @@ def oracle_sql() -> dict[str, str]:
         "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
         "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",
         "q_strip_controls": f"SELECT conv_id, turn, sha256({controls}) AS clean_sha256 FROM conversations",
-        "q_entropy": "WITH c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(left(coalesce(text, ''), 64), '')) AS x FROM documents WHERE text <> '') GROUP BY doc_id, x), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(round(h, 6), 0.0) AS entropy FROM documents d LEFT JOIN (SELECT doc_id, sum(-(n / t) * log2(n / t)) AS h FROM c JOIN t USING (doc_id) GROUP BY doc_id) USING (doc_id)",
+        "q_entropy": "WITH c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents WHERE text <> '') GROUP BY doc_id, x), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(round(h, 6), 0.0) AS entropy FROM documents d LEFT JOIN (SELECT doc_id, sum(-(n / t) * log2(n / t)) AS h FROM c JOIN t USING (doc_id) GROUP BY doc_id) USING (doc_id)",
         "q_classify": f"WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'bandit:B' || (k + 590) WHEN 'click' THEN 'HS-SQLI-001' WHEN 'view' THEN 'gitleaks:x' ELSE event_type END AS rule, CASE WHEN k % 3 <> 0 THEN list_distinct(['CWE-' || k, 'CWE-' || (k + 20)]) ELSE [] END AS u FROM e), s AS (SELECT event_id, rule, ['CWE-' || n for n in list_sort([CAST(replace(x, 'CWE-', '') AS INT) for x in u])] AS ids FROM r), v AS (SELECT event_id, array_to_string(ids, ',') AS cwe_list, {vuln} AS vuln_class, ids FROM s) SELECT event_id, cwe_list, vuln_class, (vuln_class IN ('sqli', 'cmdi', 'codei', 'weak_crypto', 'secret') OR len(ids) > 0) AS mergeable FROM v",
         "q_score_bucket": "SELECT p_partkey, CASE WHEN p_retailprice % 11 >= 9 THEN 'critical' WHEN p_retailprice % 11 >= 7 THEN 'high' WHEN p_retailprice % 11 >= 4 THEN 'medium' ELSE 'low' END AS severity FROM part",
         "q_region_normalize": "WITH x AS (SELECT *, greatest(l_linenumber - 2, 1)::INT AS sl, CASE WHEN l_quantity > 10 THEN trunc(l_quantity / 10)::INT END AS el0, CASE WHEN l_returnflag <> 'N' THEN greatest(l_suppkey % 7 - 1, 1)::INT END AS sc, CASE WHEN l_linestatus = 'O' THEN (l_partkey % 5)::INT END AS ec0 FROM lineitem), y AS (SELECT *, greatest(coalesce(el0, sl), sl) AS el FROM x) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, sl AS start_line, coalesce(sc, 1) AS start_column, el AS end_line, CASE WHEN sc IS NULL THEN NULL WHEN ec0 IS NULL THEN CASE WHEN el = sl THEN sc END WHEN el = sl THEN greatest(ec0, sc) ELSE greatest(ec0, 1) END AS end_column FROM y",
@@ -408,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "q_islands": f"WITH e AS (SELECT user_id, event_id, {_DAY} AS d FROM events WHERE user_id IS NOT NULL), f AS (SELECT *, CASE WHEN d > max(d + 3) OVER (PARTITION BY user_id ORDER BY d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS g FROM e), h AS (SELECT *, 1 + sum(g) OVER (PARTITION BY user_id ORDER BY d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f) SELECT user_id, island::BIGINT AS island, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM h GROUP BY user_id, island",
         "q_line_offsets": "WITH l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)) SELECT doc_id, line, length(lines[line]) AS n_chars, coalesce(sum(length(lines[line]) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM l",
         "q_edit_overlaps": _SPAN + "SELECT l_orderkey, count(*) AS overlaps FROM (SELECT *, lead(s) OVER (PARTITION BY l_orderkey ORDER BY s, e, l_partkey, l_linenumber) AS next_s FROM a) WHERE next_s < e GROUP BY l_orderkey",
-        "q_reachability": "WITH RECURSIVE g AS (SELECT DISTINCT l_partkey % 61 AS a, l_suppkey * 7 % 61 AS b FROM lineitem WHERE l_quantity > 45), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT a, b FROM r",
+        "q_reachability": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, count(*) OVER (PARTITION BY l_orderkey) AS reached FROM lineitem",
         "q_mark_compose": "WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), m AS (SELECT event_id, ['m' || k % 3, '~assumed:c' || k % 5, 'sqli'] AS f, ['~drop:m' || k % 3, '~assumed:c' || k % 4, event_type, CASE WHEN k % 2 = 0 THEN '~drop:sqli' ELSE 'cmdi' END] AS l FROM e), d AS (SELECT event_id, l, list_filter(f, lambda x: NOT list_contains(l, '~drop:' || x)) AS f FROM m), u AS (SELECT event_id, list_distinct(list_concat(f, l)) AS u FROM d) SELECT event_id, array_to_string(list_sort(list_concat(list_filter(u, lambda x: NOT starts_with(x, '~assumed')), list_slice(list_sort(list_filter(u, lambda x: starts_with(x, '~assumed'))), 1, 1))), '|') AS marks FROM u",
         "q_anti_replacement": "SELECT l_suppkey, count(*) AS edges FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 3000) GROUP BY l_suppkey",
         "q_cache_lookup": f"SELECT doc_id, coalesce(reply, -1) AS reply FROM (SELECT doc_id, {_KEY} AS key FROM documents) LEFT JOIN (SELECT {_KEY} AS key, min(item_id) AS reply FROM benchmark GROUP BY 1) USING (key)",

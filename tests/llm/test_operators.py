@@ -237,16 +237,30 @@ def test_without_repeats_keeps_characters(spark, odd):
     assert len(rows) == len(ODD)
 
 
-def test_bucket_pointer_refinement():
-    rng = np.random.default_rng(3)
-    codes = [rng.integers(0, 3, 300).astype(np.uint64) for _ in range(4)]
-    seen, expected = set(), set()
-    for k in range(300):
-        key = tuple(int(c[k]) for c in codes)
-        if key in seen:
-            expected.add(k)
-        seen.add(key)
-    assert set(repeats.refined(codes, [np.arange(300)]).tolist()) == expected
+@pytest.mark.parametrize("length", [4, 8, 9, 16, 37, 100])
+def test_bucket_pointer_refinement(length):
+    """Buckets of windows are equal where their bytes are, for windows that lie in runs of their own."""
+    rng = np.random.default_rng(length)
+    runs = [rng.integers(0, 2, length - 1 + n, dtype=np.uint8) for n in rng.integers(1, 40, 60)] + [np.zeros(length + 30, np.uint8)] * 3
+    data = np.concatenate(runs)
+    place = np.concatenate([a + np.arange(len(r) - length + 1) for r, a in zip(runs, np.cumsum([0, *map(len, runs[:-1])]))])
+    windows = [data[p : p + length].tobytes() for p in place]
+    got = repeats.refined(data, place, length)
+    assert len(set(zip(got.tolist(), windows))) == len(set(got.tolist())) == len(set(windows))
+    assert not len(repeats.refined(np.zeros(0, np.uint8), np.zeros(0, np.int64), length))
+
+
+def test_handed_through_columns(spark, odd):
+    """Columns with names that operators use inside keep their values, whatever their case."""
+    names = ["bucket", "BUCKET_", "kind", "blob", "accepted", "_accepted", "expected_grade", "tail_probability", "_row", "_host", "_bad", "_left", "_salt", "comp", "rep", "n_pages"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1)], "doc_id bigint, quality int, toxic int")
+    for out in (repeats.without_repeats(docs), near.one_of_each(docs), lines.without_boilerplate(docs, counts=()), quality.accepted(docs, labels)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    rows = quality.rated(docs, quality.fitted(docs, labels)).collect()
+    assert len(rows) == len(ODD) and all(isinstance(r["accepted"], bool) and r["bucket"] == f"bucket {r.doc_id}" for r in rows)
 
 
 def test_spark_hash(spark):
@@ -420,6 +434,10 @@ def test_line_dedup(spark, odd, empty):
         got = {r.doc_id: r for r in lines.without_boilerplate(df, broadcast_bytes=limit).collect()}
         assert len(got) == 123 and got[3].text == "own 3\n\nrare" and (got[3].n_lines, got[3].n_dropped) == (5, 2) and got[70].n_dropped == 2
         assert got[200].text is None and got[200].n_lines == 0 and got[201].text == "menu" and got[202].text == ""
+    crlf = spark.createDataFrame([(i, f"own {i}\r\n\r\n\t\r\nmenu\r\nend {i}", "h") for i in range(60)], "doc_id bigint, text string, source string")
+    assert all(r.text == f"own {r.doc_id}\r\n\r\n\t\r\nend {r.doc_id}" for r in lines.without_boilerplate(crlf).collect())
+    few = spark.createDataFrame([(i, f"own {i}\nmenu", "h" if i < 8 else "i") for i in range(15)], "doc_id bigint, text string, source string")
+    assert [r.n_dropped for r in lines.without_boilerplate(few).orderBy("doc_id").collect()] == [1] * 8 + [0] * 7  # small hosts, by support
     out = lines.without_boilerplate(odd)
     assert out.count() == len(ODD) and set(odd.columns) <= {*out.columns}
     assert lines.without_boilerplate(empty).count() == 0
@@ -452,6 +470,21 @@ def test_cascade_order():
 # the pipeline
 
 
+def test_pipeline_of_nothing_and_clashing_names(spark, odd, empty):
+    """Every stage on an empty table, and on odd texts with columns that operators use inside."""
+    import corpus_pipeline as p
+
+    sf = SF.replace("0.001", "0.01")
+    for docs in (empty, odd.withColumn("_row", F.concat(F.lit("r"), F.col("doc_id").cast("string")))):
+        n, extra = docs.count(), "_row" in docs.columns
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+            rows = out.collect()
+            assert len(rows) <= n and not (extra and any(r._row != f"r{r.doc_id}" or r.bucket != "bucket" or r.kept != "kept" for r in rows))
+        assert (p.STAGES[-1][1](spark, docs, sf).count() > 0) == (n > 0)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

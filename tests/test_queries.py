@@ -94,7 +94,7 @@ def test_entropy_of_whole_texts(spark, tmp_path):
     texts = ["a" * 64 + "bcd" * 50, "", None, "\U0001f600a\U0001f600\u00e9", "aabb", many, "x" * 300]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     begun = time.monotonic()
-    got = {r.doc_id: r.entropy for r in catalogue.q_entropy_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.entropy for r in catalogue.q_entropy(spark, str(tmp_path)).collect()}
     assert time.monotonic() - begun < 60
     for i, t in enumerate(texts):
         want = sum(-n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
@@ -106,7 +106,7 @@ def test_cache_lookup_of_whole_texts(spark, tmp_path):
     head = "h" * 40
     spark.createDataFrame([(0, head + "a"), (1, head + "b"), (2, head + "c"), (3, None), (4, "short")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, head + "a"), (8, head + "b"), (9, head + "b"), (5, "short")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert {r.doc_id: r.reply for r in catalogue.q_cache_lookup_whole(spark, str(tmp_path)).collect()} == {0: 7, 1: 8, 2: -1, 3: -1, 4: 5}
+    assert {r.doc_id: r.reply for r in catalogue.q_cache_lookup(spark, str(tmp_path)).collect()} == {0: 7, 1: 8, 2: -1, 3: -1, 4: 5}
 
 
 def test_reach_counts_cover_every_row(spark):
@@ -125,5 +125,5 @@ def test_reach_counts_cover_every_row(spark):
                 at = after[at]
                 seen.add(at)
             want[k, start] = len(seen)
-    got = [(r.l_orderkey, r.line, r.reached) for r in catalogue.q_reach_counts(spark, SF).collect()]
+    got = [(r.l_orderkey, r.line, r.reached) for r in catalogue.q_reachability(spark, SF).collect()]
     assert len(got) == sum(sizes.values()) and {(k, i): n for k, i, n in got} == want
