@@ -11,13 +11,16 @@ posteriors, and its output is scaled on the training fold's labels, so that 0.3
 Only rows whose crc32(doc_id) mod 4 is not 2 are learned from, at most LABELLED_ROWS of them. Labels, language, source and
 doc_id are no inputs of a score.
 
-Defined results: null and empty texts get the score of a text without features; whole texts are read, each word counts
-once; equal texts get equal scores; without labelled rows of both classes every score is the smoothed share.
+Defined results: null and empty texts get the score of a text without features; whole texts are read, of any length; each
+bucket of a text's words counts once, in the fit and in the score; equal texts and repeated rows get equal scores; without
+labelled rows of both classes every score is the smoothed share; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +157,13 @@ class Linear:
             scale = scale - np.clip(step, -1, 1)
         return cls(weights, float(bias), float(max(scale[0], 0.1)), float(scale[1]))
 
-    def word_weight(self, word: str) -> float:
-        return float(sum(self.weights[b] for b in word_buckets(word)))
+    def telling(self, word: str) -> tuple[int, ...]:
+        """The word's buckets that have a weight."""
+        return tuple(b for b in word_buckets(word) if self.weights[b])
+
+    def evidence(self, words: Iterable[tuple[int, ...]]) -> float:
+        """Sum of the weights of a text's buckets, each once, as in the fit."""
+        return float(sum(float(self.weights[b]) for b in sorted({b for found in words for b in found})))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Linear:
@@ -168,10 +176,10 @@ def scored(docs: DataFrame, model: Linear) -> DataFrame:
 
     def run(batches):
         own = Linear(*shared.value)
-        weight = Cache(own.word_weight)
+        telling = Cache(own.telling)
         for part in slices(batches, 8_000_000):
-            weight.trim()
-            z = np.array([sum(map(weight.__getitem__, sorted(set(WORDS((t or "").lower()))))) for t in part.column(1).to_pylist()])
+            telling.trim()
+            z = np.array([own.evidence(map(telling.__getitem__, set(WORDS((t or "").lower())))) for t in part.column(1).to_pylist()])
             score = sigmoid(own.slope * (z + own.bias) + own.shift)
             yield pa.record_batch([part.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 

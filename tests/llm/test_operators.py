@@ -76,6 +76,18 @@ def test_toxicity(spark, small, odd, empty):
     assert toxicity.fitted(docs, turned).bias == model.bias
 
 
+def test_toxicity_scores_what_it_was_fitted_on():
+    """A text's evidence is the sum over its buckets as the fit sees them: words that share a bucket add it once."""
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    words = ["idiot", "idiotic", "idiots", "fine", "ox"]
+    for w in words[:3] + words[4:]:
+        weights[toxicity.word_buckets(w)] = 1
+    model = toxicity.Linear(weights, 0.0)
+    for text in ("", "idiot", "Idiot idiotic idiots idiots", "fine ox", " ".join(words)):
+        fitted = sum(weights[b] for b, _ in toxicity.text_features(text) if b < toxicity.BUCKETS)
+        assert model.evidence(model.telling(w) for w in toxicity.WORDS(text.lower())) == fitted
+
+
 def test_label_model_discounts_copies():
     """Five copies of one noisy voter do not outvote three good ones."""
     rng = np.random.default_rng(0)
