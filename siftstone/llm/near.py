@@ -10,7 +10,8 @@ share a passage, but not near copies: where DENSE of a large node's members are
 level, members are written as their difference from what a sample of the node has in common: the common tokens they miss and
 the others they have. Members outside the node's largest component are then compared with all others by these short lists,
 exactly, after a bound from the lists' lengths; only links come out. A linked pair (similarity 0.85) stays together through a level with probability
-1 - 0.15 ** 2, and it takes all TREES * BRANCHES first coordinates to part it: 0.15 ** 8 = 3e-7.
+1 - 0.15 ** 2, and it takes all TREES * BRANCHES first coordinates to part it at once: 0.15 ** 8 = 3e-7; where two more levels
+follow everywhere, (1 - 0.85 * 0.9775 ** 2) ** 8 = 2e-6. Such a pair is lost if no chain of other links joins its texts.
 
 Groups of near copies would make every pair of a node a candidate. So each node is first compared with one pivot of its
 own, in two rounds with fresh pivots; verified links give components, and from then on only members of different
