@@ -82,6 +82,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ctw
+
+    return ctw.scored(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ranked
+
+    return ranked.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_DEDUP_SQL = """
 WITH p AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, source, i, lines[i] AS line FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM p)),
-n AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM p) WHERE regexp_matches(line, '[^ \\t\\x0b\\f\\r]') GROUP BY source, line),
+n AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM p) WHERE regexp_matches(line, '[^ \\t\x0b\\f\\r]') GROUP BY source, line),
 t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (SELECT n.source, n.line FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE n >= {support} AND n > {ratio} * pages),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.line) AS n_dropped, string_agg(CASE WHEN bad.line IS NULL THEN l.line END, chr(10) ORDER BY i) AS kept
@@ -139,8 +151,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+#: Every document that shares a term is scored.
+RANKED_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM d),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*)::BIGINT AS q FROM b GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+v AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, nd),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))))::BIGINT AS score FROM q JOIN v USING (term) JOIN p USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op4_suffix_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_near_dedup, op4_suffix_dedup, op5_flac_media, op6_quality_classifier, op7_bpe_round_trip, op8_packing, op9_line_dedup, op10_quality_rules, op11_context_tree, op12_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -152,4 +177,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_dedup": REPEATS_SQL,
         "op9_line_dedup": LINE_DEDUP_SQL.format(support=lines.SUPPORT, ratio=lines.RATIO),
         "op10_quality_rules": RULES_SQL,
+        "op12_ranked_search": RANKED_SQL,
     }
