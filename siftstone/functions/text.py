@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,35 @@ def redact_code(text: Column, secrets: Column) -> Column:
     return F.array_join(F.transform(F.split(redact(text, secrets, literals=True), "\n", -1), lambda line: F.regexp_replace(line, r"([=:]\s*)[^\s#'\"][^#]*?(\s*(?:#.*)?)$", f"$1{REDACTED}$2")), "\n")
 
 
+# A literal that is given to a name, and a long literal of key characters; in the syntax that Java and RE2 share.
+ASSIGNED_LITERAL = r"""[A-Za-z_][A-Za-z0-9_.]*\s*[:=]\s*(?:'(?:\\[^\n]|[^'\\\n])*'|"(?:\\[^\n]|[^"\\\n])*")"""
+LONG_LITERAL = r"""'[A-Za-z0-9+/=_-]{20,}'|"[A-Za-z0-9+/=_-]{20,}\""""
+#: Bits a character from which a long literal is taken for a secret.
+RANDOM = 3.5
+
+
+def splice(text: Column, pattern: str, decide: Callable[[Column], Column]) -> Column:
+    """text with each match of the pattern replaced by decide(match): the gaps and the matches, joined again in order."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    out = F.array_join(F.transform(gaps, lambda gap, i: F.concat(F.coalesce(F.when(i > 0, decide(F.get(hits, i - 1))), F.lit("")), gap)), "")
+    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(text)
+
+
+def redact_secretish(text: Column, known: Column | None = None) -> Column:
+    """For texts that leave in raw form: known values, literals given to secret-looking names, and long literals that look random."""
+    out = redact(text, F.array().cast("array<string>"), tool_secrets=known) if known is not None else text
+
+    def named(match: Column) -> Column:
+        name = F.regexp_extract(match, r"^[A-Za-z_][A-Za-z0-9_.]*", 0)
+        return F.when(name.rlike(SECRET_NAME), F.regexp_replace(match, r"(?s)(['\"]).*$", f"$1{REDACTED}$1")).otherwise(match)
+
+    def random(match: Column) -> Column:
+        quote = F.left(match, F.lit(1))
+        return F.when(entropy(F.substring(match, F.lit(2), F.length(match) - 2)) >= RANDOM, F.concat(quote, F.lit(REDACTED), quote)).otherwise(match)
+
+    return splice(splice(out, ASSIGNED_LITERAL, named), LONG_LITERAL, random)
+
+
 def strip_controls(text: Column) -> Column:
     """C0 and C1 controls but tab and newline as \\xNN. Texts without any (nearly all) are not looked at twice."""
     out = text

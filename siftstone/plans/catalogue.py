@@ -9,17 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import taxonomy, text
-from siftstone.operators import fixpoint, identity, merging, regions, reporting
-
-#: Rules of the text scan: id, pattern (in the syntax that Java and RE2 share), CWE, severity, confidence.
-TEXT_RULES = [
-    ("text:email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "CWE-359: personal data", "medium", 60),
-    ("text:ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "cwe_200", "low", 40),
-    ("text:phone", r"\+[0-9][0-9 ()-]{7,}[0-9]", "CWE-359", "medium", 50),
-    ("text:number", r"[0-9]{13,19}", "CWE-0359", "medium", 40),
-    ("gitleaks:token", r"[A-Za-z_]+ *= *\"[^\"]+\"", "CWE-798", "high", 70),
-]
-
+from siftstone.operators import dictionary, fixpoint, identity, merging, regions, reporting
+from siftstone.plans import textscan
+from siftstone.plans.textscan import TEXT_RULES
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,27 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, rule, cwe, severity, confidence, match, n): every match of every rule, in one pass over the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hits = [_hits(*rule) for rule in TEXT_RULES]
-    return docs.select("doc_id", F.explode(F.flatten(F.array(*hits))).alias("h")).select("doc_id", "h.*")
-
-
-def _hits(rule: str, pattern: str, cwe: str, severity: str, confidence: int):
-    def one(match, i):
-        return F.struct(F.lit(rule).alias("rule"), F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), match.alias("match"), i.alias("n"))
-
-    return F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), one)
+    return textscan.matches(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, classify, redact, fingerprint, number and rank: the stages between detection and report."""
-    found = text_findings(spark, sf_dir)
-    found = found.select(
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "rule", taxonomy.classify(F.col("rule"), F.array("cwe")).alias("vuln_class"),
-        "severity", "confidence", F.when(F.col("rule") == "gitleaks:token", text.redact_literals(F.col("match"))).otherwise(F.col("match")).alias("sink"), "n",
-    )
-    named = identity.with_ids(found, F.col("vuln_class"), F.col("path"), F.lit(None).cast("string"), F.col("sink"), [F.col("rule"), F.col("n")])
-    return named.select("id", "path", "rule", "vuln_class", "severity", "confidence", "sink", "occurrence")
+    return textscan.findings(text_findings(spark, sf_dir), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
 
 
 def q_text_scan(spark, sf_dir):
@@ -68,6 +45,29 @@ def q_redact(spark, sf_dir):
     return docs.select("doc_id", F.sha2(text.redact(F.coalesce("text", F.lit("")), secrets), 256).alias("redacted_sha256"))
 
 
+def _known(spark, sf_dir, broadcast_bytes):
+    """Secrets that documents give to names, replaced in all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    known = textscan.secrets(table(spark, sf_dir, "documents"))
+    found = dictionary.with_found(pages, ["html"], known, broadcast_bytes=broadcast_bytes)
+    return found.select("page_id", F.size("found").alias("n_found"), F.sha2(text.redact(F.col("html"), F.col("found")), 256).alias("redacted_sha256"))
+
+
+def q_dictionary_redact(spark, sf_dir):
+    """A dictionary within the size that is broadcast."""
+    return _known(spark, sf_dir, dictionary.BROADCAST_BYTES)
+
+
+def q_dictionary_large(spark, sf_dir):
+    """The same dictionary by grams, as one that is too large to be sent."""
+    return _known(spark, sf_dir, 0)
+
+
+def q_redact_secretish(spark, sf_dir):
+    """Literals of secret-looking names and literals that look random."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact_secretish(F.coalesce("text", F.lit(""))), 256).alias("redacted_sha256"))
+
+
 def q_strip_controls(spark, sf_dir):
     """C11."""
     t = table(spark, sf_dir, "conversations")
@@ -354,7 +354,18 @@ def oracle_sql() -> dict[str, str]:
     default = " OR ".join("list_contains(list_slice(parts, 1, len(parts) - 1), '{}')".format(d) if "*" not in d else "len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda x: ends_with(x, '.egg-info'))) > 0" for d in text.IGNORED)
     fp = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty')")
     fpn = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty'), CASE WHEN occurrence > 0 THEN '#' || occurrence END")
+    known = """WITH v AS (SELECT DISTINCT v FROM (SELECT regexp_extract(m, '"([^"]+)"', 1) AS v FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+ *= *"[^"]+"')) AS m FROM documents)) WHERE length(v) >= 8 AND (length(v) >= 16 OR NOT regexp_matches(v, '^\\pL+$'))),
+    w AS (SELECT coalesce(list(v ORDER BY length(v) DESC, v), []::VARCHAR[]) AS vs FROM v), p AS (SELECT page_id, coalesce(html, '') AS t, list_filter(vs, lambda x: contains(coalesce(html, ''), x)) AS f FROM pages, w)
+    SELECT page_id, len(f)::INT AS n_found, sha256(list_reduce(list_prepend(t, f), lambda a, s: replace(a, s, '<REDACTED>'))) AS redacted_sha256 FROM p"""
+    literal = lambda p: p.replace("'", "''")
+    spliced = lambda p, made, rest: f"SELECT doc_id, list_reduce(list_transform(g, lambda x, i: CASE WHEN i > 1 THEN {made.format(m='h[i - 1]')} ELSE '' END || x), lambda a, b: a || b) AS t FROM (SELECT doc_id, string_split_regex(t, '{literal(p)}') AS g, regexp_extract_all(t, '{literal(p)}') AS h FROM {rest})"
+    named = "CASE WHEN regexp_matches(regexp_extract({m}, '^[A-Za-z_][A-Za-z0-9_.]*'), '" + text.SECRET_NAME + "') THEN regexp_replace({m}, '([''\"]).*$', '\\1<REDACTED>\\1', 's') ELSE {m} END"
+    random = f"CASE WHEN list_entropy(string_split({{m}}[2:-2], '')) >= {text.RANDOM} THEN {{m}}[1] || '<REDACTED>' || {{m}}[1] ELSE {{m}} END"
+    plain = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
     return {
+        "q_dictionary_redact": known,
+        "q_dictionary_large": known,
+        "q_redact_secretish": "SELECT doc_id, sha256(t) AS redacted_sha256 FROM (" + spliced(text.LONG_LITERAL, random, "(" + spliced(text.ASSIGNED_LITERAL, named, plain) + ")") + ")",
         "q_text_scan": _regex_union() + "SELECT doc_id, rule, count(*) AS matches, min(match) AS least_match FROM f GROUP BY doc_id, rule",
         "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
         "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",

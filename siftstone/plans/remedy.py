@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftstone.analyze import engine, fixes
 from siftstone.analyze.names import File
 from siftstone.functions import taxonomy
-from siftstone.operators import reporting
+from siftstone.operators import dictionary, reporting
 
 FIX = "path string, id string, description string, edits string, diff string"
 
@@ -43,8 +43,9 @@ def proposed(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def without_secrets(fix: DataFrame, secrets: DataFrame) -> DataFrame:
     """Fixes whose texts hold no secret; secrets: path, value (a null path counts everywhere)."""
-    leak = fix.join(secrets.select(F.col("path").alias("_p"), "value"), (F.col("_p").isNull() | (F.col("_p") == F.col("path"))) & F.contains(F.concat("description", "edits", "diff"), F.col("value")), "left_semi")
-    return fix.join(leak.select("id"), "id", "left_anti")
+    scoped = secrets.filter("path IS NOT NULL").select("path", "value")
+    leaks = dictionary.leaking(fix, "id", ["description", "edits", "diff"], secrets.filter("path IS NULL").select("value"), "path", scoped)
+    return fix.join(leaks, "id", "left_anti")
 
 
 def valid_reply(text: str) -> dict | None:

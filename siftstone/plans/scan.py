@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftstone.analyze import engine, rules
 from siftstone.functions import taxonomy, text
-from siftstone.operators import fixpoint, identity, merging
+from siftstone.operators import dictionary, fixpoint, identity, merging
 from siftstone.sources.code import python_files
 
 FINDING = (
@@ -185,17 +185,37 @@ def merged(found: DataFrame, imported: DataFrame | None = None) -> DataFrame:
     ).withColumn("suppression", F.when(F.col("status") == "suppressed", F.col("suppression"))).drop("_bucket", "cluster")
 
 
-def identified(found: DataFrame) -> DataFrame:
-    """Redacted and with ids."""
-    clean = found.withColumn("sink", text.strip_controls(F.when(F.col("vuln_class") == "secret", text.redact_literals(F.col("sink"))).otherwise(F.col("sink")))).withColumn("message", text.strip_controls(F.col("message")))
+#: Texts of a finding that a reader sees.
+SHOWN = ["rule_id", "function", "sink", "message", "note"]
+
+
+def identified(found: DataFrame, secrets: DataFrame | None = None, tool: DataFrame | None = None) -> DataFrame:
+    """Redacted and with ids. secrets (path, value, wide): of all files; wide ones are replaced in the findings of every file. tool: (value) of other tools."""
+    clean = found
+    if secrets is not None:
+        known = secrets.filter("wide").select("value")
+        clean = dictionary.redacted(clean, SHOWN, known, "path", secrets.filter("NOT wide").select("path", "value"), tool)
+    secret = F.col("vuln_class") == "secret"
+    clean = clean.withColumn("sink", text.strip_controls(F.when(secret, text.redact_code(F.col("sink"), F.array().cast("array<string>"))).otherwise(F.col("sink"))))
+    clean = clean.withColumn("message", text.strip_controls(F.when(secret, F.concat(F.lit("Possible hard-coded secret reported by "), F.array_join("sources", ", "), F.lit("."))).otherwise(F.col("message"))))
     order = [F.col(c) for c in ("start_line", "start_column", "rule_id", "message")]
     return identity.with_ids(clean, F.col("vuln_class"), F.col("path"), F.col("function"), F.col("sink"), order)
 
 
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), rule_classes=rules.BUILT_IN, imported: DataFrame | None = None, link: bool = True) -> tuple[DataFrame, DataFrame]:
+def file_secrets(rows: DataFrame) -> DataFrame:
+    """(path, value, wide) of all analysed files."""
+    return of_kind(rows, "secret", "path string, value string, wide boolean")
+
+
+def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), rule_classes=rules.BUILT_IN, imported: DataFrame | None = None, link: bool = True, tool_secrets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, errors) of the Python files below root."""
     rows = fixpoint.stored(analyzed(python_files(spark, root, ignore), rule_classes))
-    return identified(merged(findings(rows, link), imported)), of_kind(rows, "error", "path string, message string")
+    if imported is not None:  # what is not scanned is not imported either
+        imported = imported.filter(~text.ignored(F.col("path"), tuple(ignore)))
+    errors = of_kind(rows, "error", "path string, message string")
+    secrets = file_secrets(rows)
+    errors = dictionary.redacted(errors, ["message"], secrets.select("value"), tool=tool_secrets)
+    return identified(merged(findings(rows, link), imported), secrets, tool_secrets), errors
 
 
 TEMPLATES = (

@@ -106,3 +106,9 @@ def leaks(reports: DataFrame, root: str = "/") -> tuple[DataFrame, DataFrame]:
     )
     bad = rows.filter("path IS NULL").select(F.concat(F.lit("gitleaks: item "), F.col("index").cast("string"), F.lit(" has no file inside the root")).alias("message"))
     return rows.filter("path IS NOT NULL").withColumn("sink", F.concat("rule_id", F.lit("@"), "path", F.lit("@L"), F.col("region.start_line").cast("string"))).drop("index"), bad
+
+
+def leaked(reports: DataFrame) -> DataFrame:
+    """(value): the secrets themselves, to be kept out of every other text."""
+    items = reports.select(F.explode(F.coalesce(F.from_json(F.when(F.trim("value") == "", "[]").otherwise(F.col("value")), LEAK), F.array().cast(LEAK))).alias("x"))
+    return items.select(F.col("x.Secret").alias("value")).filter("value <> ''").distinct()
