@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, mix64, release, slices
+from .common import Tables, cut, mix64, release, slices, writing
 from .hashed import Cache
 
 DEPTH = 6
@@ -429,7 +429,9 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["depth", "bit", "node", "ones", "n", "under"])
 
-    sums = ranges.mapInArrow(partial, "depth int, bit int, node bigint, ones bigint, n bigint, under double").groupBy("depth", "bit", "node").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.sum("under").alias("under")).collect()
+    shares = ranges.mapInArrow(partial, "depth int, bit int, node bigint, ones bigint, n bigint, under double")
+    with writing(spark):  # the blocks' shuffle goes at once: they are dealt again below
+        sums = shares.groupBy("depth", "bit", "node").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.sum("under").alias("under")).collect()
     known, total = next(((r.ones, r.n) for r in sums if r.depth < 0), (0, 0))
     top = spark.sparkContext.broadcast(joined([r for r in sums if r.depth >= 0], depth))
 
