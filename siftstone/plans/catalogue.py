@@ -343,6 +343,31 @@ _KEY = "sha256(coalesce(text, ''))"
 _RANK = "SELECT *, list_position(['specified','low','medium','high','urgent'], lower(regexp_extract(o_orderpriority, '([A-Za-z]+)$', 1)))::INT - 1 AS severity_rank, (o_orderkey % 101)::INT AS confidence, o_orderstatus = 'P' AS suppressed FROM orders"
 
 
+def known_secrets_sql() -> str:
+    """v: the report-wide secrets of documents; w: they as one list vs, the longest first."""
+    return """v AS (SELECT DISTINCT v FROM (SELECT regexp_extract(m, '"([^"]+)"', 1) AS v FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+ *= *"[^"]+"')) AS m FROM documents)) WHERE length(v) >= 8 AND (length(v) >= 16 OR NOT regexp_matches(v, '^\\pL+$'))),
+    w AS (SELECT coalesce(list(v ORDER BY length(v) DESC, v), []::VARCHAR[]) AS vs FROM v)"""
+
+
+def secretish_sql(rest: str) -> str:
+    """(doc_id, t) of rows (doc_id, t), without literals that look like secrets."""
+    literal = lambda p: p.replace("'", "''")
+    spliced = lambda p, made, rest: f"SELECT doc_id, list_reduce(list_transform(g, lambda x, i: CASE WHEN i > 1 THEN {made.format(m='h[i - 1]')} ELSE '' END || x), lambda a, b: a || b) AS t FROM (SELECT doc_id, string_split_regex(t, '{literal(p)}') AS g, regexp_extract_all(t, '{literal(p)}') AS h FROM {rest})"
+    named = "CASE WHEN regexp_matches(regexp_extract({m}, '^[A-Za-z_][A-Za-z0-9_.]*'), '" + text.SECRET_NAME + "') THEN regexp_replace({m}, '([''\"]).*$', '\\1<REDACTED>\\1', 's') ELSE {m} END"
+    random = f"CASE WHEN list_entropy(string_split({{m}}[2:-2], '')) >= {text.RANDOM} THEN {{m}}[1] || '<REDACTED>' || {{m}}[1] ELSE {{m}} END"
+    return spliced(text.LONG_LITERAL, random, "(" + spliced(text.ASSIGNED_LITERAL, named, rest) + ")")
+
+
+def text_findings_sql() -> str:
+    """Findings of documents with their ids, all of a first batch."""
+    base, numbered = _FP.format("vuln_class, path, '<module>', sink"), _FP.format("vuln_class, path, '<module>', sink, CASE WHEN occurrence > 0 THEN '#' || occurrence END")
+    quoted = r"""regexp_replace(regexp_replace(match, '''(?:\\.|[^''\\])+''', '''<REDACTED>''', 'g'), '"(?:\\.|[^"\\])+"', '"<REDACTED>"', 'g')"""
+    return _regex_union() + f""", g AS (SELECT coalesce(doc_id::VARCHAR, '') AS key, 'doc/' || coalesce(doc_id::VARCHAR, '') AS path, rule, n, severity, confidence::INT AS confidence,
+      CASE rule WHEN 'text:ipv4' THEN 'other:CWE-200' WHEN 'gitleaks:token' THEN 'secret' ELSE 'other:CWE-359' END AS vuln_class, CASE WHEN rule = 'gitleaks:token' THEN {quoted} ELSE match END AS sink FROM f),
+    h AS (SELECT *, (row_number() OVER (PARTITION BY {base} ORDER BY rule, n) - 1)::INT AS occurrence FROM g)
+    SELECT {numbered} AS id, key, path, rule, vuln_class, severity, confidence, sink, occurrence, 0::BIGINT AS first_batch FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
     controls = "replace(coalesce(text, '') || chr(27) || '[2J' || chr(13) || chr(9) || chr(10) || coalesce(role, ''), chr(13), '\\x0d')"
     for c in text.CONTROLS:
@@ -354,18 +379,12 @@ def oracle_sql() -> dict[str, str]:
     default = " OR ".join("list_contains(list_slice(parts, 1, len(parts) - 1), '{}')".format(d) if "*" not in d else "len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda x: ends_with(x, '.egg-info'))) > 0" for d in text.IGNORED)
     fp = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty')")
     fpn = _FP.format("'other', source, coalesce(nullif(lang, ''), '<module>'), coalesce(nullif(text, ''), 'empty'), CASE WHEN occurrence > 0 THEN '#' || occurrence END")
-    known = """WITH v AS (SELECT DISTINCT v FROM (SELECT regexp_extract(m, '"([^"]+)"', 1) AS v FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+ *= *"[^"]+"')) AS m FROM documents)) WHERE length(v) >= 8 AND (length(v) >= 16 OR NOT regexp_matches(v, '^\\pL+$'))),
-    w AS (SELECT coalesce(list(v ORDER BY length(v) DESC, v), []::VARCHAR[]) AS vs FROM v), p AS (SELECT page_id, coalesce(html, '') AS t, list_filter(vs, lambda x: contains(coalesce(html, ''), x)) AS f FROM pages, w)
+    known = f"""WITH {known_secrets_sql()}, p AS (SELECT page_id, coalesce(html, '') AS t, list_filter(vs, lambda x: contains(coalesce(html, ''), x)) AS f FROM pages, w)
     SELECT page_id, len(f)::INT AS n_found, sha256(list_reduce(list_prepend(t, f), lambda a, s: replace(a, s, '<REDACTED>'))) AS redacted_sha256 FROM p"""
-    literal = lambda p: p.replace("'", "''")
-    spliced = lambda p, made, rest: f"SELECT doc_id, list_reduce(list_transform(g, lambda x, i: CASE WHEN i > 1 THEN {made.format(m='h[i - 1]')} ELSE '' END || x), lambda a, b: a || b) AS t FROM (SELECT doc_id, string_split_regex(t, '{literal(p)}') AS g, regexp_extract_all(t, '{literal(p)}') AS h FROM {rest})"
-    named = "CASE WHEN regexp_matches(regexp_extract({m}, '^[A-Za-z_][A-Za-z0-9_.]*'), '" + text.SECRET_NAME + "') THEN regexp_replace({m}, '([''\"]).*$', '\\1<REDACTED>\\1', 's') ELSE {m} END"
-    random = f"CASE WHEN list_entropy(string_split({{m}}[2:-2], '')) >= {text.RANDOM} THEN {{m}}[1] || '<REDACTED>' || {{m}}[1] ELSE {{m}} END"
-    plain = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
     return {
         "q_dictionary_redact": known,
         "q_dictionary_large": known,
-        "q_redact_secretish": "SELECT doc_id, sha256(t) AS redacted_sha256 FROM (" + spliced(text.LONG_LITERAL, random, "(" + spliced(text.ASSIGNED_LITERAL, named, plain) + ")") + ")",
+        "q_redact_secretish": "SELECT doc_id, sha256(t) AS redacted_sha256 FROM (" + secretish_sql("(SELECT doc_id, coalesce(text, '') AS t FROM documents)") + ")",
         "q_text_scan": _regex_union() + "SELECT doc_id, rule, count(*) AS matches, min(match) AS least_match FROM f GROUP BY doc_id, rule",
         "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
         "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",

@@ -33,14 +33,14 @@ def matches(rows: DataFrame, keep: list[str], column: str = "text", rules: list[
     return rows.select(*keep, F.explode(F.flatten(F.array(*[_hits("_text", *rule) for rule in rules]))).alias("h")).select(*keep, "h.*")
 
 
-def findings(found: DataFrame, path: Column) -> DataFrame:
-    """(id, path, rule, vuln_class, severity, confidence, sink, occurrence) of matches: classified, redacted, numbered and named."""
+def findings(found: DataFrame, path: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., id, path, rule, vuln_class, severity, confidence, sink, occurrence) of matches: classified, redacted, numbered and named."""
     found = found.select(
-        path.alias("path"), "rule", taxonomy.classify(F.col("rule"), F.array("cwe")).alias("vuln_class"),
+        *keep, path.alias("path"), "rule", taxonomy.classify(F.col("rule"), F.array("cwe")).alias("vuln_class"),
         "severity", "confidence", F.when(F.col("rule") == SECRET_RULE, text.redact_literals(F.col("match"))).otherwise(F.col("match")).alias("sink"), "n",
     )
     named = identity.with_ids(found, F.col("vuln_class"), F.col("path"), F.lit(None).cast("string"), F.col("sink"), [F.col("rule"), F.col("n")])
-    return named.select("id", "path", "rule", "vuln_class", "severity", "confidence", "sink", "occurrence")
+    return named.select(*keep, "id", "path", "rule", "vuln_class", "severity", "confidence", "sink", "occurrence")
 
 
 def secrets(rows: DataFrame, column: str = "text") -> DataFrame:
