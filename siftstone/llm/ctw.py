@@ -39,9 +39,11 @@ from .hashed import Cache
 DEPTH = 6
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text of a slice, and of a piece that is worked on at once.
-SLICE, CHUNK = 16 << 20, 2 << 20
+SLICE, CHUNK = 16 << 20, 1 << 20
 #: Rows of a slice at most, however short they are.
 SLICE_ROWS = 50_000
+#: Bytes of text that a range of grams answers for, at most about.
+RANGE = 64 << 20
 #: About so many documents, and one in SHOWN_GRAMS of their grams, place the cuts between tasks; they decide the balance only.
 SHOWN, SHOWN_GRAMS = 2_000, 32
 END = 10
@@ -166,8 +168,8 @@ def word_ids() -> Cache:
     return Cache(lambda w: xxhash.xxh64_intdigest(w) or 1)
 
 
-def packed(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+def packed(a: np.ndarray | bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes(), asbytes=True)
 
 
 def opened(data: bytes, n: int, kind) -> np.ndarray:
@@ -210,10 +212,10 @@ def sliced(docs: DataFrame, cuts: np.ndarray, parts: int, depth: int) -> DataFra
 
         def text_row(piece: Chunk) -> tuple:
             data = b"".join(piece.data)
-            return (2, 0, task << 20 | seq, len(data), pa.compress(data, codec="zstd", asbytes=True), None, piece.rows, [names[r] for r in piece.rows], piece.sizes, piece.words)
+            return (2, 0, task << 20 | seq, len(data), packed(data), None, piece.rows, [names[r] for r in piece.rows], piece.sizes, piece.words)
 
         def blocks(kind: int, found: list, ends) -> list[tuple]:
-            keys, counts = counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+            keys, counts = merged(found)[0]
             out, begin = [], 0
             for part, end in enumerate(ends(keys)):
                 if end > begin:
@@ -221,8 +223,13 @@ def sliced(docs: DataFrame, cuts: np.ndarray, parts: int, depth: int) -> DataFra
                 begin = end
             return out
 
+        def merged(found: list) -> list:
+            return [counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
+
         def done() -> pa.RecordBatch:
             gram.append(gram_counts(chunk, depth))
+            if len(gram) >= 6:
+                gram[:] = merged(gram)
             return batch([text_row(chunk)])
 
         for part in slices(batches, CHUNK):
@@ -240,7 +247,7 @@ def sliced(docs: DataFrame, cuts: np.ndarray, parts: int, depth: int) -> DataFra
                         yield done()
                         chunk = Chunk()
                 if len(word) >= 1000:
-                    word = [counted(np.concatenate([k for k, _ in word]), np.concatenate([c for _, c in word]))]
+                    word = merged(word)
                 if size >= SLICE or len(names) >= SLICE_ROWS:
                     if chunk.rows:
                         yield done()
@@ -255,18 +262,25 @@ def sliced(docs: DataFrame, cuts: np.ndarray, parts: int, depth: int) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, STEP)
 
 
-def even_cuts(docs: DataFrame, parts: int, depth: int) -> np.ndarray:
-    """parts - 1 contexts at most that cut the grams of a sample of the documents evenly, as grams."""
+def shown(docs: DataFrame, depth: int) -> tuple[np.ndarray, int]:
+    """(grams of a sample of documents, bytes of all documents as the sample has it)."""
 
     def run(batches):
         for part in slices(batches, CHUNK):
             for text in part.column(0).to_pylist():
                 for data, _ in pieces(tokens(text), depth, CHUNK):
                     g = np.unique(grams(data, depth))
-                    yield pa.record_batch([pa.array(g[mix64(g) % u64(SHOWN_GRAMS) == 0].view(np.int64))], ["g"])
+                    yield pa.record_batch([pa.array([g[mix64(g) % u64(SHOWN_GRAMS) == 0].view(np.int64)], pa.list_(pa.int64())), pa.array([len(data) - depth])], ["g", "size"])
+
+    rows = docs.count()
+    fraction = min(1.0, SHOWN / max(1, rows))
+    got = docs.select("text").sample(False, fraction, 7).mapInArrow(run, "g array<bigint>, size bigint").collect()
+    found = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r.g, np.int64) for r in got)])).astype(u64)
+    return found, int(sum(r.size for r in got) / fraction)
+
 
-    shown = docs.select("text").sample(False, min(1.0, SHOWN / max(1, docs.count())), 7)
-    found = np.sort(np.array([r.g for r in shown.mapInArrow(run, "g bigint").distinct().collect()], np.int64)).astype(u64)
+def even_cuts(found: np.ndarray, parts: int) -> np.ndarray:
+    """parts - 1 contexts at most that cut grams evenly, as grams."""
     if not len(found) or parts < 2:
         return np.zeros(0, u64)
     at = found[(np.arange(1, parts) * len(found)) // parts]
@@ -414,8 +428,9 @@ class Range:
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of docs; depth is 6 at most."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = even_cuts(docs, parts, depth)
+    found, size = shown(docs, depth)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE)
+    cuts = even_cuts(found, parts)
     steps = tables.cut(sliced(docs, cuts, parts, depth))
     ranges = steps.filter("kind < 2").select("kind", "part", "slice", "n", "a", "b").repartitionById(parts, F.col("part"))
 
