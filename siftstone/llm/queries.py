@@ -103,9 +103,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_DEDUP_SQL = """
 WITH p AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, source, i, lines[i] AS line FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM p)),
-n AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM p) WHERE regexp_matches(line, '[^ \\t\x0b\\f\\r]') GROUP BY source, line),
-t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-bad AS (SELECT n.source, n.line FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE n >= {support} AND n > {ratio} * pages),
+u AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
+n AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM u) WHERE regexp_matches(line, '[^ \\t\\x0b\\f\\r]') GROUP BY source, line),
+t AS (SELECT source, count(*) AS pages FROM u GROUP BY source),
+bad AS (SELECT n.source, n.line FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > {ratio} * pages + {deviations} * sqrt({ratio} * (1 - {ratio}) * pages)),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.line) AS n_dropped, string_agg(CASE WHEN bad.line IS NULL THEN l.line END, chr(10) ORDER BY i) AS kept
       FROM l LEFT JOIN bad ON l.line = bad.line AND l.source IS NOT DISTINCT FROM bad.source GROUP BY l.doc_id)
 SELECT d.doc_id, d.source AS host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
@@ -175,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": licenses.oracle(),
         "op3_near_dedup": NEAR_DEDUP_SQL,
         "op4_suffix_dedup": REPEATS_SQL,
-        "op9_line_dedup": LINE_DEDUP_SQL.format(support=lines.SUPPORT, ratio=lines.RATIO),
+        "op9_line_dedup": LINE_DEDUP_SQL.format(deviations=lines.DEVIATIONS, ratio=lines.RATIO),
         "op10_quality_rules": RULES_SQL,
         "op12_ranked_search": RANKED_SQL,
     }
