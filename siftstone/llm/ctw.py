@@ -463,7 +463,9 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             else:
                 keys, values = mine.counts(1)
             for name, n, own, _ in mine.blocks[kind]:
-                out.append((kind, mine.part, name, n, own, packed(values[np.searchsorted(keys, opened(own, n, u64))]), None, None, None, None))
+                answer = packed(values[np.searchsorted(keys, opened(own, n, u64))])
+                # A slice finds its words' keys in its texts again: hashes do not pack.
+                out.append((kind, mine.part, name, n, None if kind else own, answer, None, None, None, None))
                 held += n
                 if held > 1 << 19:
                     yield batch(out)
@@ -478,46 +480,55 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     dealt = answers.repartitionById(parts, route).sortWithinPartitions("slice", "kind", "part")
     floor = total + known + 1
 
+    def added(texts: list[dict], logs: tuple, counts: np.ndarray, ids: Cache) -> pa.RecordBatch:
+        """A slice's rows, from its texts, the answers to its grams (keys, values) and to its words (values, in the order of the keys)."""
+        pieces_of, sums = [], {}
+        for r in texts:
+            ids.trim()
+            data, sizes = pa.decompress(r["a"], r["n"], codec="zstd", asbytes=True), np.array(r["sizes"])
+            log = np.zeros(len(data))
+            for at, g in windows(data, own_bytes(sizes, depth), depth):
+                distinct, back = np.unique(g, return_inverse=True)
+                log[at] = logs[1][np.searchsorted(logs[0], distinct)][back]
+            starts = np.cumsum(sizes) - sizes
+            for row, doc_id, begin, size, total_log in zip(r["rows"], r["ids"], starts.tolist(), sizes.tolist(), np.add.reduceat(log, starts).tolist()):
+                text = data[begin + depth : begin + size]
+                keys = word_keys(text.split(), ids)
+                pieces_of.append((row, np.append(keys, u64(END_KEY)) if text[-1] == END else keys))
+                old = sums.get(row, (doc_id, 0, 0.0))
+                sums[row] = (doc_id, old[1] + size - depth, old[2] + total_log)
+        own = np.unique(np.concatenate([k for _, k in pieces_of]))
+        words = {row: (0, 0, 0.0) for row in sums}
+        for row, keys in pieces_of:
+            c = counts[np.searchsorted(own, keys)]
+            n, n_known, base = words[row]
+            words[row] = (n + len(keys), n_known + int((c > 0).sum()), base + float(np.log10((c + 1) / floor).sum()))
+        out = [(doc_id, held_out(doc_id), *words[row][:2], total, words[row][2], log, n_bytes, -log / math.log10(2) / n_bytes) for row, (doc_id, n_bytes, log) in sums.items()]
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in SCORED.split(", ")])
+
     def add_up(batches):
         release()
-        ids, now, got, sums = word_ids(), None, {0: [], 1: []}, {}
+        ids, now, logs, counts, texts = word_ids(), None, [], [], []
 
-        def rows(done: dict) -> pa.RecordBatch:
-            out = []
-            for doc_id, n_bytes, n, n_known, base, log in done.values():
-                out.append((doc_id, held_out(doc_id), n, n_known, total, base, log, n_bytes, -log / math.log10(2) / n_bytes))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in SCORED.split(", ")])
+        def done() -> pa.RecordBatch:  # ranges come in order, so their answers are those to sorted keys
+            return added(texts, tuple(np.concatenate(x) for x in zip(*logs)), np.concatenate(counts), ids)
 
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in _NAMES}
                 if r["slice"] != now:
-                    if sums:
-                        yield rows(sums)
-                    now, got, sums = r["slice"], {0: [], 1: []}, {}
-                if r["kind"] < 2:
-                    got[r["kind"]].append((opened(r["a"], r["n"], u64), opened(r["b"], r["n"], (np.float32, np.int64)[r["kind"]])))
-                    continue
-                if isinstance(got[0], list):  # the slice's first text: its answers are whole, ranges in order
-                    got = {k: tuple(np.concatenate(x) for x in zip(*v)) for k, v in got.items()}
-                ids.trim()
-                data, sizes = pa.decompress(r["a"], r["n"], codec="zstd", asbytes=True), np.array(r["sizes"])
-                logs = np.zeros(len(data))
-                for at, g in windows(data, own_bytes(sizes, depth), depth):
-                    distinct, back = np.unique(g, return_inverse=True)
-                    logs[at] = got[0][1][np.searchsorted(got[0][0], distinct)][back]
-                starts = np.cumsum(sizes) - sizes
-                for row, doc_id, begin, size, n_words, log in zip(r["rows"], r["ids"], starts.tolist(), sizes.tolist(), r["words"], np.add.reduceat(logs, starts).tolist()):
-                    text = data[begin + depth : begin + size]
-                    keys = word_keys(text.split(), ids)
-                    if text[-1] == END:
-                        keys = np.append(keys, u64(END_KEY))
-                    c = got[1][1][np.searchsorted(got[1][0], keys)]
-                    old = sums.get(row, (doc_id, 0, 0, 0, 0.0, 0.0))
-                    sums[row] = (doc_id, old[1] + size - depth, old[2] + len(keys), old[3] + int((c > 0).sum()), old[4] + float(np.log10((c + 1) / floor).sum()), old[5] + log)
-        if sums:
-            yield rows(sums)
+                    if texts:
+                        yield done()
+                    now, logs, counts, texts = r["slice"], [], [], []
+                if r["kind"] == 0:
+                    logs.append((opened(r["a"], r["n"], u64), opened(r["b"], r["n"], np.float32)))
+                elif r["kind"] == 1:
+                    counts.append(opened(r["b"], r["n"], np.int64))
+                else:
+                    texts.append(r)
+        if texts:
+            yield done()
 
     out = cut(dealt.mapInArrow(add_up, SCORED))
     top.unpersist()
