@@ -33,6 +33,10 @@ class File:
         self.parent: dict[ast.AST, ast.AST] = {}
         self.qualname: dict[ast.AST, str] = {}
         self.stored_attributes: set[str] = set()
+        #: What the file may replace (analyze/replaced.py); whoever analyses it puts it here.
+        self.replaced: list = []
+        #: Names of its module that it may set through the module; None for all.
+        self.reset: set[str] | None = set()
         # Indexes, so that rules need no walk over the tree: what names are given, how often they are bound, calls of their update().
         self.given: dict[str, list[tuple[ast.AST, ast.expr]]] = defaultdict(list)
         self.bindings: Counter = Counter()

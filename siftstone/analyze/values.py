@@ -21,6 +21,7 @@ import shlex
 import string
 from typing import NamedTuple
 
+from . import replaced
 from .names import File
 
 ALL = frozenset({"sqli", "cmdi", "codei", "weak_crypto"})
@@ -29,6 +30,8 @@ LOOPS = 5
 TEXTS, LONGEST = 3, 2000
 #: In a text: a word that shlex.quote() made, and a value that holds no shell syntax, a number for instance.
 WORD, PLAIN = "\0", "\1"
+#: Begins the mark of a path that relies on a library function: `name@path@root`, decided when all files are known.
+MODEL = "~model:"
 #: The mark of quoted parts; it counts for commands where the text shows that it holds.
 QUOTED = frozenset({"quote"})
 # Inputs from outside, and calls whose results carry no payload of some classes.
@@ -218,6 +221,8 @@ class Function:
     # Environments
 
     def put(self, env: dict[str, Value], name: str, value: Value) -> None:
+        if self.node is self.file.tree and (self.file.reset is None or name in self.file.reset):
+            value = mixed(value, UNKNOWN)  # it may be set through the module too
         env[name] = value
         for held in self.traps:  # an exception may leave with it
             held[name] = joined(held[name], value) if name in held else value
@@ -581,8 +586,8 @@ class Function:
         inside = mixed(*values) if values else CONSTANT
         if names & SOURCES:
             return self.source(node, sorted(names & SOURCES)[0])
-        if len(names) == 1 and (name := next(iter(names))) in SANITIZERS and not self.file.stored_attributes & {name.rpartition(".")[2]}:
-            return self.sanitized(node, name, inside, env)
+        if len(names) == 1 and (name := next(iter(names))) in SANITIZERS and not self.file.stored_attributes & {name.rpartition(".")[2]} and not replaced.library(self.file.replaced, name):
+            return self.modelled(node, name, self.sanitized(node, name, inside, env))
         if method:
             if method in ADDING:
                 root = node.func.value
@@ -592,8 +597,9 @@ class Function:
                 text = self.formatted(node, base, env, given) if method in ("format", "join") else None
                 return text if text is not None else self.made(node, mixed(base, inside)) if method in ("copy", "split", "rsplit", "splitlines") else mixed(base, inside)
         if names & KEEPING:
+            inside = self.modelled(node, sorted(names & KEEPING)[0], inside)
             whole = names == {"str"} and len(values) == 1 and not node.keywords
-            return values[0]._replace(cells=frozenset()) if whole else inside if not names & {"sorted", "list", "set", "dict", "json.loads"} else self.made(node, inside)
+            return inside._replace(cells=frozenset(), texts=values[0].texts) if whole else inside if not names & {"sorted", "list", "set", "dict", "json.loads"} else self.made(node, inside)
         if not names or not names <= READING:
             self.escape(env, mixed(inside, base))
         linked = {n for n in names | ({node.func.id} if isinstance(node.func, ast.Name) else set()) if n in self.linkable or "." in n}
@@ -605,6 +611,14 @@ class Function:
         parts = frozenset(p._replace(kind="assumed") if p.kind == "source" else p for p in mixed(inside, base).parts)
         return Value(parts, True, None, inside.cells)
 
+    def modelled(self, node: ast.Call, name: str, value: Value) -> Value:
+        """value with the mark of the library function that it came through."""
+        root = node.func
+        while isinstance(root, ast.Attribute):
+            root = root.value
+        mark = frozenset({f"{MODEL}{name}@{self.file.path}@{getattr(root, 'id', '')}"})
+        return value._replace(parts=frozenset(p._replace(safe=p.safe | mark) for p in value.parts))
+
     def sanitized(self, node: ast.Call, name: str, inside: Value, env: dict[str, Value]) -> Value:
         value = safer(inside, SANITIZERS[name])
         if SANITIZERS[name] != QUOTED or len(node.args) != 1 or node.keywords or isinstance(node.args[0], ast.Starred):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import taxonomy, text
-from siftstone.operators import dictionary, fixpoint, identity, merging, regions, reporting
+from siftstone.operators import dictionary, fixpoint, identity, merging, regions, replacement, reporting
 from siftstone.plans import textscan
 from siftstone.plans.textscan import TEXT_RULES
 
@@ -297,6 +297,24 @@ def q_anti_replacement(spark, sf_dir):
     return t.join(s, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def _replacing(spark, sf_dir):
+    """(models, entries, files) from parts: a part's type and name are a dotted name, its number says what it is used as."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.replace(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit(" "), F.lit(".")).alias("dotted"), F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ").alias("w"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("brand"))
+    path = F.concat(F.lit("src/"), "brand", F.lit("/m"), (F.col("k") % 37).cast("string"), F.lit(".py"))
+    models = p.select(F.concat_ws("@", "dotted", path, F.col("w")[0]).alias("model"))
+    kind = F.when(F.col("k") % 97 == 0, "own").when(F.col("k") % 89 == 1, "attr").when(F.col("k") % 101 == 2, "module")
+    owner = F.when(F.col("k") % 89 == 1, F.concat("brand", F.lit(".m"), (F.col("k") % 37).cast("string"))).when(F.col("k") % 2 == 0, F.concat_ws(".", F.col("w")[0], F.col("w")[1])).otherwise(F.col("dotted"))
+    entries = p.select(path.alias("path"), (F.col("k") % 50 + 1).cast("int").alias("line"), kind.alias("kind"), owner.alias("owner"), F.when(F.col("k") % 3 == 0, F.col("w")[2]).otherwise(F.col("w")[0]).alias("name")).filter("kind IS NOT NULL")
+    made = p.select(path.alias("path")).unionByName(p.filter("k % 61 = 5").select(F.concat(F.lit("lib/"), F.col("w")[0], F.lit("/"), F.col("w")[1], F.when(F.col("k") % 2 == 0, F.lit("/__init__.py")).otherwise(F.lit(".py"))).alias("path")))
+    made = made.unionByName(p.filter("k % 7 = 1").select(F.concat(F.lit("lib/"), F.col("w")[0], F.lit("/__init__.py")).alias("path")))
+    return models, entries, made.distinct().withColumn("module", text.module_name(F.col("path")))
+
+
+def q_model_replacement(spark, sf_dir):
+    """Library functions that scanned code may replace, with the earliest place."""
+    return replacement.decided(*_replacing(spark, sf_dir))
+
+
 def q_cache_lookup(spark, sf_dir):
     """Replies from a cache by the hash of whole texts, misses marked."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")
@@ -343,6 +361,28 @@ _KEY = "sha256(coalesce(text, ''))"
 _RANK = "SELECT *, list_position(['specified','low','medium','high','urgent'], lower(regexp_extract(o_orderpriority, '([A-Za-z]+)$', 1)))::INT - 1 AS severity_rank, (o_orderkey % 101)::INT AS confidence, o_orderstatus = 'P' AS suppressed FROM orders"
 
 
+#: Every model is held against every entry and file.
+_REPLACEMENT_SQL = """
+WITH p AS (SELECT p_partkey AS k, replace(lower(p_type || ' ' || p_name), ' ', '.') AS dotted, string_split(lower(p_type || ' ' || p_name), ' ') AS w, lower(replace(p_brand, '#', '_')) AS brand, 'src/' || lower(replace(p_brand, '#', '_')) || '/m' || (p_partkey % 37) || '.py' AS path FROM part),
+e AS (SELECT path, (k % 50 + 1)::INT AS line, CASE WHEN k % 97 = 0 THEN 'own' WHEN k % 89 = 1 THEN 'attr' WHEN k % 101 = 2 THEN 'module' END AS kind,
+      CASE WHEN k % 89 = 1 THEN brand || '.m' || (k % 37) WHEN k % 2 = 0 THEN w[1] || '.' || w[2] ELSE dotted END AS owner, CASE WHEN k % 3 = 0 THEN w[3] ELSE w[1] END AS name FROM p),
+f AS (SELECT path, replace(regexp_replace(regexp_replace(path, '\\.pyw?$', ''), '(^|/)__init__$', ''), '/', '.') AS module FROM (SELECT path FROM p UNION SELECT 'lib/' || w[1] || '/' || w[2] || CASE WHEN k % 2 = 0 THEN '/__init__.py' ELSE '.py' END FROM p WHERE k % 61 = 5 UNION SELECT 'lib/' || w[1] || '/__init__.py' FROM p WHERE k % 7 = 1)),
+o AS (SELECT DISTINCT owner FROM e WHERE kind IN ('attr', 'module')),
+r AS (SELECT owner, CASE WHEN count(*) FILTER (WHERE module = owner) = 1 THEN min(f.path) FILTER (WHERE module = owner) WHEN count(*) = 1 THEN min(f.path) END AS file FROM o JOIN f ON module = owner OR ends_with(module, '.' || owner) GROUP BY owner),
+n AS (SELECT e.*, file FROM e LEFT JOIN r USING (owner) WHERE kind IS NOT NULL),
+m AS (SELECT DISTINCT dotted || '@' || path || '@' || w[1] AS model, dotted, path, w, [w[1], w[1] || '.' || w[2]] AS pre FROM p),
+s AS (SELECT f.path, x.d AS dotted, array_to_string(list_slice(string_split(f.path, '/'), 1, len(string_split(f.path, '/')) - len(string_split(x.d, '.')) - CASE WHEN ends_with(f.path, '__init__.py') THEN 1 ELSE 0 END), '/') AS root
+      FROM f JOIN (SELECT DISTINCT unnest(pre) AS d FROM m) x ON f.module = x.d OR ends_with(f.module, '.' || x.d)),
+sh AS (SELECT dotted, min(path) || ':1' AS spot FROM s WHERE root = '' OR root || '/__init__.py' NOT IN (SELECT path FROM f) GROUP BY dotted),
+a AS (SELECT m.model,
+  (SELECT min((n.path, n.line)) FROM n WHERE (kind = 'own' AND n.path = m.path) OR (kind = 'module' AND file = m.path)) AS a2,
+  (SELECT min((n.path, n.line)) FROM n WHERE kind = 'attr' AND file = m.path AND name = m.w[1]) AS a3,
+  coalesce((SELECT spot FROM sh WHERE dotted = m.pre[1]), (SELECT spot FROM sh WHERE dotted = m.pre[2])) AS a4,
+  coalesce((SELECT min((n.path, n.line)) FROM n WHERE kind = 'attr' AND name = m.w[2]), (SELECT min((n.path, n.line)) FROM n WHERE kind = 'attr' AND name = m.w[3])) AS a5,
+  coalesce((SELECT min((n.path, n.line)) FROM n WHERE kind = 'module' AND owner = m.pre[1]), (SELECT min((n.path, n.line)) FROM n WHERE kind = 'module' AND owner = m.pre[2])) AS a6 FROM m)
+SELECT model, coalesce(a2[1] || ':' || a2[2], a3[1] || ':' || a3[2], a4, a5[1] || ':' || a5[2], a6[1] || ':' || a6[2]) AS place FROM a WHERE place IS NOT NULL"""
+
+
 def known_secrets_sql() -> str:
     """v: the report-wide secrets of documents; w: they as one list vs, the longest first."""
     return """v AS (SELECT DISTINCT v FROM (SELECT regexp_extract(m, '"([^"]+)"', 1) AS v FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+ *= *"[^"]+"')) AS m FROM documents)) WHERE length(v) >= 8 AND (length(v) >= 16 OR NOT regexp_matches(v, '^\\pL+$'))),
@@ -385,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "q_dictionary_redact": known,
         "q_dictionary_large": known,
         "q_redact_secretish": "SELECT doc_id, sha256(t) AS redacted_sha256 FROM (" + secretish_sql("(SELECT doc_id, coalesce(text, '') AS t FROM documents)") + ")",
+        "q_model_replacement": _REPLACEMENT_SQL,
         "q_text_scan": _regex_union() + "SELECT doc_id, rule, count(*) AS matches, min(match) AS least_match FROM f GROUP BY doc_id, rule",
         "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
         "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from siftstone.analyze import engine, rules
 from siftstone.functions import taxonomy, text
-from siftstone.operators import dictionary, fixpoint, identity, merging
+from siftstone.operators import dictionary, fixpoint, identity, merging, replacement
 from siftstone.sources.code import python_files
 
 FINDING = (
     "path string, rule_id string, vuln_class string, cwe array<string>, severity string, confidence int, status string, suppression string, message string, note string, "
-    "start_line int, start_column int, end_line int, end_column int, function string, sink string, owner string, flow array<struct<kind:string,ref:string,safe:array<string>>>"
+    "start_line int, start_column int, end_line int, end_column int, function string, sink string, owner string, flow array<struct<kind:string,ref:string,safe:array<string>>>, models array<string>"
 )
+#: Begins the mark of a path that relies on a library function, and of one that relies on a function which may be replaced.
+MODEL, ASSUMED = "~model:", "~assumed:"
 
 
 def analyzed(files: DataFrame, rule_classes=rules.BUILT_IN) -> DataFrame:
@@ -97,22 +99,68 @@ def resolved(calls: DataFrame, fn: DataFrame, imports: DataFrame) -> DataFrame:
     return both.withColumn("param", param).filter("param IS NOT NULL").drop("params", "positional")
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """Candidate sinks that input of another function reaches without being made safe for their class: (path, rule_id, start_line, start_column, origin).
+def replacements(rows: DataFrame) -> DataFrame:
+    """What scanned code may replace, one row a place."""
+    return of_kind(rows, "replaced", replacement.ENTRY)
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """(path, module) of the analysed files."""
+    return of_kind(rows, "file", "path string").select("path", text.module_name(F.col("path")).alias("module"))
+
+
+def replaced_models(rows: DataFrame) -> DataFrame:
+    """(mark, assumed, place): of all marks of library functions, those that scanned code may replace, with what is then assumed of the path and where that is seen first."""
+    safe = F.array().cast("array<string>")
+    _, ret, calls, sinks = atoms(rows)
+    marks = None
+    for df in (ret, calls, sinks):
+        one = df.select(F.explode(F.coalesce("safe", safe)).alias("mark"))
+        marks = one if marks is None else marks.unionByName(one)
+    marks = marks.unionByName(of_kind(rows, "finding", "models array<string>").select(F.explode("models").alias("mark"))).filter(F.startswith("mark", F.lit(MODEL))).distinct()
+    models = fixpoint.stored(marks.select("mark", F.substring("mark", len(MODEL) + 1, 10_000).alias("model")))
+    found = models.join(replacement.decided(models.select("model"), replacements(rows), scanned(rows)), "model")
+    shown = F.concat(F.lit("`"), F.element_at(F.split("model", "@"), 1), F.lit("`, which scanned code may replace ("), "place", F.lit(")"))
+    return fixpoint.stored(found.select("mark", F.concat(F.lit(ASSUMED), shown).alias("assumed"), shown.alias("shown")))
+
+
+def decided(df: DataFrame, column: str, replaced: DataFrame) -> DataFrame:
+    """df with the marks of library functions in an array column decided: those that nothing replaces go, and of the others one assumption stays, the least.
+
+    Each distinct set of marks is worked out once.
+    """
+    none = F.array().cast("array<string>")
+    df = df.withColumn(column, F.coalesce(column, none))
+    sets = df.select(F.col(column).alias("_set")).distinct().filter(F.exists("_set", lambda m: F.startswith(m, F.lit(MODEL))))
+    least = sets.select("_set", F.explode("_set").alias("mark")).join(replaced, "mark", "left").groupBy("_set").agg(F.min("assumed").alias("_assumed"))
+    plain = F.filter(F.col(column), lambda m: ~F.startswith(m, F.lit(MODEL)))
+    joined = df.join(least, df[column] == least["_set"], "left")
+    return joined.withColumn(column, merging.join_marks(plain, F.coalesce(F.array_compact(F.array("_assumed")), none))).drop("_set", "_assumed")
+
+
+def linked(rows: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Candidate sinks that input of another function reaches without being made safe for their class: (path, rule_id, start_line, start_column, origin, assumed). origin: by a path of which nothing is assumed; assumed: what the least other path relies on.
 
     Values flow through atoms: a parameter of a function, the result of a call site. Parameters join all call sites; a call
     site gets what its callee returns, and of the callee's parameters only what this site passes (summaries). Both parts are
     least fixpoints over finite sets, worked out from the new facts of each round.
     """
     fn, ret, calls, sinks = atoms(rows)
-    # A call whose callee some file may replace links nothing.
-    names = of_kind(rows, "replaced", "path string, name string, line int").select(F.col("name").alias("callee")).distinct()
+    ret, calls, sinks = (decided(df, "safe", replaced) for df in (ret, calls, sinks))
     imports = of_kind(rows, "import", "path string, name string, target string")
-    calls = resolved(calls, fn, imports).join(F.broadcast(names.filter("callee = '*'").limit(1).select(F.lit(True).alias("any"))), how="left").filter("any IS NULL").drop("any")
+    calls = resolved(calls, fn, imports)
+    # A call whose callee some file may replace links nothing; a file whose names may all be set links nothing either way.
+    entries = replacements(rows)
+    names = entries.filter("kind = 'attr'").select(F.col("name").alias("callee")).distinct()
+    modules = replacement.scanned_modules(scanned(rows))
+    open_files = entries.filter("kind = 'own'").select("path").unionByName(entries.filter("kind = 'module'").join(modules, F.col("owner") == F.col("dotted")).select(F.col("file").alias("path"))).distinct()
+    anything = entries.filter("kind = 'any'").limit(1).select(F.lit(True).alias("any"))
+    calls = calls.join(F.broadcast(anything), how="left").filter("any IS NULL").drop("any")
+    calls = calls.join(open_files, "path", "left_anti").join(open_files.withColumnRenamed("path", "callee_path"), "callee_path", "left_anti")
     calls = fixpoint.stored(calls.join(names, "callee", "left_anti"))
     param_key = lambda p, f, n: F.concat_ws("|", F.lit("p"), p, f, n)
     ret_key = lambda p, s: F.concat_ws("|", F.lit("r"), p, s)
-    marks = lambda a, b: F.array_sort(F.array_union(a, b))
+    marks = merging.join_marks
     none = F.array().cast("array<string>")
     # Summaries: (function) returns its parameter, through any depth of calls.
     seed = ret.filter("kind = 'param'").select("path", "name", F.col("ref").alias("param"), F.array_sort(F.coalesce("safe", none)).alias("safe"))
@@ -145,24 +193,38 @@ def linked(rows: DataFrame) -> DataFrame:
     values, _ = fixpoint.fixpoint(start.select("b", "origin", F.array_sort("safe").alias("safe")), onward)
     at = F.when(F.col("kind") == "param", param_key(F.col("path"), F.col("owner"), F.col("ref"))).otherwise(ret_key(F.col("path"), F.col("ref")))
     hit = sinks.withColumn("b", at).withColumnRenamed("safe", "own_safe").join(values, "b")
-    hit = hit.filter(~F.array_contains(F.array_union("safe", F.coalesce("own_safe", none)), F.col("vuln_class")))
-    return hit.groupBy("path", "rule_id", "start_line", "start_column").agg(F.min("origin").alias("origin"))
+    hit = hit.withColumn("safe", marks(F.col("safe"), F.coalesce("own_safe", none))).filter(~F.array_contains("safe", F.col("vuln_class")))
+    assumed = F.get(F.filter("safe", lambda m: F.startswith(m, F.lit(ASSUMED))), 0)
+    return hit.withColumn("_assumed", assumed).groupBy("path", "rule_id", "start_line", "start_column").agg(
+        F.min(F.when(F.col("_assumed").isNull(), F.col("origin"))).alias("origin"), F.min(F.substring("_assumed", len(ASSUMED) + 1, 10_000)).alias("assumed")
+    )
 
 
 def findings(rows: DataFrame, link: bool = True) -> DataFrame:
-    """Findings with verdicts, linked ones confirmed."""
+    """Findings with verdicts: those that rely on a library function which scanned code may replace are open again, linked ones confirmed."""
     schema = FINDING.replace("flow array<struct<kind:string,ref:string,safe:array<string>>>", "flow array<string>")
     f = of_kind(rows, "finding", schema).withColumn("sources", F.array(F.lit("siftstone"))).drop("flow", "owner")
+    key = ["path", "rule_id", "start_line", "start_column"]
+    replaced = replaced_models(rows)
+    open_again = f.select(*key, F.explode("models").alias("mark")).join(replaced, "mark").groupBy(*key).agg(F.min("shown").alias("_shown"))
+    f = f.join(open_again, key, "left")
+    again = F.col("_shown").isNotNull() & ((F.col("status") == "confirmed") | (F.col("suppression") == "taint:sanitized"))
+    f = f.withColumns({
+        "note": F.when(again, F.concat(F.lit("the path relies on "), "_shown")).otherwise(F.col("note")),
+        "confidence": F.when(again & (F.col("status") == "confirmed"), F.greatest(F.col("confidence") - 35, F.lit(0))).otherwise(F.col("confidence")),
+        "suppression": F.when(again, F.lit(None).cast("string")).otherwise(F.col("suppression")),
+        "status": F.when(again, "candidate").otherwise(F.col("status")),
+    }).drop("_shown", "models")
     if not link or rows.filter("kind = 'call'").isEmpty():
         return f
-    key = ["path", "rule_id", "start_line", "start_column"]
-    f = f.join(linked(rows), key, "left")
+    f = f.join(linked(rows, replaced), key, "left")
     confirm = F.col("origin").isNotNull() & (F.col("status") == "candidate")
+    relies = F.col("origin").isNull() & F.col("assumed").isNotNull() & (F.col("status") == "candidate")
     return (
         f.withColumn("confidence", F.when(confirm, F.least(F.col("confidence") + 35, F.lit(100))).otherwise(F.col("confidence")))
-        .withColumn("note", F.when(confirm, F.concat(F.lit("input gets there from "), "origin")).otherwise(F.col("note")))
+        .withColumn("note", F.when(confirm, F.concat(F.lit("input gets there from "), "origin")).when(relies, F.concat(F.lit("input may get there by "), "assumed")).otherwise(F.col("note")))
         .withColumn("status", F.when(confirm, "confirmed").otherwise(F.col("status")))
-        .drop("origin")
+        .drop("origin", "assumed")
     )
 
 

@@ -163,12 +163,72 @@ def test_relative_imports_mean_no_outside_module():
         assert not [v for k, v in rows if k == "finding"], line
 
 
-@pytest.mark.parametrize("source", ["import pkg.helper\npkg.helper.run = print\n", "import pkg.helper\nsetattr(pkg.helper, 'run', print)\n", "import sys\nsys.modules['x'] = 1\n", "globals()[str(1)] = 2\n"])
+@pytest.mark.parametrize("source", ["import pkg.helper\npkg.helper.run = print\n", "import pkg.helper\nsetattr(pkg.helper, 'run', print)\n", "import sys\nsys.modules['x'] = 1\n", "import sys\nsys.modules[str(1)] = 2\n", "import pkg.helper\nsetattr(pkg.helper, str(1), 2)\n", "import pkg.helper\nvars(pkg.helper)[str(1)] = 2\n"])
 def test_replaced_functions_link_nothing(spark, project, source):
     (project / "patch.py").write_text(source)
     assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "candidate"
 
 
+def test_any_name_of_a_module_is_that_module_s_alone(spark, project):
+    """A file that may set any name of its own stops the links of its own calls and functions, not those of others."""
+    (project / "patch.py").write_text("globals()[str(1)] = 2\n")
+    assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "confirmed"
+    helper = project / "pkg" / "helper.py"
+    helper.write_text(helper.read_text() + "\n\nglobals()[str(1)] = 2\n")
+    assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "candidate"
+
+
+@pytest.mark.parametrize("source", [
+    "import os, shlex\nsetattr(shlex, 'quote', str)\nos.system('echo ' + shlex.quote(input()))\n",
+    "import os, sys\nX = 'a'\nsetattr(sys.modules[__name__], 'X', input())\nos.system(X)\n",
+    "import os, app\nX = 'a'\napp.X = input()\nos.system(X)\n",
+    "import os, shlex\nvars(shlex)['quote'] = str\nos.system('echo ' + shlex.quote(input()))\n",
+    "import os, sys\nX = 'a'\nsys.modules[__name__].__dict__[input()] = input()\nos.system(X)\n",
+])
+def test_what_a_file_replaces_is_not_trusted(source):
+    assert [f["status"] for f in found(source)] != ["suppressed"] and len(found(source)) == 1
+
+
+def test_library_functions_that_other_files_replace(spark, tmp_path):
+    """A sanitizer and a modelled call count only while nothing scanned replaces them; where something does, the place is told."""
+    (tmp_path / "run.py").write_text("import os, shlex\n\n\ndef a():\n    os.system('echo ' + shlex.quote(input()))\n")
+    (tmp_path / "load.py").write_text("import json\n\n\ndef b():\n    eval(json.loads(input()))\n")
+    (tmp_path / "via.py").write_text("import json\nfrom use import go\n\n\ndef c():\n    go(json.loads(input()))\n")
+    (tmp_path / "use.py").write_text("def go(x):\n    eval(x)\n")
+    status = lambda: {r.path: (r.status, r.note) for r in scan.scan(spark, str(tmp_path))[0].collect()}
+    before = status()
+    assert {p: s for p, (s, _) in before.items()} == {"run.py": "suppressed", "load.py": "confirmed", "use.py": "confirmed"}
+    (tmp_path / "zz.py").write_text("import shlex, json\nshlex.quote = str\n")
+    (tmp_path / "json.py").write_text("def loads(x):\n    return 'safe'\n")
+    after = status()
+    assert {p: s for p, (s, _) in after.items()} == {"run.py": "candidate", "load.py": "candidate", "use.py": "candidate"}
+    assert "`shlex.quote`, which scanned code may replace (zz.py:2)" in after["run.py"][1] and "(json.py:1)" in after["load.py"][1] and "(json.py:1)" in after["use.py"][1]
+
+
+def test_replacement_ways(spark):
+    """Each way that a model may be hit, the order of the ways, and the earliest place."""
+    from siftstone.operators import replacement
+
+    files = spark.createDataFrame([("src/app.py", "src.app"), ("src/pkg/__init__.py", "src.pkg"), ("src/pkg/json.py", "src.pkg.json"), ("lib/yaml.py", "lib.yaml"), ("urllib.py", "urllib")], "path string, module string")
+    e = lambda *rows: spark.createDataFrame([("z.py", 9, "attr", "nothing", "nothing"), *rows], replacement.ENTRY)
+
+    def place(model, *rows):
+        got = replacement.decided(spark.createDataFrame([(model,), (model,)], "model string"), e(*rows), files).collect()
+        assert len(got) <= 1
+        return got[0].place if got else None
+
+    call = "json.loads@src/app.py@json"
+    assert place(call) is None  # a namesake inside a package is no library
+    assert place(call, ("b.py", 3, "attr", "json", "loads"), ("a.py", 8, "attr", "other", "loads"), ("a.py", 7, "attr", "x", "loads")) == "a.py:7"
+    assert place(call, ("a.py", 1, "module", "json", "")) == "a.py:1" and place(call, ("a.py", 1, "module", "js", "")) is None
+    assert place("os.path.join@src/app.py@os", ("a.py", 2, "module", "os", "")) == "a.py:2" and place("os.path.join@src/app.py@os", ("a.py", 2, "attr", "os", "path")) == "a.py:2"
+    assert place(call, ("src/app.py", 5, "own", "", "")) == "src/app.py:5" and place(call, ("src/other.py", 5, "own", "", "")) is None
+    assert place(call, ("a.py", 2, "module", "src.app", "")) == "a.py:2" and place(call, ("a.py", 2, "attr", "app", "json")) == "a.py:2" and place(call, ("a.py", 2, "attr", "app", "yaml")) is None
+    assert place("yaml.load@src/app.py@yaml") == "lib/yaml.py:1" and place("urllib.parse.unquote@src/app.py@urllib", ("a.py", 1, "attr", "x", "unquote")) == "urllib.py:1"
+    assert place("int@src/app.py@int", ("a.py", 4, "attr", "builtins", "int")) == "a.py:4" and place("int@src/app.py@int", ("a.py", 4, "module", "builtins", "")) == "a.py:4"
+    assert place(call, ("src/app.py", 5, "own", "", ""), ("y.py", 6, "any", "", ""), ("x.py", 7, "any", "", "")) == "x.py:7"
+
+
 def test_other_stores_keep_links(spark, project):
     (project / "patch.py").write_text("import pkg.helper\npkg.helper.other = print\nclass A:\n    pass\na = A()\na.run = 1\n")
     assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "confirmed"
