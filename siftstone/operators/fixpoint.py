@@ -7,7 +7,8 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +44,39 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: in
     return known, False
 
 
+def witnessed(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """All facts, each with one witness: columns of seed and step that are not keys say how a fact came about. A fact keeps the witness of the round that found it first, and of that round's the least, so following witnesses back ends, and is the same at every run."""
+    rest = [c for c in seed.columns if c not in keys]
+
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_w")).select(*keys, *[F.col("_w")[c].alias(c) for c in rest])
+
+    known = delta = stored(least(seed))
+    while True:
+        delta = stored(least(step(delta).select(*keys, *rest)).join(known.select(*keys), keys, "left_anti"))
+        if delta.isEmpty():
+            return known
+        known = known.unionByName(delta)
+
+
+def traced(wanted: DataFrame, facts: DataFrame, keys: list[str], before: list[str], label: Column, steps: int) -> DataFrame:
+    """wanted with `trace`: labels of the facts that led to its fact (keys), nearest first, `steps` at most. before: columns of facts that name the fact before; null at a beginning.
+
+    Each step is one join of the facts that are still followed; nothing is followed beyond `steps`.
+    """
+    held = facts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(b).alias(f"_b{i}") for i, b in enumerate(before)], label.alias("_label"))
+    n = range(len(keys))
+    now = wanted.withColumns({f"_n{i}": F.col(k) for i, k in enumerate(keys)} | {"trace": F.array().cast("array<string>")})
+    for k in range(steps):
+        on = [F.col(f"_n{i}") == F.col(f"_k{i}") for i in n]
+        now = now.join(held, on, "left")
+        grown = F.when(F.col("_label").isNotNull(), F.concat("trace", F.array("_label"))).otherwise(F.col("trace"))
+        now = now.withColumns({"trace": grown} | {f"_n{i}": F.col(f"_b{i}") for i in n}).drop("_label", *[f"_k{i}" for i in n], *[f"_b{i}" for i in n])
+        if k % 2:  # two joins a table: the plan stays small
+            now = stored(now)
+    return now.drop(*[f"_n{i}" for i in n])
+
+
 def reach(edges: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
     """All pairs (source, target) joined by a path; cycles are fine. If rounds are given and do not suffice, it raises."""
     edges = edges.select(source, target).distinct()

@@ -282,6 +282,23 @@ def q_reachability(spark, sf_dir):
     return fixpoint.reach(edges, "a", "b").groupBy("a").agg(F.count(F.lit(1)).alias("reached")).select("a.l_orderkey", "a.line", "reached")
 
 
+def q_linked_trace(spark, sf_dir):
+    """Each order leads to the customer's next, some to the fourth from it; what the first order reaches, in how many steps, and the last five steps of the least shortest way."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = fixpoint.stored(o.withColumns({"pos": F.row_number().over(w), "next": F.lead("o_orderkey", 1).over(w), "far": F.when(F.col("o_orderstatus") == "F", F.lead("o_orderkey", 4).over(w))}))
+    edges = o.select(F.col("o_orderkey").alias("a"), F.explode(F.array("next", "far")).alias("b")).filter("b IS NOT NULL")
+    seed = o.filter("pos = 1").select(F.col("o_orderkey").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("before"))
+
+    def step(delta):
+        return delta.join(edges, delta.node == edges.a).select(F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("a").alias("before"))
+
+    facts = fixpoint.witnessed(seed, step, ["node"])
+    wanted = o.filter("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("node")).join(facts.select("node", "depth"), "node")
+    done = fixpoint.traced(wanted, facts, ["node"], ["before"], F.col("node").cast("string"), 5)
+    return done.select("node", "depth", F.array_join("trace", "<").alias("trace"))
+
+
 def q_mark_compose(spark, sf_dir):
     """Mark sets along a path."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -426,6 +443,14 @@ def oracle_sql() -> dict[str, str]:
         "q_dictionary_large": known,
         "q_redact_secretish": "SELECT doc_id, sha256(t) AS redacted_sha256 FROM (" + secretish_sql("(SELECT doc_id, coalesce(text, '') AS t FROM documents)") + ")",
         "q_model_replacement": _REPLACEMENT_SQL,
+        "q_linked_trace": """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderpriority, row_number() OVER w AS pos, lead(o_orderkey) OVER w AS nxt, CASE WHEN o_orderstatus = 'F' THEN lead(o_orderkey, 4) OVER w END AS far FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+        e AS (SELECT k AS a, nxt AS b FROM o WHERE nxt IS NOT NULL UNION SELECT k, far FROM o WHERE far IS NOT NULL),
+        r AS (SELECT k AS node, 0 AS depth FROM o WHERE pos = 1 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a),
+        d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+        p AS (SELECT d.node, d.depth, min(f.node) AS before FROM d LEFT JOIN (e JOIN d f ON e.a = f.node) ON e.b = d.node AND f.depth = d.depth - 1 GROUP BY d.node, d.depth),
+        t AS (SELECT node, depth, node AS now, 1 AS n, node::VARCHAR AS trace FROM p WHERE node IN (SELECT k FROM o WHERE o_orderpriority LIKE '1%')
+              UNION ALL SELECT t.node, t.depth, p.before, t.n + 1, t.trace || '<' || p.before FROM t JOIN p ON p.node = t.now WHERE p.before IS NOT NULL AND t.n < 5)
+        SELECT node, depth, arg_max(trace, n) AS trace FROM t GROUP BY node, depth""",
         "q_text_scan": _regex_union() + "SELECT doc_id, rule, count(*) AS matches, min(match) AS least_match FROM f GROUP BY doc_id, rule",
         "q_ignore_filter": f"SELECT page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS parts FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '') AS path FROM pages)) WHERE NOT ({default} OR path LIKE 'fr/%' OR list_contains(parts, 'fr') OR path LIKE '%/1%' OR path LIKE '1%' OR path LIKE 'en/2%')",
         "q_redact": "SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), 'MIT License', '<REDACTED>'), 'worthless', '<REDACTED>'), 'License', '<REDACTED>'), 'idiot', '<REDACTED>')) AS redacted_sha256 FROM documents",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.analyze import engine, rules
@@ -138,8 +138,19 @@ def decided(df: DataFrame, column: str, replaced: DataFrame) -> DataFrame:
     return joined.withColumn(column, merging.join_marks(plain, F.coalesce(F.array_compact(F.array("_assumed")), none))).drop("_set", "_assumed")
 
 
+#: What names a finding before it has an id; steps told of a finding at most.
+SINK = ["path", "rule_id", "start_line", "start_column"]
+STEPS = 5
+
+
+def label(atom: Column) -> Column:
+    """A parameter or a call's result, in words."""
+    part = lambda i: F.get(F.split(atom, r"\|"), i)
+    return F.when(part(0) == "p", F.concat(F.lit("parameter `"), part(3), F.lit("` of `"), part(2), F.lit("` ("), part(1), F.lit(")"))).otherwise(F.concat(F.lit("the value returned at "), part(1), F.lit(":"), part(2)))
+
+
 def linked(rows: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Candidate sinks that input of another function reaches without being made safe for their class: (path, rule_id, start_line, start_column, origin, assumed). origin: by a path of which nothing is assumed; assumed: what the least other path relies on.
+    """Candidate sinks that input of another function reaches without being made safe for their class: SINK, origin, assumed, via, steps. origin: the least by a path of which nothing is assumed; assumed: what the least other path relies on; via: how that origin comes, the sink's own value first; steps: the first of all ways in, in order.
 
     Values flow through atoms: a parameter of a function, the result of a call site. Parameters join all call sites; a call
     site gets what its callee returns, and of the callee's parameters only what this site passes (summaries). Both parts are
@@ -184,27 +195,42 @@ def linked(rows: DataFrame, replaced: DataFrame) -> DataFrame:
     edges = flows.filter("a IS NOT NULL").select("a", "b", "safe").unionByName(returned.filter("kind = 'ret'").select(ret_key(F.col("callee_path"), F.col("ref")).alias("a"), "b", "safe"))
     edges = fixpoint.stored(edges.distinct())
     origin = F.concat_ws(": ", "path", "ref")
+    none_before = [F.lit(None).cast("string").alias("from_b"), F.lit(None).cast("array<string>").alias("from_safe")]
     start = flows.filter("kind = 'source'").select("b", origin.alias("origin"), "safe").unionByName(returned.filter("kind = 'source'").select("b", F.concat_ws(": ", "callee_path", "ref").alias("origin"), "safe"))
 
     def onward(delta: DataFrame) -> DataFrame:
         e = edges.withColumnRenamed("safe", "edge_safe")
-        return delta.withColumnRenamed("b", "a").join(e, "a").select("b", "origin", marks(F.col("safe"), F.col("edge_safe")).alias("safe"))
+        d = delta.select(F.col("b").alias("a"), "origin", "safe")
+        return d.join(e, "a").select("b", "origin", marks(F.col("safe"), F.col("edge_safe")).alias("safe"), F.col("a").alias("from_b"), F.col("safe").alias("from_safe"))
 
-    values, _ = fixpoint.fixpoint(start.select("b", "origin", F.array_sort("safe").alias("safe")), onward)
+    fact = ["b", "origin", "safe"]
+    values = fixpoint.witnessed(start.select("b", "origin", F.array_sort("safe").alias("safe"), *none_before), onward, fact)
     at = F.when(F.col("kind") == "param", param_key(F.col("path"), F.col("owner"), F.col("ref"))).otherwise(ret_key(F.col("path"), F.col("ref")))
-    hit = sinks.withColumn("b", at).withColumnRenamed("safe", "own_safe").join(values, "b")
-    hit = hit.withColumn("safe", marks(F.col("safe"), F.coalesce("own_safe", none))).filter(~F.array_contains("safe", F.col("vuln_class")))
-    assumed = F.get(F.filter("safe", lambda m: F.startswith(m, F.lit(ASSUMED))), 0)
-    return hit.withColumn("_assumed", assumed).groupBy("path", "rule_id", "start_line", "start_column").agg(
-        F.min(F.when(F.col("_assumed").isNull(), F.col("origin"))).alias("origin"), F.min(F.substring("_assumed", len(ASSUMED) + 1, 10_000)).alias("assumed")
-    )
+    hit = sinks.withColumn("b", at).withColumnRenamed("safe", "own_safe").join(values.select(*fact), "b")
+    hit = hit.withColumn("all", marks(F.col("safe"), F.coalesce("own_safe", none))).filter(~F.array_contains("all", F.col("vuln_class")))
+    assumed = F.get(F.filter("all", lambda m: F.startswith(m, F.lit(ASSUMED))), 0)
+    hit = fixpoint.stored(hit.withColumn("assumed", F.substring(assumed, len(ASSUMED) + 1, 10_000)))
+    found = hit.groupBy(*SINK).agg(
+        F.min(F.when(F.col("assumed").isNull(), F.struct(*fact))).alias("_sure"), F.min("assumed").alias("assumed")
+    ).select(*SINK, F.col("_sure.origin").alias("origin"), "assumed", F.col("_sure.b").alias("b"), F.col("_sure.safe").alias("safe"))
+    # The first steps of each sink, of all that reach it: the established ones, or what is assumed where there are none.
+    step = F.when(F.col("assumed").isNull(), F.concat(F.lit("Modelled flow: untrusted "), "origin", F.lit(" reaches "), label(F.col("b")), F.lit("."))).otherwise(
+        F.concat(F.lit("Untrusted "), "origin", F.lit(" may reach "), label(F.col("b")), F.lit(", but only through "), "assumed", F.lit(".")))
+    every = hit.select(*SINK, F.col("assumed").isNull().alias("sure"), step.alias("step")).distinct()
+    rank = F.row_number().over(Window.partitionBy(*SINK).orderBy(F.desc("sure"), "step"))
+    firsts = every.withColumn("_n", rank).filter(F.col("_n") <= STEPS).groupBy(*SINK).agg(F.array_sort(F.collect_list(F.struct((~F.col("sure")).alias("open"), "step"))).alias("_s"))
+    surely = F.transform(F.filter("_s", lambda x: ~x["open"]), lambda x: x["step"])
+    firsts = firsts.select(*SINK, F.when(F.size(surely) > 0, surely).otherwise(F.transform("_s", lambda x: x["step"])).alias("steps"))
+    # By which parameters and results the least established origin comes, the last first.
+    done = fixpoint.traced(found, values, fact, ["from_b", "origin", "from_safe"], label(F.col("b")), STEPS)
+    return done.drop("b", "safe").withColumnRenamed("trace", "via").join(firsts, SINK, "left")
 
 
 def findings(rows: DataFrame, link: bool = True) -> DataFrame:
     """Findings with verdicts: those that rely on a library function which scanned code may replace are open again, linked ones confirmed."""
     schema = FINDING.replace("flow array<struct<kind:string,ref:string,safe:array<string>>>", "flow array<string>")
     f = of_kind(rows, "finding", schema).withColumn("sources", F.array(F.lit("siftstone"))).drop("flow", "owner")
-    key = ["path", "rule_id", "start_line", "start_column"]
+    key = SINK
     replaced = replaced_models(rows)
     open_again = f.select(*key, F.explode("models").alias("mark")).join(replaced, "mark").groupBy(*key).agg(F.min("shown").alias("_shown"))
     f = f.join(open_again, key, "left")
@@ -216,15 +242,18 @@ def findings(rows: DataFrame, link: bool = True) -> DataFrame:
         "status": F.when(again, "candidate").otherwise(F.col("status")),
     }).drop("_shown", "models")
     if not link or rows.filter("kind = 'call'").isEmpty():
-        return f
+        none = F.array().cast("array<string>")
+        return f.withColumn("trace", none).withColumn("via", none)
     f = f.join(linked(rows, replaced), key, "left")
     confirm = F.col("origin").isNotNull() & (F.col("status") == "candidate")
     relies = F.col("origin").isNull() & F.col("assumed").isNotNull() & (F.col("status") == "candidate")
     return (
         f.withColumn("confidence", F.when(confirm, F.least(F.col("confidence") + 35, F.lit(100))).otherwise(F.col("confidence")))
         .withColumn("note", F.when(confirm, F.concat(F.lit("input gets there from "), "origin")).when(relies, F.concat(F.lit("input may get there by "), "assumed")).otherwise(F.col("note")))
+        .withColumn("trace", F.when(confirm | relies, F.coalesce("steps", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+        .withColumn("via", F.when(confirm, F.col("via")).otherwise(F.array().cast("array<string>")))
         .withColumn("status", F.when(confirm, "confirmed").otherwise(F.col("status")))
-        .drop("origin", "assumed")
+        .drop("origin", "assumed", "steps")
     )
 
 
@@ -240,7 +269,7 @@ def merged(found: DataFrame, imported: DataFrame | None = None) -> DataFrame:
     rows = merging.cluster(rows, ["vuln_class", "path", "_bucket"], ["_size", "_s", "_own", "rule_id", "message"], "_s", "_e", "_tool", "sink")
     first = F.struct("_own", "rule_id", "_size", "_s", "message")
     rank = lambda c, order: F.max(F.struct(taxonomy.rank(F.col(c), order).alias("r"), F.col(c).alias("v")))["v"]
-    own = ["rule_id", "message", "note", "start_line", "start_column", "end_line", "end_column", "function", "sink", "suppression"]
+    own = ["trace", "via", "rule_id", "message", "note", "start_line", "start_column", "end_line", "end_column", "function", "sink", "suppression"]
     return rows.groupBy("vuln_class", "path", "_bucket", "cluster").agg(
         *[F.min_by(c, first).alias(c) for c in own], rank("severity", taxonomy.SEVERITIES).alias("severity"), F.max("confidence").alias("confidence"), rank("status", taxonomy.STATUSES).alias("status"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cwe")))).alias("cwe"), F.array_sort(F.collect_set("rule_id")).alias("rules"),

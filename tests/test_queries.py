@@ -127,3 +127,18 @@ def test_reach_counts_cover_every_row(spark):
             want[k, start] = len(seen)
     got = [(r.l_orderkey, r.line, r.reached) for r in catalogue.q_reachability(spark, SF).collect()]
     assert len(got) == sum(sizes.values()) and {(k, i): n for k, i, n in got} == want
+
+
+def test_witnesses_are_the_first_and_the_least(spark):
+    """A diamond and a cycle: each fact keeps the least witness of its first round, and a trace ends."""
+    from pyspark.sql import functions as F
+
+    from siftstone.operators import fixpoint
+
+    edges = spark.createDataFrame([("s", "b"), ("s", "a"), ("a", "x"), ("b", "x"), ("x", "y"), ("y", "s"), ("y", "y"), ("q", "r")], "f string, t string")
+    seed = spark.createDataFrame([("s", None)], "node string, before string")
+    facts = fixpoint.witnessed(seed, lambda d: d.join(edges, d.node == edges.f).select(F.col("t").alias("node"), F.col("f").alias("before")), ["node"])
+    assert {r.node: r.before for r in facts.collect()} == {"s": None, "a": "s", "b": "s", "x": "a", "y": "x"}
+    wanted = spark.createDataFrame([("y",), ("s",), ("q",)], "node string")
+    trace = lambda n: {r.node: r.trace for r in fixpoint.traced(wanted, facts, ["node"], ["before"], F.col("node"), n).collect()}
+    assert trace(5) == {"y": ["y", "x", "a", "s"], "s": ["s"], "q": []} and trace(2)["y"] == ["y", "x"]

@@ -169,6 +169,22 @@ def test_replaced_functions_link_nothing(spark, project, source):
     assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "candidate"
 
 
+def test_linked_findings_tell_how_input_gets_there(spark, tmp_path):
+    """A chain over nine files: the last steps of the way are told, the sink's value first; of seven inputs the first five."""
+    for k in range(9):
+        (tmp_path / f"m{k}.py").write_text(f"from m{k + 1} import f{k + 1}\n\n\ndef f{k}(x{k}):\n    return f{k + 1}(x{k})\n" if k < 8 else "def f8(x8):\n    eval(x8)\n")
+    (tmp_path / "top.py").write_text("from m0 import f0\n\n\ndef main():\n    f0(input())\n")
+    for k in range(6):
+        (tmp_path / f"in{k}.py").write_text("import sys\nfrom m8 import f8\n\n\ndef main():\n    f8(sys.argv)\n")
+    row = scan.scan(spark, str(tmp_path))[0].filter("path = 'm8.py'").first()
+    assert row.status == "confirmed" and len(row.trace) == 5 and row.trace == sorted(row.trace) and all("reaches parameter `x8` of `f8` (m8.py)" in t for t in row.trace)
+    assert row.via == ["parameter `x8` of `f8` (m8.py)"]  # the least origin comes straight
+    for k in range(6):
+        (tmp_path / f"in{k}.py").unlink()
+    row = scan.scan(spark, str(tmp_path))[0].filter("path = 'm8.py'").first()
+    assert row.via == [f"parameter `x{k}` of `f{k}` (m{k}.py)" for k in (8, 7, 6, 5, 4)] and len(row.trace) == 1 and "top.py: input" in row.trace[0]
+
+
 def test_any_name_of_a_module_is_that_module_s_alone(spark, project):
     """A file that may set any name of its own stops the links of its own calls and functions, not those of others."""
     (project / "patch.py").write_text("globals()[str(1)] = 2\n")
