@@ -42,14 +42,26 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str,
     return found.drop("l__bin", "r__bin", "l__first", "r__first")
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, name: str, default: str) -> DataFrame:
-    """points with `name` of the span that starts last among those that hold the point (start <= at <= end), else default.
+def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, name: str, default: str | None) -> DataFrame:
+    """points with `name` of the span that starts last among those that hold the point (start <= at <= end; of these the one that ends first, then the greatest name), else default.
 
-    The span list of a key rides with the key's points, sorted; points are not multiplied by their spans before the choice.
+    Spans lie in levels of width: one of up to 2 ** n places goes to the bins of that width that it touches, two at most; a
+    point looks into one bin a level. So the key of the join is (key, level, bin): a key with very many spans is dealt over
+    many tasks, nothing holds all spans of a key, and a long span costs no more than a short one.
     """
-    ranked = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"), F.col(name).alias("n")))).alias("_spans"))
-    held = F.filter("_spans", lambda x: (x["s"] <= F.col(at)) & (-x["e"] >= F.col(at)))
-    return points.join(ranked, keys, "left").withColumn(name, F.coalesce(F.try_element_at(held, F.lit(-1))["n"], F.lit(default))).drop("_spans")
+    held = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"), F.col(name).alias("_name")).filter("_s <= _e")
+    level = F.ceil(F.log2((F.col("_e") - F.col("_s") + 1).cast("double"))).cast("int")
+    held = held.withColumn("_level", level).withColumn("_w", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level")))
+    bin_of = lambda place: F.expr(f"({place} - pmod({place}, _w)) div _w")
+    held = held.withColumn("_bin", F.explode(F.sequence(bin_of("_s"), bin_of("_e"))))
+    levels = sorted(r[0] for r in held.select("_level").distinct().collect())  # as many as a number has bits, at most
+    on = [f"_k{i}" for i in range(len(keys))]
+    asked = points.select(*[F.col(k).alias(c) for k, c in zip(keys, on)], F.col(at).cast("bigint").alias("_place")).dropna().distinct()
+    asked = asked.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_w", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level")))
+    hit = asked.withColumn("_bin", bin_of("_place")).drop("_w").join(held.drop("_w"), [*on, "_level", "_bin"]).filter("_s <= _place AND _place <= _e")
+    best = hit.groupBy(*on, "_place").agg(F.max(F.struct("_s", (-F.col("_e")).alias("_e"), "_name"))["_name"].alias("_best"))
+    same = [F.col(k) == F.col(c) for k, c in zip(keys, on)] + [F.col(at).cast("bigint") == F.col("_place")]
+    return points.join(best, same, "left").withColumn(name, F.coalesce("_best", F.lit(default))).drop(*on, "_place", "_best")
 
 
 def union_of(df: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.analyze import engine, rules
+from siftstone.analyze import engine, rules, spans
 from siftstone.functions import taxonomy, text
-from siftstone.operators import dictionary, fixpoint, identity, merging, replacement
+from siftstone.operators import dictionary, fixpoint, identity, merging, regions, replacement
 from siftstone.sources.code import python_files
 
 FINDING = (
@@ -260,7 +260,7 @@ def findings(rows: DataFrame, link: bool = True) -> DataFrame:
 def merged(found: DataFrame, imported: DataFrame | None = None) -> DataFrame:
     """Own and imported findings, overlapping ones of a class and file made one."""
     if imported is not None:
-        more = imported.select("path", "rule_id", "vuln_class", "cwe", "severity", "confidence", F.lit("candidate").alias("status"), "message", F.lit("").alias("note"), "region.*", F.coalesce(F.col("sink") if "sink" in imported.columns else F.lit(None), F.lit("")).alias("sink"), F.array("source").alias("sources"))
+        more = imported.select("path", "rule_id", "vuln_class", "cwe", "severity", "confidence", F.lit("candidate").alias("status"), "message", F.lit("").alias("note"), "region.*", F.coalesce(F.col("sink") if "sink" in imported.columns else F.lit(None), F.lit("")).alias("sink"), (F.col("function") if "function" in imported.columns else F.lit(None).cast("string")).alias("function"), F.array("source").alias("sources"))
         found = found.unionByName(more, allowMissingColumns=True)
     big = F.lit(10_000_000)
     rows = found.withColumn("_s", F.col("start_line").cast("bigint") * big + F.col("start_column")).withColumn("_e", F.col("end_line").cast("bigint") * big + F.coalesce(F.col("end_column"), big - 1))
@@ -302,13 +302,43 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), rule_clas
     """(findings, errors) of the Python files below root."""
     rows = fixpoint.stored(analyzed(python_files(spark, root, ignore), rule_classes))
     if imported is not None:  # what is not scanned is not imported either
-        imported = imported.filter(~text.ignored(F.col("path"), tuple(ignore)))
+        imported = enriched(imported.filter(~text.ignored(F.col("path"), tuple(ignore))), python_files(spark, root, ignore))
     errors = of_kind(rows, "error", "path string, message string")
     secrets = file_secrets(rows)
     errors = dictionary.redacted(errors, ["message"], secrets.select("value"), tool=tool_secrets)
     return identified(merged(findings(rows, link), imported), secrets, tool_secrets), errors
 
 
+def enriched(imported: DataFrame, files: DataFrame) -> DataFrame:
+    """Imported rows (path, region, ...) with function and sink, where they have none: the innermost call that starts on the region's first line and holds its start column, of whole lines the last that starts there; else the line itself and the function around it.
+
+    Only files with imported rows are parsed, and of those only what is on an asked line comes out.
+    """
+    asked = imported.select("path", F.col("region.start_line").alias("line")).distinct().groupBy("path").agg(F.collect_set("line").alias("lines"))
+    kinds = "kind string, path string, line int, start int, end int, text string, function string"
+
+    def run(batches):
+        for part in batches:
+            rows = [r for p, c, n in zip(*(part.column(i).to_pylist() for i in range(3))) for r in spans.spans(p, c, set(n))]
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in kinds.split(", ")])
+
+    found = fixpoint.stored(files.join(asked, "path").select("path", "content", "lines").mapInArrow(run, kinds))
+    calls = found.filter("kind = 'call'").select("path", "line", "start", "end", F.struct("text", "function").alias("_call"))
+    rows = imported.withColumns({"_line": F.col("region.start_line"), "_at": F.when(F.col("region.end_column").isNotNull(), F.col("region.start_column"))})
+    rows = regions.innermost(rows, calls.withColumnRenamed("line", "_line"), ["path", "_line"], "_at", "start", "end", "_call", None)
+    last = calls.groupBy("path", F.col("line").alias("_line")).agg(F.max(F.struct("start", (-F.col("end")).alias("end"), "_call"))["_call"].alias("_last"))
+    rows = rows.join(last, ["path", "_line"], "left").withColumn("_call", F.when(F.col("_at").isNull(), F.col("_last")).otherwise(F.col("_call")))
+    defs = found.filter("kind = 'def'").select("path", "start", "end", F.col("function").alias("_around"))
+    rows = regions.innermost(rows, defs, ["path"], "_line", "start", "end", "_around", None)
+    rows = rows.join(found.filter("kind = 'line'").select("path", F.col("line").alias("_line"), F.col("text").alias("_text")), ["path", "_line"], "left")
+    has = lambda c: F.col(c) if c in imported.columns else F.lit(None).cast("string")
+    sink = F.coalesce(F.nullif(has("sink"), F.lit("")), F.col("_call.text"), F.col("_text"), F.lit(""))
+    function = F.coalesce(has("function"), F.when(F.col("_call").isNotNull(), F.col("_call.function")).otherwise(F.col("_around")))
+    return rows.withColumns({"sink": sink, "function": function}).drop("_line", "_at", "_call", "_last", "_around", "_text")
+
+
 TEMPLATES = (
     'import os\n\n\ndef run_{k}(name):\n    os.system("echo " + name)\n\n\ndef main_{k}():\n    run_{k}(input())\n',
     'import sqlite3\nfrom flask import request\n\n\ndef find_{k}():\n    n = int(request.args["n"])\n    return sqlite3.connect("x").execute(f"select * from t where n = {{n}}")\n',

@@ -142,3 +142,23 @@ def test_witnesses_are_the_first_and_the_least(spark):
     wanted = spark.createDataFrame([("y",), ("s",), ("q",)], "node string")
     trace = lambda n: {r.node: r.trace for r in fixpoint.traced(wanted, facts, ["node"], ["before"], F.col("node"), n).collect()}
     assert trace(5) == {"y": ["y", "x", "a", "s"], "s": ["s"], "q": []} and trace(2)["y"] == ["y", "x"]
+
+
+def test_innermost_span_by_levels_of_width(spark):
+    """Against every span of the key: nested, equal, huge, negative and empty ones; a key with a third of all spans is dealt by bins."""
+    import random
+
+    from siftstone.operators import regions
+
+    rng = random.Random(2)
+    spans = [(rng.choice("ab"), s := rng.randrange(-300, 300), s + rng.choice([0, 1, 3, 40, 200, -1]), f"n{k}") for k in range(300)] + [("a", -(10**12), 10**12, "all"), ("c", 5, None, "open"), (None, 0, 9, "none")]
+    points = [(rng.choice(["a", "b", "c", None]), rng.randrange(-320, 520)) for _ in range(300)] + [("a", None), ("a", 10**13)]
+
+    def plain(k, p):
+        held = [(s, -e, n) for key, s, e, n in spans if None not in (k, p, e) and key == k and s <= p <= e]
+        return max(held)[2] if held else "<module>"
+
+    df = spark.createDataFrame(points, "k string, p bigint")
+    got = regions.innermost(df, spark.createDataFrame(spans, "k string, s bigint, e bigint, n string"), ["k"], "p", "s", "e", "n", "<module>")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, p, plain(k, p)) for k, p in points), key=repr)
+    assert regions.innermost(df, spark.createDataFrame([], "k string, s bigint, e bigint, n string"), ["k"], "p", "s", "e", "n", "-").filter("n = '-'").count() == len(points)

@@ -169,6 +169,27 @@ def test_replaced_functions_link_nothing(spark, project, source):
     assert {r.path: r.status for r in scan.scan(spark, str(project))[0].collect()}["pkg/helper.py"] == "candidate"
 
 
+def test_imported_rows_get_function_and_call(spark, tmp_path):
+    """The innermost call at the column; of whole lines the last that starts there; else the line and the function around it. Secrets in the code stay masked."""
+    source = "import os\n\n\nclass A:\n    def run(self, x):\n        os.system(str(x)); print(\n            x)\n        y = 1\n        api_key = wrap('s3cr3t-0042')\n\n\nz = 2\n"
+    (tmp_path / "a.py").write_text(source)
+    (tmp_path / "build").mkdir()
+    (tmp_path / "build" / "b.py").write_text("x = 1\n")
+    region = "struct<start_line:int,start_column:int,end_line:int,end_column:int>"
+    rows = [("a.py", (6, 21, 6, 22)), ("a.py", (6, 10, 6, 12)), ("a.py", (6, 1, 6, None)), ("a.py", (8, 1, 8, None)), ("a.py", (12, 1, 12, 2)), ("a.py", (9, 1, 9, None)), ("gone.py", (1, 1, 1, 2)), ("a.py", (99, 1, 99, 2))]
+    imported = spark.createDataFrame(rows, f"path string, region {region}")
+    got = [(r.path, *r.region[:2], r.sink, r.function) for r in scan.enriched(imported, code.python_files(spark, str(tmp_path))).collect()]
+    assert sorted(got) == sorted([
+        ("a.py", 6, 21, "str(x)", "A.run"), ("a.py", 6, 10, "os.system(str(x))", "A.run"), ("a.py", 6, 1, "print(\n            x)", "A.run"), ("a.py", 8, 1, "y = 1", "A.run"),
+        ("a.py", 12, 1, "z = 2", None), ("a.py", 9, 1, "wrap(*************)", "A.run"), ("gone.py", 1, 1, "", None), ("a.py", 99, 1, "", None),
+    ])
+    # a scan takes them in, and ignores what it does not scan itself
+    full = imported.selectExpr("path", "region", "'t:r' AS rule_id", "'other:t:r' AS vuln_class", "array('x') AS cwe", "'low' AS severity", "10 AS confidence", "'m' AS message", "'t' AS source").unionByName(
+        spark.createDataFrame([("build/b.py", (1, 1, 1, 2), "t:r", "other:t:r", ["x"], "low", 10, "m", "t")], f"path string, region {region}, rule_id string, vuln_class string, cwe array<string>, severity string, confidence int, message string, source string"))
+    found = scan.scan(spark, str(tmp_path), imported=full)[0].filter("array_contains(sources, 't')").collect()
+    assert len(found) == len(rows) and {r.function for r in found} == {"A.run", None} and all("s3cr3t" not in str(r) for r in found)
+
+
 def test_linked_findings_tell_how_input_gets_there(spark, tmp_path):
     """A chain over nine files: the last steps of the way are told, the sink's value first; of seven inputs the first five."""
     for k in range(9):
