@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.arrow import arrow_schema, ddl_of
+from siftstone.operators import regions
 
 
 def anchor_clusters(rows: list[dict], order: Callable, compatible: Callable) -> list[int]:
@@ -23,23 +25,49 @@ def anchor_clusters(rows: list[dict], order: Callable, compatible: Callable) ->
     return numbers
 
 
+def anchored(starts: np.ndarray, ends: np.ndarray, sources: list, contents: list, order: list[int]) -> np.ndarray:
+    """anchor_clusters() of intervals: rows go together if they overlap and, where they share a source, their content is equal.
+
+    Intervals that overlap pairwise have a place in common, so a cluster is known by its last start, its first end and one
+    content a source; a row is held against clusters, many at once, never against rows.
+    """
+    numbers, last, first = np.zeros(len(order), np.int64), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    held: list[dict] = []
+    for i in order:
+        s, e, home = starts[i], ends[i], -1
+        for b in range(0, len(held), 4096):
+            near = np.flatnonzero((last[b : min(b + 4096, len(held))] < e) & (first[b : min(b + 4096, len(held))] > s))
+            home = next((b + c for c in near.tolist() if held[b + c].get(sources[i], contents[i]) == contents[i]), -1)
+            if home >= 0:
+                break
+        if home < 0:
+            home = len(held)
+            held.append({})
+            last[home], first[home] = s, e
+        last[home], first[home] = max(last[home], s), min(first[home], e)
+        held[home][sources[i]] = contents[i]
+        numbers[i] = home
+    return numbers
+
+
 def cluster(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, source: str, content: str) -> DataFrame:
-    """df with `cluster` within keys. Rows go together if their intervals overlap and, where they share a source, their content is equal.
+    """df with `cluster`, a number within keys. Rows go together if their intervals [start, end) overlap and, where they share a source, their content is equal.
 
-    A bucket (one class in one file) is worked on by one task: its size is bounded by the findings of a file.
+    Keys are cut into islands first, where no interval goes on: rows of different islands never go together. So a task
+    works on one island, whatever its key holds, and in it on sorted arrays.
     """
-    names, schema = df.columns, ddl_of(df.schema, "cluster int")
+    island = regions.islands(df.withColumn("_end", F.col(end) - 1), keys, [start, end, *order], F.col(start), F.col("_end")).drop("_end")
+    names, schema = df.columns, ddl_of(df.schema, "cluster bigint")
     arrow = arrow_schema(schema)
 
-    def together(a: dict, b: dict) -> bool:
-        return a[start] < b[end] and b[start] < a[end] and (a[source] != b[source] or a[content] == b[content])
-
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        numbers = anchor_clusters(rows, lambda r: tuple(r[c] for c in order), together)
-        return table.select(names).append_column("cluster", pa.array(numbers, pa.int32())).cast(arrow)
+        at = table.column("island").to_numpy()
+        by = list(zip(*(table.column(c).to_pylist() for c in order)))
+        starts, ends = (table.column(c).to_numpy() for c in (start, end))
+        numbers = anchored(starts, ends, table.column(source).to_pylist(), table.column(content).to_pylist(), sorted(range(table.num_rows), key=by.__getitem__))
+        return table.select(names).append_column("cluster", pa.array((at.astype(np.int64) << 32) | numbers)).cast(arrow)
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return island.groupBy(*keys, "island").applyInArrow(run, schema)
 
 
 def merged(df: DataFrame, keys: list[str], precedence: Column, first: list[str], largest: list[str], sets: list[str]) -> DataFrame:

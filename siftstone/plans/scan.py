@@ -262,6 +262,10 @@ def merged(found: DataFrame, imported: DataFrame | None = None) -> DataFrame:
     if imported is not None:
         more = imported.select("path", "rule_id", "vuln_class", "cwe", "severity", "confidence", F.lit("candidate").alias("status"), "message", F.lit("").alias("note"), "region.*", F.coalesce(F.col("sink") if "sink" in imported.columns else F.lit(None), F.lit("")).alias("sink"), (F.col("function") if "function" in imported.columns else F.lit(None).cast("string")).alias("function"), F.array("source").alias("sources"))
         found = found.unionByName(more, allowMissingColumns=True)
+    # What each tool says; of an own finding also how input gets there.
+    none = F.array().cast("array<string>")
+    said = F.concat(F.element_at("sources", 1), F.lit(": "), F.when(F.coalesce("note", F.lit("")) != "", F.col("note")).otherwise(F.col("message")))
+    found = found.withColumn("evidence", F.array_compact(F.concat(F.coalesce("trace", none), F.array(said))))
     big = F.lit(10_000_000)
     rows = found.withColumn("_s", F.col("start_line").cast("bigint") * big + F.col("start_column")).withColumn("_e", F.col("end_line").cast("bigint") * big + F.coalesce(F.col("end_column"), big - 1))
     rows = rows.withColumn("_e", F.greatest("_e", F.col("_s") + 1)).withColumn("_size", F.col("_e") - F.col("_s")).withColumn("_tool", F.element_at("sources", 1)).withColumn("_own", (F.col("_tool") != "siftstone").cast("int"))
@@ -269,15 +273,34 @@ def merged(found: DataFrame, imported: DataFrame | None = None) -> DataFrame:
     rows = merging.cluster(rows, ["vuln_class", "path", "_bucket"], ["_size", "_s", "_own", "rule_id", "message"], "_s", "_e", "_tool", "sink")
     first = F.struct("_own", "rule_id", "_size", "_s", "message")
     rank = lambda c, order: F.max(F.struct(taxonomy.rank(F.col(c), order).alias("r"), F.col(c).alias("v")))["v"]
-    own = ["trace", "via", "rule_id", "message", "note", "start_line", "start_column", "end_line", "end_column", "function", "sink", "suppression"]
-    return rows.groupBy("vuln_class", "path", "_bucket", "cluster").agg(
-        *[F.min_by(c, first).alias(c) for c in own], rank("severity", taxonomy.SEVERITIES).alias("severity"), F.max("confidence").alias("confidence"), rank("status", taxonomy.STATUSES).alias("status"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cwe")))).alias("cwe"), F.array_sort(F.collect_set("rule_id")).alias("rules"),
-    ).withColumn("suppression", F.when(F.col("status") == "suppressed", F.col("suppression"))).drop("_bucket", "cluster")
+    return merged_clusters(rows, ["vuln_class", "path", "_bucket", "cluster"]).drop("_bucket", "cluster")
+
+
+def merged_clusters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One finding a cluster. The primary is an own finding, else the one of the least rule; sink and function of the first that has one; the region covers all; evidence is joined with its repetitions; suppressed only if all are."""
+    first = F.struct("_own", "rule_id", "_size", "_s", "message")
+    rank = lambda c, order: F.max(F.struct(taxonomy.rank(F.col(c), order).alias("r"), F.col(c).alias("v")))["v"]
+    some = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", first)).alias(c)
+    end = regions.region_end(F.struct("start_line", "start_column", "end_line", "end_column"))
+    suppressed = F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "suppressed", F.col("suppression")))), ";")
+    evidence = F.array_sort(F.flatten(F.collect_list(F.coalesce("evidence", F.array().cast("array<string>")))))
+    out = rows.groupBy(*keys).agg(
+        *[F.min_by(c, first).alias(c) for c in ("trace", "via", "rule_id", "message", "note")], some("sink"), some("function"),
+        F.min(F.struct("start_line", "start_column")).alias("_from"), F.max(end).alias("_to"),
+        rank("severity", taxonomy.SEVERITIES).alias("severity"), F.max("confidence").alias("confidence"), rank("status", taxonomy.STATUSES).alias("status"), suppressed.alias("suppression"), evidence.alias("evidence"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), taxonomy.normalize_cwes(F.flatten(F.collect_list("cwe"))).alias("cwe"), F.array_sort(F.collect_set("rule_id")).alias("rules"),
+    )
+    return out.select(
+        *keys, "trace", "via", "rule_id", "message", "note", F.col("_from.start_line").alias("start_line"), F.col("_from.start_column").alias("start_column"), F.col("_to.line").alias("end_line"),
+        F.when(F.col("_to.column") < float("inf"), F.col("_to.column").cast("int")).alias("end_column"), "function", F.coalesce("sink", F.lit("")).alias("sink"),
+        F.when(F.col("status") == "suppressed", F.col("suppression")).alias("suppression"), "severity", "confidence", "status", "sources", "cwe", "rules", F.array_remove("rules", F.col("rule_id")).alias("related_rules"), "evidence",
+    )
 
 
 #: Texts of a finding that a reader sees.
 SHOWN = ["rule_id", "function", "sink", "message", "note"]
+#: Lists of texts that a reader sees.
+LISTS = ["evidence", "trace", "via"]
 
 
 def identified(found: DataFrame, secrets: DataFrame | None = None, tool: DataFrame | None = None) -> DataFrame:
@@ -285,7 +308,10 @@ def identified(found: DataFrame, secrets: DataFrame | None = None, tool: DataFra
     clean = found
     if secrets is not None:
         known = secrets.filter("wide").select("value")
-        clean = dictionary.redacted(clean, SHOWN, known, "path", secrets.filter("NOT wide").select("path", "value"), tool)
+        # Lists ride as one text each, so that they are looked through like the others; no text holds the separator.
+        clean = clean.withColumns({c: F.array_join(c, "\x1e") for c in LISTS})
+        clean = dictionary.redacted(clean, [*SHOWN, *LISTS], known, "path", secrets.filter("NOT wide").select("path", "value"), tool)
+        clean = clean.withColumns({c: F.filter(F.split(c, "\x1e"), lambda x: x != "") for c in LISTS})
     secret = F.col("vuln_class") == "secret"
     clean = clean.withColumn("sink", text.strip_controls(F.when(secret, text.redact_code(F.col("sink"), F.array().cast("array<string>"))).otherwise(F.col("sink"))))
     clean = clean.withColumn("message", text.strip_controls(F.when(secret, F.concat(F.lit("Possible hard-coded secret reported by "), F.array_join("sources", ", "), F.lit("."))).otherwise(F.col("message"))))

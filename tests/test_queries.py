@@ -162,3 +162,40 @@ def test_innermost_span_by_levels_of_width(spark):
     got = regions.innermost(df, spark.createDataFrame(spans, "k string, s bigint, e bigint, n string"), ["k"], "p", "s", "e", "n", "<module>")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, p, plain(k, p)) for k, p in points), key=repr)
     assert regions.innermost(df, spark.createDataFrame([], "k string, s bigint, e bigint, n string"), ["k"], "p", "s", "e", "n", "-").filter("n = '-'").count() == len(points)
+
+
+def test_anchor_clusters_of_a_whole_table_equal_the_plain_rule(spark):
+    """Every order's clusters, whatever their numbers, are those of rows held against all members."""
+    import collections
+
+    from siftstone.operators.merging import anchor_clusters
+
+    rows = [r.asDict() for r in catalogue.queries()["q_anchor_cluster"](spark, SF).collect()]
+    together = lambda a, b: a["s"] < b["e"] and b["s"] < a["e"] and (a["source"] != b["source"] or a["sink"] == b["sink"])
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["l_orderkey"]].append(r)
+    sets = lambda own, numbers: {frozenset(id(r) for r, n in zip(own, numbers) if n == k) for k in numbers}
+    assert len(rows) > 4000  # all but spans without extent
+    for own in by.values():
+        plain = anchor_clusters(own, lambda r: tuple(r[c] for c in ("size", "s", "source", "l_partkey", "l_linenumber")), together)
+        assert sets(own, plain) == sets(own, [r["cluster"] for r in own])
+
+
+def test_a_large_island_ends(spark):
+    """100,000 spans that all hang together, in thousands of clusters, in bounded time."""
+    import time
+
+    import numpy as np
+
+    from siftstone.operators.merging import anchored
+
+    rng = np.random.default_rng(4)
+    starts = np.sort(rng.integers(0, 200_000, 100_000))
+    ends = starts + rng.integers(3, 12, 100_000)
+    began = time.time()
+    numbers = anchored(starts, ends, ["a"] * 100_000, ["x"] * 100_000, np.lexsort((starts, ends - starts)).tolist())
+    assert len(set(numbers.tolist())) > 1000 and time.time() - began < 120
+    for k in range(0, 1000, 50):
+        own = np.flatnonzero(numbers == k)
+        assert starts[own].max() < ends[own].min()

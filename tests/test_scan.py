@@ -190,6 +190,22 @@ def test_imported_rows_get_function_and_call(spark, tmp_path):
     assert len(found) == len(rows) and {r.function for r in found} == {"A.run", None} and all("s3cr3t" not in str(r) for r in found)
 
 
+def test_merged_rows_keep_what_each_tool_says(spark):
+    """Two tools and the scan on one sink: the own finding leads, evidence stays with its repetitions, the region covers all, suppressed only together."""
+    schema = "vuln_class string, path string, rule_id string, cwe array<string>, severity string, confidence int, status string, suppression string, message string, note string, start_line int, start_column int, end_line int, end_column int, function string, sink string, sources array<string>, trace array<string>, via array<string>"
+    own = [("sqli", "a.py", "HS-SQLI-001", ["CWE-89"], "high", 80, "suppressed", "taint:sanitized", "m", "n", 3, 5, 3, 20, None, "", ["siftstone"], ["step 2", "step 1"], [])]
+    own += [("sqli", "b.py", "HS-SQLI-001", ["CWE-89"], "high", 80, "suppressed", s, "m", "", 3, c, 3, 20, "f", "x", ["siftstone"], [], []) for s, c in (("taint:sanitized", 5), ("inline:ignore", 6))]
+    region = "struct<start_line:int,start_column:int,end_line:int,end_column:int>"
+    other = [("a.py", "t:r2", "sqli", ["cwe-0564"], "low", 90, "t said", (3, 1, 3, 8), "t", "q(x)", "A.f"), ("a.py", "t:r1", "sqli", ["CWE-89"], "critical", 10, "t said", (3, 7, 4, None), "u", "q(y)", None)]
+    imported = spark.createDataFrame(other, f"path string, rule_id string, vuln_class string, cwe array<string>, severity string, confidence int, message string, region {region}, source string, sink string, function string")
+    rows = {r.path: r for r in scan.merged(spark.createDataFrame(own, schema), imported).collect()}
+    a, b = rows["a.py"], rows["b.py"]
+    assert (a.rule_id, a.related_rules, a.severity, a.confidence, a.status, a.suppression) == ("HS-SQLI-001", ["t:r1", "t:r2"], "critical", 90, "candidate", None)
+    assert (a.start_line, a.start_column, a.end_line, a.end_column) == (3, 1, 4, None) and a.sources == ["siftstone", "t", "u"] and a.cwe == ["CWE-89", "CWE-564"]
+    assert a.evidence == ["siftstone: n", "step 1", "step 2", "t: t said", "u: t said"] and (a.function, a.sink) == ("A.f", "q(y)")
+    assert (b.status, b.suppression, b.evidence) == ("suppressed", "inline:ignore;taint:sanitized", ["siftstone: m", "siftstone: m"])
+
+
 def test_linked_findings_tell_how_input_gets_there(spark, tmp_path):
     """A chain over nine files: the last steps of the way are told, the sink's value first; of seven inputs the first five."""
     for k in range(9):
