@@ -7,6 +7,7 @@ import re
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,26 @@ def leaked(reports: DataFrame) -> DataFrame:
     """(value): the secrets themselves, to be kept out of every other text."""
     items = reports.select(F.explode(F.coalesce(F.from_json(F.when(F.trim("value") == "", "[]").otherwise(F.col("value")), LEAK), F.array().cast(LEAK))).alias("x"))
     return items.select(F.col("x.Secret").alias("value")).filter("value <> ''").distinct()
+
+
+def collected(spark: SparkSession, imports: list[tuple[str, str]], root: str = "/") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, messages, secrets) of reports (format, path): all findings as one table, what could not be read or was left out (report, error, message), and the secrets (value) that other texts must not show.
+
+    Formats: sarif, gitleaks, or a tool's name, which is then the source of its SARIF. A report that cannot be read is an error row; the others are taken in all the same.
+    """
+    found = spark.createDataFrame([], "source string, rule_id string, path string, message string, cwe array<string>, vuln_class string, severity string, confidence int, region struct<start_line:int,start_column:int,end_line:int,end_column:int>, sink string")
+    said = spark.createDataFrame([], "report string, error boolean, message string")
+    secrets = spark.createDataFrame([], "value string")
+    for kind, path in imports:
+        report = F.lit(f"{kind}={path}")
+        try:
+            texts = whole_files(spark, path)
+        except AnalysisException as e:
+            said = said.unionByName(spark.range(1).select(report.alias("report"), F.lit(True).alias("error"), F.lit(str(e).split("\n")[0]).alias("message")))
+            continue
+        rows, warnings = leaks(texts, root) if kind == "gitleaks" else sarif(texts, root, None if kind == "sarif" else kind)
+        found = found.unionByName(rows, allowMissingColumns=True)
+        said = said.unionByName(warnings.select(report.alias("report"), F.startswith("message", F.lit("not a SARIF log")).alias("error"), "message"))
+        if kind == "gitleaks":
+            secrets = secrets.unionByName(leaked(texts))
+    return found, said, secrets.distinct()

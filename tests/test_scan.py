@@ -190,6 +190,22 @@ def test_imported_rows_get_function_and_call(spark, tmp_path):
     assert len(found) == len(rows) and {r.function for r in found} == {"A.run", None} and all("s3cr3t" not in str(r) for r in found)
 
 
+def test_reports_are_collected_and_a_lost_one_is_an_error(spark, tmp_path):
+    log = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "CodeQL"}}, "results": [{"ruleId": "r", "message": {"text": "has tok-123456 in it"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 1}}}]}]}]}
+    (tmp_path / "a.sarif").write_text(json.dumps(log))
+    (tmp_path / "bad.sarif").write_text("{")
+    (tmp_path / "leaks.json").write_text(json.dumps([{"RuleID": "k", "File": "a.py", "StartLine": 1, "EndLine": 1, "StartColumn": 5, "EndColumn": 9, "Secret": "tok-123456", "Description": "d"}]))
+    (tmp_path / "a.py").write_text("x = 1\n")
+    got, said, secrets = reports.collected(spark, [("sarif", f"{tmp_path}/a.sarif"), ("mytool", f"{tmp_path}/a.sarif"), ("sarif", f"{tmp_path}/bad.sarif"), ("gitleaks", f"{tmp_path}/leaks.json"), ("sarif", f"{tmp_path}/gone.sarif")], root=str(tmp_path))
+    assert sorted(r.rule_id for r in got.collect()) == ["codeql:r", "gitleaks:k", "mytool:r"]
+    assert sorted((r.report.rpartition("/")[2], r.error) for r in said.collect()) == [("bad.sarif", True), ("gone.sarif", True)]
+    assert [r.value for r in secrets.collect()] == ["tok-123456"]
+    found = scan.scan(spark, str(tmp_path), imported=got, tool_secrets=secrets)[0].collect()
+    assert len(found) == 3 and all("tok-123456" not in str(r) for r in found)  # a class that no tool shares is merged with none
+    none = reports.collected(spark, [])
+    assert [df.count() for df in none] == [0, 0, 0]
+
+
 def test_merged_rows_keep_what_each_tool_says(spark):
     """Two tools and the scan on one sink: the own finding leads, evidence stays with its repetitions, the region covers all, suppressed only together."""
     schema = "vuln_class string, path string, rule_id string, cwe array<string>, severity string, confidence int, status string, suppression string, message string, note string, start_line int, start_column int, end_line int, end_column int, function string, sink string, sources array<string>, trace array<string>, via array<string>"
