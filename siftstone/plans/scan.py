@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from siftstone.analyze import engine, rules, spans
 from siftstone.functions import taxonomy, text
-from siftstone.operators import dictionary, fixpoint, identity, merging, regions, replacement
+from siftstone.operators import dictionary, fixpoint, identity, merging, regions, replacement, reporting
 from siftstone.sources.code import python_files
+from siftstone.sources.config import Config, user_rules
 
 FINDING = (
     "path string, rule_id string, vuln_class string, cwe array<string>, severity string, confidence int, status string, suppression string, message string, note string, "
@@ -365,6 +366,21 @@ def enriched(imported: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumns({"sink": sink, "function": function}).drop("_line", "_at", "_call", "_last", "_around", "_text")
 
 
+def reported(found: DataFrame, settings: Config) -> DataFrame:
+    """The findings that settings show, with `failing`: whether one makes the scan fail."""
+    rank, suppressed = taxonomy.rank(F.col("severity"), taxonomy.SEVERITIES), F.col("status") == "suppressed"
+    level = taxonomy.SEVERITIES.index
+    shown = reporting.visible(rank, F.col("confidence"), suppressed, level(settings.min_severity), settings.min_confidence, settings.show_suppressed)
+    return found.filter(shown).withColumn("failing", reporting.failing(rank, F.col("confidence"), suppressed, level(settings.fail_on), settings.min_confidence))
+
+
+def scan_by_settings(spark: SparkSession, root: str, settings: Config, imported: DataFrame | None = None, tool_secrets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) as settings have it: what is ignored, which rules, whether files are linked, what is shown and what fails."""
+    kinds = (*rules.BUILT_IN, *user_rules(settings.rules)) if settings.rules else rules.BUILT_IN
+    found, errors = scan(spark, root, settings.ignore, kinds, imported, settings.link, tool_secrets)
+    return reported(found, settings), errors
+
+
 TEMPLATES = (
     'import os\n\n\ndef run_{k}(name):\n    os.system("echo " + name)\n\n\ndef main_{k}():\n    run_{k}(input())\n',
     'import sqlite3\nfrom flask import request\n\n\ndef find_{k}():\n    n = int(request.args["n"])\n    return sqlite3.connect("x").execute(f"select * from t where n = {{n}}")\n',

@@ -190,6 +190,16 @@ def test_imported_rows_get_function_and_call(spark, tmp_path):
     assert len(found) == len(rows) and {r.function for r in found} == {"A.run", None} and all("s3cr3t" not in str(r) for r in found)
 
 
+def test_settings_decide_what_is_shown_and_what_fails(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import os, hashlib\n\n\ndef a(p):\n    os.system(input())\n    hashlib.md5(p)\n    eval(input())  # x: ignore\n")
+    (tmp_path / "b.py").write_text("eval(input())\n")
+    settings = config.Config(ignore=("b.py",), fail_on="high")
+    show = lambda c: sorted((r.path, r.rule_id, r.failing) for r in scan.scan_by_settings(spark, str(tmp_path), c)[0].collect())
+    assert show(settings) == [("a.py", "HS-CMDI-001", True), ("a.py", "HS-CRYPTO-001", False)]
+    assert show(config.Config(ignore=("b.py",), min_severity="high", show_suppressed=True, link=False)) == [("a.py", "HS-CMDI-001", True), ("a.py", "HS-CODEI-001", False)]
+    assert not any(failing for *_, failing in show(config.Config(fail_on="critical")))
+
+
 def test_reports_are_collected_and_a_lost_one_is_an_error(spark, tmp_path):
     log = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "CodeQL"}}, "results": [{"ruleId": "r", "message": {"text": "has tok-123456 in it"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 1}}}]}]}]}
     (tmp_path / "a.sarif").write_text(json.dumps(log))
