@@ -199,3 +199,28 @@ def test_a_large_island_ends(spark):
     for k in range(0, 1000, 50):
         own = np.flatnonzero(numbers == k)
         assert starts[own].max() < ends[own].min()
+
+
+def test_clusters_are_read_island_by_island_without_a_call_each(spark):
+    """Many small islands and one of many clusters, also where a batch ends inside one; the plan has no function that is called once a group."""
+    import collections
+
+    from siftstone.operators import merging
+
+    rows = [(k, s, s + 3, s % 2, s % 3, s) for k in range(300) for s in range(0, 20, 2)] + [(-1, s % 50, 60 + s % 7, s % 2, s, s) for s in range(200)] + [(None, 1, 2, 0, 0, 0), (None, 1, 2, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "k bigint, s bigint, e bigint, source bigint, sink bigint, id bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = merging.cluster(df, ["k"], ["id"], "s", "e", "source", "sink")
+        got = [r.asDict() for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert len(got) == len(rows)
+    together = lambda a, b: a["s"] < b["e"] and b["s"] < a["e"] and (a["source"] != b["source"] or a["sink"] == b["sink"])
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["k"]].append(r)
+    sets = lambda own, numbers: {frozenset(r["id"] for r, n in zip(own, numbers) if n == c) for c in numbers}
+    for own in by.values():
+        assert sets(own, merging.anchor_clusters(own, lambda r: r["id"], together)) == sets(own, [r["cluster"] for r in own])
