@@ -23,8 +23,12 @@ MODEL, ASSUMED = "~model:", "~assumed:"
 
 
 def analyzed(files: DataFrame, rule_classes=rules.BUILT_IN) -> DataFrame:
-    """(kind, value): tagged JSON rows of every file, one Python call a file. files: path, content."""
+    """(kind, value): tagged JSON rows of every file, one Python call a file. files: path, content.
+
+    Files are small and their analysis is not, so they are dealt by number, not by bytes: a table of a million files may be one split.
+    """
     chosen = list(rule_classes)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         own = rules.validated(chosen)
@@ -37,7 +41,7 @@ def analyzed(files: DataFrame, rule_classes=rules.BUILT_IN) -> DataFrame:
                     rows += engine.analyze(path, content, own)
             yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
-    return files.select("path", "content").mapInArrow(run, "kind string, value string")
+    return files.select("path", "content").repartition(tasks, "path").mapInArrow(run, "kind string, value string")
 
 
 def of_kind(rows: DataFrame, kind: str, schema: str) -> DataFrame:

@@ -379,3 +379,16 @@ def test_streaming_counts(spark, sf):
     seen = spark.createDataFrame([("a.py", "x")], "path string, sha256 string")
     files = spark.createDataFrame([("a.py", bytearray(b"1")), ("b.py", bytearray(b"2"))], "path string, content binary")
     assert incremental.changed_files(files, seen).count() == 2
+
+
+def test_files_of_one_split_are_dealt_over_tasks(spark):
+    """A table of many small files is one split by its bytes; its files are analysed by many tasks all the same."""
+    from pyspark.sql import functions as F
+
+    from siftstone.plans import scan
+
+    files = spark.range(400).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.encode(F.lit("import os\nos.system(input())\n"), "UTF-8").alias("content")).coalesce(1)
+    rows = scan.analyzed(files).filter("kind = 'file'")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.count() == 400
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > tasks // 2
