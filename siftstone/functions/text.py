@@ -45,11 +45,21 @@ LONG_LITERAL = r"""'[A-Za-z0-9+/=_-]{20,}'|"[A-Za-z0-9+/=_-]{20,}\""""
 RANDOM = 3.5
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once however often body names it: inside a lambda nothing else is shared."""
+    return F.transform(F.array(value), body)[0]
+
+
 def splice(text: Column, pattern: str, decide: Callable[[Column], Column]) -> Column:
-    """text with each match of the pattern replaced by decide(match): the gaps and the matches, joined again in order."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    out = F.array_join(F.transform(gaps, lambda gap, i: F.concat(F.coalesce(F.when(i > 0, decide(F.get(hits, i - 1))), F.lit("")), gap)), "")
-    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(text)
+    """text with each match of the pattern replaced by decide(match): the gaps and the matches, joined again in order. Each row is split and searched once, whatever the number of matches."""
+
+    def joined(t):
+        gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # A match stands before its gap, none before the first.
+        both = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), hits).alias("hit"), gaps.alias("gap"))
+        return F.array_join(F.transform(both, lambda x: F.concat(F.coalesce(F.when(x["hit"].isNotNull(), decide(x["hit"])), F.lit("")), x["gap"])), "")
+
+    return once(text, lambda t: F.when(F.regexp_like(t, F.lit(pattern)), joined(t)).otherwise(t))
 
 
 def redact_secretish(text: Column, known: Column | None = None) -> Column:
@@ -78,9 +88,6 @@ def strip_controls(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits; 0 for the empty text. One sort of the characters, then one pass over the ends of their runs."""
 
-    def once(value, body):
-        return F.transform(F.array(value), body)[0]
-
     def ends(chars):
         return F.filter(F.transform(chars, lambda c, i: F.when((i + 1 == F.size(chars)) | (c != F.get(chars, i + 1)), i + 1)), lambda e: e.isNotNull())
 

@@ -103,3 +103,15 @@ def test_fixes_with_secrets_go(spark):
     secrets = spark.createDataFrame([(None, "k3y-number"), ("b.py", "mine"), ("c.py", "use it")], "path string, value string")
     assert {r.id for r in remedy.without_secrets(fix, secrets).collect()} == {"1", "4"}
     assert remedy.without_secrets(fix, secrets)._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
+
+
+def test_a_text_of_very_many_literals_is_searched_once(spark):
+    """Thousands of matches in one text: each is decided from one search, in bounded time."""
+    import time
+
+    t = "\n".join(f"name_{i} = 'v{i}'; token_{i} = \"w{i}\"" for i in range(6000))
+    want = "\n".join(f"name_{i} = 'v{i}'; token_{i} = \"<REDACTED>\"" for i in range(6000))
+    df = spark.createDataFrame([(t,)], "t string")
+    begin = time.monotonic()
+    assert df.select(text.redact_secretish(F.col("t"))).first()[0] == want
+    assert time.monotonic() - begin < 30
