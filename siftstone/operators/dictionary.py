@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as texts_
+from siftstone.operators.fixpoint import stored
 
 BROADCAST_BYTES = 8 << 20
 #: Bytes of a gram, the longest first: a value is known by the first of these that it is as long as.
@@ -64,14 +65,11 @@ def _by_automaton(columns: list[Column], values: DataFrame) -> Column:
 
 
 def grams(data: bytes, width: int) -> np.ndarray:
-    """The distinct grams of the bytes, as numbers."""
+    """The grams of the bytes, in order, as numbers: a view of the bytes from every place."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x, out = np.frombuffer(data, np.uint8), np.zeros(n, np.uint64)
-    for i in range(width):
-        out = (out << np.uint64(8)) | x[i : i + n]
-    return np.unique(out)
+    return np.ndarray(n, f">u{width}", data, 0, (1,)).astype(np.uint64)
 
 
 def places(found: np.ndarray, width: int) -> np.ndarray:
@@ -80,22 +78,36 @@ def places(found: np.ndarray, width: int) -> np.ndarray:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], first_only: bool, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(row, width, gram, place) of each row's distinct grams; first_only: of the first width that fits."""
+    """(row, width, gram, place) of each row's distinct grams; first_only: of the first width that fits. Only grams that the bitmap has are sorted; those of many rows make one batch."""
     for batch in batches:
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        of, found, held = [], [], 0
+        for i, data in enumerate(batch.column(1).to_pylist()):
             data = (data or "").encode()
             for width in widths:
                 if len(data) < width:
                     continue
                 got = grams(data, width)
-                at = places(got, width)
                 if bitmap is not None:
-                    keep = (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                    got, at = got[keep], at[keep]
+                    at = places(got, width)
+                    got = got[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
                 if len(got):
-                    yield pa.record_batch([pa.array([key] * len(got), pa.string()), pa.array(np.full(len(got), width, np.int32)), pa.array(got.view(np.int64)), pa.array(at.astype(np.int64))], ["row", "width", "gram", "place"])
+                    got = np.unique(got)
+                    of.append((i, width, len(got)))
+                    found.append(got)
+                    held += len(got)
                 if first_only:
                     break
+            if held > 100_000:
+                yield _gram_batch(batch.column(0), of, found)
+                of, found, held = [], [], 0
+        if held:
+            yield _gram_batch(batch.column(0), of, found)
+
+
+def _gram_batch(keys: pa.Array, of: list[tuple[int, int, int]], found: list[np.ndarray]) -> pa.RecordBatch:
+    row, width, n = (np.array(c, np.int64) for c in zip(*of))
+    at = np.concatenate([places(g, w) for g, w in zip(found, width)]).astype(np.int64)
+    return pa.record_batch([keys.take(pa.array(np.repeat(row, n))), pa.array(np.repeat(width, n).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)), pa.array(at)], ["row", "width", "gram", "place"])
 
 
 _GRAM = "row string, width int, gram bigint, place bigint"
@@ -111,7 +123,7 @@ def anchors(values: DataFrame) -> DataFrame:
 
 def _by_grams(texts: DataFrame, key: Column, columns: list[Column], values: DataFrame) -> DataFrame:
     """(row, found): by key, the values that may stand in a text's columns, since their grams do."""
-    known = anchors(values)
+    known = stored(anchors(values))
     words = known.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(64)).cast("int"))).alias("bits")).collect()
     bitmap = np.zeros(1 << (BITS - 6), np.int64)
     for r in words:  # at most as many rows as the bitmap has words
@@ -127,7 +139,8 @@ def _by_grams(texts: DataFrame, key: Column, columns: list[Column], values: Data
 
 def with_found(texts: DataFrame, columns: list[str], values: DataFrame, name: str = "found", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """texts with an array of the distinct values (value) that stand in their columns, in order. Null texts hold nothing. With a large dictionary, rows of equal texts are looked up as one."""
-    values = values.filter("value <> ''").select("value").distinct()
+    # What gives the values may be a search of all texts: it is done once, not each time that they are read.
+    values = stored(values.filter("value <> ''").select("value").distinct())
     size = values.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
     cols = [F.col(c) for c in columns]
     if size <= broadcast_bytes:

@@ -115,3 +115,34 @@ def test_a_text_of_very_many_literals_is_searched_once(spark):
     begin = time.monotonic()
     assert df.select(text.redact_secretish(F.col("t"))).first()[0] == want
     assert time.monotonic() - begin < 30
+
+
+def test_gram_rows_come_many_a_batch():
+    """Distinct grams of each row, as numbers of their bytes, first byte highest; rows of one batch come out together."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = ["abcabcabcabc", "", None, "ab", "émoji 🙂 twelve"]
+    part = pa.record_batch([pa.array(list("vwxyz")), pa.array(rows)], ["row", "data"])
+    out = list(dictionary._gram_rows(iter([part]), (8, 4, 2, 1), False, np.full(1 << 18, 2**64 - 1, np.uint64)))
+    assert len(out) == 1
+    got = {(r["row"], r["width"], r["gram"]) for r in out[0].to_pylist()}
+    want = {(k, w, int.from_bytes(t[i : i + w], "big", signed=w == 8)) for k, t in zip("vwxyz", ((x or "").encode() for x in rows)) for w in (8, 4, 2, 1) for i in range(len(t) - w + 1)}
+    assert got == want and out[0].num_rows == len(want)
+
+
+def test_values_are_worked_out_once(spark):
+    """The dictionary may come from a search of all texts: it runs once, whichever way looks the values up."""
+    texts = spark.createDataFrame([(1, "one token_abcdefgh two"), (2, "none")], "id int, a string")
+    for size in (0, 1 << 20):
+        runs = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for part in batches:
+                runs.add(part.num_rows)
+                yield part
+
+        values = spark.createDataFrame([("token_abcdefgh",)], "value string").mapInArrow(counted, "value string")
+        found = dictionary.with_found(texts, ["a"], values, broadcast_bytes=size)
+        assert {r.id: r.found for r in found.collect()} == {1: ["token_abcdefgh"], 2: []}
+        assert runs.value == 1
